@@ -5,8 +5,10 @@ distributed values, truncated to 16 bits (b = 1.001, rate a = 20). Registers mer
 equality is locality-sensitive, so four at a time they are banded. Documents with equal sets are one class.
 A bucket links each of its classes to its least one (a star, not all pairs); candidates are screened by the
 joint maximum-likelihood estimate of the Jaccard similarity from the registers, confirmed on full sets, and
-joined into components. Then only buckets that still span several components compare the classes of
-different components, so no link between different texts is lost to the star.
+joined into components. Classes that share buckets, directly or over others, form a cluster. Clusters that still span
+several components are compared across components in pairs of bounded blocks, by the same estimate and exact set
+sizes; only links that join components leave a block. So no link between different texts is lost to the star, and no
+pairs are emitted.
 
 With 20 bands of four registers a pair at the threshold 0.85 is missed with probability 4e-7.
 
@@ -34,6 +36,8 @@ BANDS, ROWS = 20, 4
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Screened out only when the estimate is this far below the threshold: five standard errors of 80 registers.
 MARGIN = 0.2
+#: Documents, and bytes of text, of a block of a cluster; two blocks at a time are compared.
+BLOCK_ROWS, BLOCK_BYTES = 2048, 8 << 20
 
 
 def registers(s: np.ndarray, m: int = BANDS * ROWS) -> np.ndarray:
@@ -139,15 +143,52 @@ def _confirm(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a < b) of classes whose full sets are similar enough."""
-    side = lambda c: reps.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_screen(percent / 100), "a long, b long")
-    likely = materialize(likely, "likely")
-    involved = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-    own = materialize(texts.join(involved, "id", "left_semi"), "texts")
-    whole = lambda c: own.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-    return materialize(likely.join(whole("b"), "b").join(whole("a"), "a").mapInArrow(_confirm(percent), "a long, b long"), "links")
+def _compare(percent: int):
+    """Links between the components of a group of documents: those that join components, found by exact set sizes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        first, last = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
+        _, root = np.unique(table.column("component").to_numpy(), return_inverse=True)
+        sets = [words.shingle_set(h) for h in words.each_hashed(table.column("text").to_pylist())]
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(len(ids), -1)
+        n = np.array([len(s) for s in sets], float)
+        every, times = np.unique(np.concatenate(sets), return_counts=True)
+        every = every[times > 1]  # a shingle of one document is in no intersection
+        width = len(every) // 64 + 1
+        dense = len(ids) * width <= 12 << 20
+        if dense:
+            bits = np.zeros((len(ids), width * 64), bool) if len(ids) * width <= 1 << 17 else None
+            packed = np.zeros((len(ids), width), np.uint64)
+            for i, s in enumerate(sets):
+                at = np.searchsorted(every, s)
+                at = at[(at < len(every)) & (every[np.minimum(at, len(every) - 1)] == s)] if len(every) else at[:0]
+                row = np.zeros(width * 64, bool) if bits is None else bits[i]
+                row[at] = True
+                packed[i] = np.packbits(row).view(np.uint64)
+        found = []
+        for i in range(len(ids)):
+            j = np.arange(i + 1, len(ids))
+            if first != last:
+                j = j[block[j] != block[i]]
+            j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) * 100 >= percent * np.maximum(n[j], n[i]))]
+            if not len(j):
+                continue
+            j = j[(sig[j] == sig[i]).sum(1) >= sig.shape[1] * (percent / 100 - 2 * MARGIN)]
+            if len(j):
+                j = j[likely_jaccard(np.broadcast_to(sig[i], sig[j].shape), sig[j], np.full(len(j), n[i]), n[j], 12) >= percent / 100 - MARGIN]
+            if dense:
+                both = np.bitwise_count(packed[j] & packed[i]).sum(1) if len(j) else n[j]
+            else:
+                both = np.array([len(np.intersect1d(sets[i], sets[k], assume_unique=True)) for k in j], float)
+            for k in j[100 * both >= percent * (n[i] + n[j] - both)]:
+                if root[k] != root[i]:
+                    root[root == root[k]] = root[i]
+                    found.append(sorted((int(ids[i]), int(ids[k]))))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -158,22 +199,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).where("id IS NOT NULL")
     bands = reps.select("id", "sig").mapInArrow(_bands, "bucket long, id long")
     hubs = bands.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = materialize(bands.join(hubs, "bucket"), "buckets")  # only buckets of two classes or more
-    star = materialize(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    links = _links(star, reps, texts, percent)
+    star = materialize(bands.join(hubs, "bucket").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "star")
+    # all that share a bucket, directly or over others, are one cluster; links lie within clusters
+    cluster = components(star).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    clustered = reps.select("id", "sig", "n_shingles").join(cluster, "id")
+    # neither side of this join has a size bound: it is a merge join at every size
+    own = materialize(texts.hint("merge").join(clustered, "id").dropDuplicates(["id"]), "texts")
+    side = lambda c: own.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
+    likely = materialize(star.join(side("a"), "a").join(side("b"), "b").mapInArrow(_screen(percent / 100), "a long, b long"), "likely")
+    whole = lambda c: own.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+    links = materialize(likely.join(whole("b"), "b").join(whole("a"), "a").mapInArrow(_confirm(percent), "a long, b long"), "links")
     label = components(links)
-
-    def labelled(x: DataFrame) -> DataFrame:
-        return x.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-    # buckets that span several components: compare across these
-    marked = labelled(shared.select("bucket", "id"))
-    mixed = marked.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    rest = materialize(marked.join(mixed, "bucket", "left_semi"), "mixed")
-    x = rest.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"))
-    y = rest.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
-    across = x.join(y, "bucket").where("a < b AND ca <> cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = _links(across, reps, texts, percent)
+    # clusters that span several components: compare across these, in pairs of bounded blocks
+    marked = own.select("id", "cluster", F.octet_length("text").alias("size")).join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    spans = marked.groupBy("cluster").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("least <> most")
+    spans = spans.select("cluster", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = marked.drop("size").join(spans, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = own.select("id", "sig", "text").join(placed, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "component", "block", "sig", "text")
+    more = materialize(dealt.groupBy("cluster", "lo", "hi").applyInArrow(_compare(percent), "a long, b long"), "links")
     if more.limit(1).count():
         label = components(links.unionByName(more))
     class_of = reps.select("set_key", "id").join(label.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))

@@ -82,3 +82,20 @@ def test_components(spark):
             m = min(root.get(a, a), root.get(b, b))
             root[a] = root[b] = m
     assert got == {k: v for k, v in root.items() if k != 500}
+
+
+def test_clusters_around_the_threshold_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 16)
+    rng = random.Random(9)
+    docs = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(150)]
+        for i in range(70):
+            w = list(base)
+            for _ in range(rng.choice([1, 2, 2, 3])):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            docs.append((g * 100 + i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs)
+    assert 3 < len({c for _, c, _ in want.values()}) < 150
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()} == want
