@@ -23,8 +23,10 @@ than doc_id and text (item_id and text) are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -202,24 +204,32 @@ def _scan(held):
     return run
 
 
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about block_bytes, dealt by a hash of item_id."""
+    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    for n in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n) if blocks > 1 else items
+        yield [(r.item_id, r.text) for r in block.orderBy("item_id").collect()]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, hits (array of item_id, start, length, distance, similarity; words from 0)."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
 
-    def scan(n: int) -> DataFrame:
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n).orderBy("item_id").collect() if blocks > 1 else items.orderBy("item_id").collect()
-        held = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in block], similarity))
+    def scan(block: list[tuple[int, str]]) -> DataFrame:
+        held = spark.sparkContext.broadcast(Index(block, similarity))
         return source.mapInArrow(_scan(held), f"doc_id long, hits {HITS}")
 
-    if blocks == 1:
-        return scan(0)
-    found = None
-    for n in range(blocks):
-        part = materialize(scan(n).where("size(hits) > 0 AND doc_id IS NOT NULL").select("doc_id", F.explode("hits").alias("hit")).distinct(), "leaks")
+    found, blocks = None, _blocks(items, block_bytes)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return scan(first)
+    for block in chain([first, second], blocks):
+        part = materialize(scan(block).where("size(hits) > 0 AND doc_id IS NOT NULL").select("doc_id", F.explode("hits").alias("hit")).distinct(), "leaks")
         found = part if found is None else found.unionByName(part)
     grouped = found.groupBy("doc_id").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
     return source.select("doc_id").join(grouped, "doc_id", "left").select("doc_id", F.coalesce("hits", F.expr(f"cast(array() AS {HITS})")).alias("hits"))
@@ -235,3 +245,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
         F.coalesce(F.array_max(F.expr("transform(hits, h -> h.similarity)")), F.lit(0.0)).alias("best_similarity"),
         (F.size("hits") > 0).alias("contaminated"),
     )
+
+
+def _free(held):
+    @F.pandas_udf("boolean")
+    def free(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([not x for x in held.value.find(texts.tolist())], dtype=bool)
+
+    return free
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents that leak no item, with all their columns."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    for block in _blocks(items, BLOCK_BYTES):
+        held = spark.sparkContext.broadcast(Index(block, similarity))
+        docs = docs.where(_free(held)(text_or_empty()))
+    return docs

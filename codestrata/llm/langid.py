@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,8 +171,9 @@ def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def known(texts):
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(held.value)
-        return texts.map(lambda t: scorer.predict(t)[1] >= least).astype(bool)
+        for texts in batches:
+            yield pd.Series([scorer.predict(t)[1] >= least for t in texts], dtype=bool)
 
     return docs.where(known(text_or_empty()))
