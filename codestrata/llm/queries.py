@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, licenses, neardup, packing, pii, quality_classifier, quality_rules, secrets
+from . import decontam, langid, licenses, neardup, packing, pii, quality_classifier, quality_rules, secrets, substring_dedup
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("findings")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
