@@ -3,7 +3,7 @@
 Templates are base phrases and license notices, as words. All rolling K-word hashes of all documents are joined to the templates'
 positions; a match of document word p with template word t votes for the diagonal p - t. Votes are summed by document, template and
 diagonal, neighbouring diagonals of a notice (inserted or missing words) are merged, and the spans verified: a base phrase must have
-every one of its votes, a notice at least LEAST of its K-grams. Hashes that match are compared word by word in the join.
+every one of its votes, a notice at least LEAST of its K-grams. Hashes have 64 bits.
 
 The template table has a fixed size (a few hundred rows), so it is sent to every executor. Nothing else is.
 
@@ -14,11 +14,16 @@ other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import words
 from .common import materialize, text_or_empty
 
 K = 2
@@ -44,37 +49,53 @@ NOTICES = {
 }
 
 
-def content_words(text: Column) -> Column:
+_SPACES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def content_words(text: str | None) -> list[bytes]:
     """Words of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    return (text or "").encode("utf-8", "surrogatepass").lower().translate(_SPACES).split()
+
+
+def _tag(text: str | None) -> int:
+    return int.from_bytes(blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, tag (a hash of the text), and the hash of every K words in order."""
+    for rb in batches:
+        for at in range(0, rb.num_rows, 512):
+            part = rb.slice(at, 512)
+            texts = part.column(1).to_pylist()
+            own = [words.grams(words.hash_words(content_words(t)), K).view(np.int64) for t in texts]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate(own)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_tag(t) for t in texts], pa.int64()), lists], names=["doc_id", "tag", "hashes"])
 
 
-def _plain(text: str) -> list[str]:
-    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rb in batches:
+        texts = rb.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([_tag(t) for t in texts], pa.int64()), pa.array([len(content_words(t)) for t in texts], pa.int64())], names=["doc_id", "tag", "n_words"])
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """template, label, base, size (K-grams), at, first, second: a row for each K-gram of each template."""
+    """template, label, base, size (K-grams), at, hash: a row for each K-gram of each template."""
     rows = []
     every = [(k, True, v) for k, v in PHRASES.items()] + [(k, False, v) for k, v in NOTICES.items()]
     for n, (label, base, text) in enumerate(every):
-        w = _plain(text)
-        rows += [(n, label, base, len(w) - K + 1, at, w[at], w[at + 1]) for at in range(len(w) - K + 1)]
-    schema = "template int, label string, base boolean, size int, at int, first string, second string"
-    return spark.createDataFrame(rows, T._parse_datatype_string(schema)).withColumn("_hash", F.xxhash64("first", "second"))
+        h = words.grams(words.hash_words(content_words(text)), K).view(np.int64).tolist()
+        rows += [(n, label, base, len(h), at, x) for at, x in enumerate(h)]
+    return spark.createDataFrame(rows, "template int, label string, base boolean, size int, at int, hash long")
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """key, words (array): verified spans of all documents. key stands for (doc_id, text).
-
-    Returns key, template, label, base, start, votes, size."""
-    w = F.col("_w")
-    grams = docs.select("_key", "_w", F.posexplode("_w").alias("_p", "_a")).select("_key", "_p", "_a", F.get(w, F.col("_p") + 1).alias("_b")).where("_b IS NOT NULL")
-    grams = grams.withColumn("_hash", F.xxhash64("_a", "_b"))
-    votes = grams.join(F.broadcast(templates(docs.sparkSession)), "_hash").where("_a = first AND _b = second")
-    # one document row may stand in the table several times; its votes are the same each time
-    on = votes.groupBy("_key", "template", "label", "base", "size", (F.col("_p") - F.col("at")).alias("diagonal")).agg(F.count_distinct("at").cast("int").alias("votes"))
+    """docs: doc_id, text. Verified spans: key (doc_id, tag), label, base, start, share of the template's votes."""
+    grams = docs.mapInArrow(_hashes, "doc_id long, tag long, hashes array<long>").select("doc_id", "tag", F.posexplode("hashes").alias("p", "hash"))
+    votes = grams.join(F.broadcast(templates(docs.sparkSession)), "hash")
+    # rows that are repeated vote alike: a template's position counts once on a diagonal
+    key = ["doc_id", "tag", "template", "label", "base", "size"]
+    on = votes.groupBy(*key, (F.col("p") - F.col("at")).alias("diagonal"), "at").agg(F.lit(1).alias("one")).groupBy(*key, "diagonal").agg(F.count("*").alias("votes"))
+    on = materialize(on, "diagonals").withColumn("_key", F.struct("doc_id", "tag"))
     base = on.where("base AND votes = size").select("_key", "label", "base", F.col("diagonal").alias("start"), F.lit(1.0).alias("share"))
     # neighbouring diagonals of a notice: a run breaks where the gap exceeds SLIP
     own = Window.partitionBy("_key", "template").orderBy("diagonal")
@@ -87,11 +108,8 @@ def places(docs: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    text = text_or_empty()
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_t"))
-    # a document's key is its id and the hash of its text, so that rows that share an id stay apart
-    keyed = d.select("doc_id", F.struct("doc_id", F.xxhash64("_t").alias("text")).alias("_key"), content_words(F.col("_t")).alias("_w"))
-    found = materialize(places(keyed.select("_key", "_w")), "licenses")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    found = places(source)
     label = F.when(F.col("base"), F.col("label"))
     by = found.groupBy("_key").agg(
         F.count_if("base").alias("n_base"),
@@ -101,7 +119,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
         F.max("share").alias("score"),
     )
-    own = keyed.select("doc_id", "_key", F.size("_w").cast("long").alias("n_words"))
+    own = source.mapInArrow(_sizes, "doc_id long, tag long, n_words long").withColumn("_key", F.struct("doc_id", "tag"))
     return own.join(by, own["_key"].eqNullSafe(by["_key"]), "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
