@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import release, text_or_empty
 
 SAMPLE_DOCS = 8192
-TABLE_SIZE = 200_000
+TABLE_SIZE = 120_000
 MAX_LANGUAGES = 256
 LONGEST = 5
 _SMOOTH = 0.1
-_MEMO = 200_000
+_MEMO = 60_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -65,10 +65,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(1, LONGEST + 1):
                     for g in grams(w, k):
                         c[g] += n
-        if sum(map(len, seen.values())) > 300_000:
+        if sum(map(len, seen.values())) > 150_000:
             yield flush()
             seen = {}
     yield flush()
+    seen = {}
+    release()
 
 
 class Model:
@@ -150,6 +152,8 @@ def _predict(held):
         for rb in batches:
             got = [scorer.predict(t) for t in rb.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        del scorer
+        release()
 
     return run
 
@@ -175,5 +179,7 @@ def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         scorer = Scorer(held.value)
         for texts in batches:
             yield pd.Series([scorer.predict(t)[1] >= least for t in texts], dtype=bool)
+        del scorer
+        release()
 
     return docs.where(known(text_or_empty()))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import materialize, text_or_empty
+from .common import materialize, release, text_or_empty
 from .components import components
 
 BANDS, ROWS = 20, 4
@@ -87,6 +87,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(registers(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig"])
+    release()
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -131,7 +132,7 @@ def _confirm(percent: int):
                     held.popitem(last=False)
             return s
 
-        for rb in batches:
+        for rb in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             a, b, ta, tb = (rb.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
             keep = []
             for i, j, x, y in zip(a, b, ta, tb, strict=True):
@@ -139,6 +140,8 @@ def _confirm(percent: int):
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield rb.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        held.clear()
+        release()
 
     return run
 
@@ -156,7 +159,7 @@ def _compare(percent: int):
         every, times = np.unique(np.concatenate(sets), return_counts=True)
         every = every[times > 1]  # a shingle of one document is in no intersection
         width = len(every) // 64 + 1
-        dense = len(ids) * width <= 12 << 20
+        dense = len(ids) * width <= 4 << 20
         if dense:
             bits = np.zeros((len(ids), width * 64), bool) if len(ids) * width <= 1 << 17 else None
             packed = np.zeros((len(ids), width), np.uint64)
@@ -185,6 +188,8 @@ def _compare(percent: int):
                 if root[k] != root[i]:
                     root[root == root[k]] = root[i]
                     found.append(sorted((int(ids[i]), int(ids[k]))))
+        packed = bits = sets = every = times = None
+        release()
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
