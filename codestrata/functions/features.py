@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import ColumnOrName, col
+from .text import ColumnOrName, bound, col
 
 SHINGLE = 4
 SIGNATURE = 64
@@ -19,9 +19,11 @@ _START, _FACTOR, _STEP = 0x517CC1B727220A95, 6364136223846793005, 14426950408889
 
 def shingles(c: ColumnOrName, n: int = SHINGLE) -> Column:
     """Distinct character n-grams as strings; none for shorter texts."""
-    chars = F.split(col(c), "")
-    grams = F.transform(F.sequence(F.lit(0), F.length(col(c)) - n), lambda i: F.concat(*(F.get(chars, i + k) for k in range(n))))
-    return F.when(F.length(col(c)) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+    def grams(chars: Column) -> Column:
+        last = F.greatest(F.size(chars) - n, F.lit(0))
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(*(F.get(chars, i + k) for k in range(n)))))
+
+    return F.when(F.length(col(c)) < n, F.array().cast("array<string>")).otherwise(bound(F.split(col(c), ""), grams))
 
 
 def multipliers(n: int = SIGNATURE) -> np.ndarray:
@@ -94,7 +96,7 @@ def minhash_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
 def unsigned(c: Column) -> Column:
     """A signed long as the decimal number of its 64 bits."""
     d = c.cast("decimal(20,0)")
-    return F.when(c < 0, d + F.lit(2**64).cast("decimal(20,0)")).otherwise(d)
+    return F.when(c < 0, d + F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(d).cast("decimal(20,0)")
 
 
 def stems(c: ColumnOrName) -> Column:

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once: a lambda's variable, where a repeated expression would be computed per element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 _MARK = "\x01"
 _COMMENTS = r"//[^\n]*?(?:(\x01)\n|\z)|/\*[\s\S]*?(?:\*/|\z)|\x01(\n)"
 _LITERALS = r""""(?:\\[\s\S]|[^"\\])*+(?:"|\\?\z)|'(?:\\[\s\S]|[^'\\])*+(?:'|\\?\z)|[0-9][0-9._]*"""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..sources.stage import stage
 
 FUZZY_CAP, CONTAIN_CAP = 50_000, 100_000
 _MATCH = "old_id long, new_id long, confidence double, match_type string"
@@ -95,12 +96,12 @@ def greedy_assignment(candidates: DataFrame, group: str) -> DataFrame:
 
 def match_within(old: DataFrame, new: DataFrame) -> DataFrame:
     """Three phases in files: equal qualified names, equal bodies, then similar ones one-to-one."""
-    first = by_qualified_name(old, new)
+    first = stage(by_qualified_name(old, new))
     o, n = unmatched(old, first, "old"), unmatched(new, first, "new")
-    second = by_hash(o, n)
+    second = stage(by_hash(o, n))
     o, n = unmatched(o, second, "old"), unmatched(n, second, "new")
     third = greedy_assignment(fuzzy_candidates(o, n), "o_file_path").select("old_id", "new_id", F.col("score").alias("confidence"), F.lit("similar").alias("match_type"))
-    return first.unionByName(second).unionByName(third)
+    return stage(first.unionByName(second).unionByName(third))
 
 
 def moved_exact(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -159,9 +160,11 @@ def _contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
     o = outer.where(F.octet_length("normalized_body") >= 50).select(F.col("sym_id").alias("outer_id"), F.col("normalized_body").alias("_o"))
     i = inner.where(F.octet_length("normalized_body") >= 20).select(F.col("sym_id").alias("inner_id"), F.col("normalized_body").alias("_i"))
     short = i.where(F.length("_i") < width)
-    chars = F.split("_o", "")
-    spans = F.transform(F.sequence(F.lit(0), F.greatest(F.length("_o") - width, F.lit(0))), lambda p: F.xxhash64(*(F.get(chars, p + k) for k in range(width))))
-    keyed = o.select("outer_id", F.explode(F.array_distinct(spans)).alias("key"))
+
+    def spans(chars: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - width, F.lit(0))), lambda p: F.xxhash64(*(F.get(chars, p + k) for k in range(width)))))
+
+    keyed = o.select("outer_id", F.explode(text.bound(F.split("_o", ""), spans)).alias("key"))
     first = F.split("_i", "")
     anchors = i.where(F.length("_i") >= width).select("inner_id", F.xxhash64(*(F.get(first, F.lit(k)) for k in range(width))).alias("key"))
     pairs = keyed.join(anchors, "key").select("outer_id", "inner_id").distinct()
@@ -189,21 +192,21 @@ def match_across(old: DataFrame, new: DataFrame, mode: str = "compat") -> DataFr
     def over(a: DataFrame, b: DataFrame, cap: int) -> bool:
         return mode == "compat" and a.count() * b.count() > cap
 
-    found = moved_exact(old, new)
-    o, n = unmatched(old, found, "old"), unmatched(new, found, "new")
-    named = moved_by_name(o, n)
+    found = stage(moved_exact(old, new))
+    o, n = stage(unmatched(old, found, "old")), stage(unmatched(new, found, "new"))
+    named = stage(moved_by_name(o, n))
     found = found.unionByName(named)
-    o, n = unmatched(o, named, "old"), unmatched(n, named, "new")
+    o, n = stage(unmatched(o, named, "old")), stage(unmatched(n, named, "new"))
     if not over(o, n, FUZZY_CAP):
         picked = greedy_assignment(similar_candidates(o, n), "kind")
-        fuzzy = picked.select("old_id", "new_id", (F.col("score") * 0.85).alias("confidence"), F.lit("SimilarBody").alias("match_type"))
+        fuzzy = stage(picked.select("old_id", "new_id", (F.col("score") * 0.85).alias("confidence"), F.lit("SimilarBody").alias("match_type")))
         found = found.unionByName(fuzzy)
-        o, n = unmatched(o, fuzzy, "old"), unmatched(n, fuzzy, "new")
+        o, n = stage(unmatched(o, fuzzy, "old")), stage(unmatched(n, fuzzy, "new"))
     size = lambda x, least: x.where(F.octet_length("normalized_body") >= least)
     if not over(size(o, 50), size(n, 20), CONTAIN_CAP):
-        taken = extracted(o, n)
+        taken = stage(extracted(o, n))
         found = found.unionByName(taken)
         n = unmatched(n, taken, "new")
     if not over(size(o, 20), size(n, 50), CONTAIN_CAP):
         found = found.unionByName(inlined(o, n))
-    return found
+    return stage(found)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..operators import classify, intent, linediff, matching
+from ..sources.stage import stage
 
 _FIELDS = ["sym_id", "kind", "name", "qualified_name", "file_path", "line_start", "line_end", "signature", "visibility", "parameters", "return_type", "body_hash"]
 _CROSS = {"ExactBody": "Moved", "NameAndBody": "MovedAndModified", "SimilarBody": "MovedAndModified", "Extracted": "Extracted", "Inlined": "Inlined"}
@@ -24,7 +25,7 @@ def matched_pairs(matches: DataFrame, old: DataFrame, new: DataFrame) -> DataFra
 def changes(old: DataFrame, new: DataFrame, mode: str = "compat", cross: bool = True) -> DataFrame:
     """id, kind, old, new (structs, null where absent), confidence. Ids run by phase, then file and place."""
     within = matching.match_within(old, new)
-    o, n = matching.unmatched(old, within, "old"), matching.unmatched(new, within, "new")
+    o, n = stage(matching.unmatched(old, within, "old")), stage(matching.unmatched(new, within, "new"))
     own = matched_pairs(within, old, new).where(~classify.unchanged()).select(F.lit(0).alias("phase"), classify.change_kind().alias("kind"), "old", "new", "confidence")
     parts = [own]
     if cross:
@@ -37,7 +38,7 @@ def changes(old: DataFrame, new: DataFrame, mode: str = "compat", cross: bool =
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every
+    return stage(every)
 
 
 def numbered(every: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def with_details(every: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     d = d.withColumn("_structure", structure).withColumn("_text", text.body_similarity("_o_norm", "_n_norm"))
     added, removed = intent.changed_lines(lines, "Insert"), intent.changed_lines(lines, "Delete")
     equal = F.size(F.filter(lines, lambda x: x["tag"] == "Equal"))
-    d = d.withColumn("_added", added).withColumn("_removed", removed).withColumn("_equal", equal)
+    d = stage(d.withColumn("_added", added).withColumn("_removed", removed).withColumn("_equal", equal))
     lined = [(i, w, has & h, s) for i, w, h, s in intent.line_rules(F.col("_added"), F.col("_removed"), F.col("_equal"))]
     rules = [
         *intent.structural_rules(kind, F.col("delta")), *lined, *intent.name_rules(F.col("name"), kind, F.col("delta")),

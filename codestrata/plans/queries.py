@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import features, text
 from ..operators import classify, graph, intent, linediff, matching, similar
-from . import bindings, diff, report, views
+from ..sources.stage import stage
+from . import diff, report, views
 from .bindings import MATCH_SQL, NORMALIZE, SNAPSHOT_SQL, snapshots, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,9 +170,9 @@ def within_hash_match(spark, sf_dir):
 def _left(spark, sf_dir):
     """The symbols that equal names and bodies within files leave over."""
     o, n = snapshots(spark, sf_dir)
-    first = matching.by_qualified_name(o, n)
+    first = stage(matching.by_qualified_name(o, n))
     o, n = matching.unmatched(o, first, "old"), matching.unmatched(n, first, "new")
-    second = matching.by_hash(o, n)
+    second = stage(matching.by_hash(o, n))
     return first.unionByName(second), matching.unmatched(o, second, "old"), matching.unmatched(n, second, "new")
 
 
@@ -215,7 +216,7 @@ def moved_exact(spark, sf_dir):
 )
 def moved_by_name_candidates(spark, sf_dir):
     _, o, n = _left(spark, sf_dir)
-    found = matching.moved_exact(o, n)
+    found = stage(matching.moved_exact(o, n))
     o, n = matching.unmatched(o, found, "old"), matching.unmatched(n, found, "new")
     return matching.name_candidates(o, n).select("old_id", "new_id", r6(F.col("score")).alias("score"))
 
@@ -223,7 +224,7 @@ def moved_by_name_candidates(spark, sf_dir):
 @query()
 def moved_by_name(spark, sf_dir):
     _, o, n = _left(spark, sf_dir)
-    found = matching.moved_exact(o, n)
+    found = stage(matching.moved_exact(o, n))
     return matching.moved_by_name(matching.unmatched(o, found, "old"), matching.unmatched(n, found, "new")).drop("match_type")
 
 
@@ -255,7 +256,7 @@ def inlined(spark, sf_dir):
 
 def _left_after_moves(spark, sf_dir):
     _, o, n = _left(spark, sf_dir)
-    found = matching.moved_exact(o, n)
+    found = stage(matching.moved_exact(o, n))
     return matching.unmatched(o, found, "old"), matching.unmatched(n, found, "new")
 
 
@@ -295,7 +296,7 @@ _ALL = f"{_CHANGED}, every AS (SELECT kind FROM k UNION ALL SELECT 'Moved' FROM
 )
 def change_summary(spark, sf_dir):
     _, o, n = _left(spark, sf_dir)
-    moved = matching.moved_exact(o, n)
+    moved = stage(matching.moved_exact(o, n))
     o, n = matching.unmatched(o, moved, "old"), matching.unmatched(n, moved, "new")
     of = lambda df, kind: df.select(F.lit(kind).alias("kind"))
     return classify.summary(_classified(spark, sf_dir).select("kind").unionByName(of(moved, "Moved")).unionByName(of(o, "Deleted")).unionByName(of(n, "Added")))
@@ -367,7 +368,7 @@ def intent_structural(spark, sf_dir):
 @query()
 def intent_primary(spark, sf_dir):
     o, n = snapshots(spark, sf_dir)
-    return diff.diff(o, n).select("id", "kind", "name", "primary", "confidence", "raw_score")
+    return diff.diff(o, n).select("id", "kind", "name", "primary", "intent_confidence", "raw_score")
 
 
 # Similar code
@@ -389,8 +390,8 @@ def similar_exact(spark, sf_dir):
 
 @query(
     f"WITH {_INDEX}, g AS (SELECT key, unnest(list_distinct(list_transform(range(1, length(norm) - 2), lambda p: substr(norm, p, 4)))) AS s FROM i), z AS (SELECT key, count(*) AS n FROM g GROUP BY key), "
-    "q AS (SELECT a.key AS ck, b.key AS k, count(*) AS both FROM g a JOIN g b ON a.s = b.s WHERE a.key % 20 = 0 AND a.key <> b.key GROUP BY a.key, b.key), "
-    "j AS (SELECT ck, k, both / (x.n + y.n - both) AS s FROM q JOIN z x ON x.key = ck JOIN z y ON y.key = k JOIN i a ON a.key = ck JOIN i b ON b.key = k WHERE a.kind = b.kind AND a.norm <> b.norm AND x.n >= 3 AND y.n >= 3), "
+    "q AS (SELECT a.key AS ck, b.key AS k, count(*) AS cnt FROM g a JOIN g b ON a.s = b.s WHERE a.key % 20 = 0 AND a.key <> b.key GROUP BY a.key, b.key), "
+    "j AS (SELECT ck, k, cnt / (x.n + y.n - cnt) AS s FROM q JOIN z x ON x.key = ck JOIN z y ON y.key = k JOIN i a ON a.key = ck JOIN i b ON b.key = k WHERE a.kind = b.kind AND a.norm <> b.norm AND x.n >= 3 AND y.n >= 3), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY ck ORDER BY s DESC, k) AS rn FROM j WHERE s >= 0.6 AND s < 1) SELECT ck AS changed_key, k AS key, round(s, 6)::DOUBLE AS similarity FROM r WHERE rn <= 10"
 )
 def similar_structural(spark, sf_dir):
@@ -547,7 +548,7 @@ def innermost(spark, sf_dir):
     return views.innermost(s.select("file_path", F.col("line_start").alias("line")).distinct(), s)
 
 
-@query(f"WITH {_CHANGED} SELECT old_id, CASE kind WHEN 'VisibilityChanged' THEN 'VIS ' || o.name || ' (' || o.visibility || ' -> ' || n.visibility || ')' ELSE '~ ' || n.name END AS label FROM k JOIN o ON o.sym_id = old_id JOIN n ON n.sym_id = new_id")
+@query(f"WITH {_CHANGED} SELECT old_id, CASE k.kind WHEN 'VisibilityChanged' THEN 'VIS ' || o.name || ' (' || o.visibility || ' -> ' || n.visibility || ')' ELSE '~ ' || n.name END AS label FROM k JOIN o ON o.sym_id = old_id JOIN n ON n.sym_id = new_id")
 def block_labels(spark, sf_dir):
     c = _classified(spark, sf_dir)
     return c.select("old_id", report.block_label(F.col("kind"), F.col("new.name"), F.col("old"), F.col("new"), F.lit(""), True).alias("label"))
@@ -585,5 +586,3 @@ def review_prompt(spark, sf_dir):
 def summary_prompt(spark, sf_dir):
     return report.summary_prompt(_details(spark, sf_dir))
 
-
-assert bindings
