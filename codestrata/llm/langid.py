@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import release, text_or_empty
 
-SAMPLE_DOCS = 8192
+SAMPLE_DOCS = 4096
 TABLE_SIZE = 120_000
 MAX_LANGUAGES = 256
 LONGEST = 5
 _SMOOTH = 0.1
-_MEMO = 60_000
+_MEMO = 120_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -100,12 +100,14 @@ class Scorer:
         if len(self.memo) >= _MEMO:
             self.memo.clear()
         at = self.size + len(self.memo)
-        self.table[at] = 0
+        w, index = f"^{word}$", self.index
         for n in range(LONGEST, 0, -1):
-            own = [i for g in grams(word, n) if (i := self.index.get(g)) is not None]
+            own = [i for k in range(len(w) - n + 1) if (i := index.get(f"{n}{w[k : k + n]}")) is not None]
             if own:
-                self.table[at] = self.table[own].mean(0)
+                np.multiply(np.add.reduce(self.table.take(own, 0), 0), 1 / len(own), out=self.table[at])
                 break
+        else:
+            self.table[at] = 0
         self.memo[word] = at
         return at
 
