@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features, text
-from ..operators import classify, graph, intent, linediff, matching, similar
+from ..operators import classify, extract, graph, intent, linediff, matching, similar
+from ..sources import index
 from ..sources.stage import stage
 from . import diff, report, views
 from .bindings import MATCH_SQL, NORMALIZE, SNAPSHOT_SQL, snapshots, table
@@ -509,6 +510,43 @@ def script_blocks(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.script_blocks("html").alias("script"))
 
 
+def _snippets(spark, sf_dir):
+    """Source files made of the parts: one function each, in four languages by turns, that calls the function of the next part."""
+    p = table(spark, sf_dir, "part")
+    name = lambda k: F.concat(F.lit("f_"), k.cast("string"))
+    me, callee, n = name(F.col("p_partkey")), name(F.col("p_partkey") + 1), F.col("p_size").cast("string")
+    rust = F.format_string("pub fn %s(x: i32) -> i32 {\n    %s(x + %s)\n}\n", me, callee, n)
+    go = F.format_string("package p\n\nfunc %s(x int) int {\n\treturn %s(x + %s)\n}\n", me, callee, n)
+    ts = F.format_string("export function %s(x: number): number {\n  return %s(x + %s);\n}\n", me, callee, n)
+    py = F.format_string("def %s(x: int) -> int:\n    return %s(x + %s)\n", me, callee, n)
+    turn = F.col("p_partkey") % 4
+    ext = F.when(turn == 0, ".rs").when(turn == 1, ".go").when(turn == 2, ".ts").otherwise(".py")
+    body = F.when(turn == 0, rust).when(turn == 1, go).when(turn == 2, ts).otherwise(py)
+    return p.select(F.concat(F.lit("src/"), F.col("p_brand"), F.lit("/"), me, ext).alias("path"), body.alias("content"))
+
+
+@query(
+    "SELECT 'src/' || p_brand || '/f_' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '.rs' WHEN 1 THEN '.go' WHEN 2 THEN '.ts' ELSE '.py' END AS file_path, 'Function' AS kind, 'f_' || p_partkey AS name, CASE p_partkey % 4 WHEN 1 THEN 'Private' ELSE 'Public' END AS visibility, "
+    "'f_' || p_partkey || '(x: ' || CASE p_partkey % 4 WHEN 0 THEN 'i32' WHEN 2 THEN 'number' ELSE 'int' END || ') -> ' || CASE p_partkey % 4 WHEN 0 THEN 'i32' WHEN 2 THEN 'number' ELSE 'int' END AS signature, "
+    "CASE p_partkey % 4 WHEN 1 THEN 3 ELSE 1 END AS line_start, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 5 WHEN 2 THEN 3 ELSE 2 END AS line_end FROM part"
+)
+def extract_symbols(spark, sf_dir):
+    return extract.extract_symbols(_snippets(spark, sf_dir)).select("file_path", "kind", "name", "visibility", "signature", "line_start", "line_end")
+
+
+@query("SELECT 'f_' || p_partkey AS caller, 'f_' || (p_partkey + 1) AS callee, CASE p_partkey % 4 WHEN 1 THEN 4 ELSE 2 END AS line FROM part")
+def extract_calls(spark, sf_dir):
+    return extract.extract_calls(_snippets(spark, sf_dir)).select("caller", "callee", "line")
+
+
+@query("SELECT doc_id, len(list_distinct(list_transform(range(1, length(text) - 2), lambda i: substr(text, i, 4)))) AS shingles, 64::BIGINT AS minhash FROM documents")
+def index_roundtrip(spark, sf_dir):
+    """Features of all documents, written as an index and read back."""
+    d = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file_path"), F.lit("d").alias("qualified_name"), F.lit("d").alias("name"), F.col("text").alias("normalized_body"), F.sha2("text", 256).alias("body_hash"))
+    got = stage(index.similarity_features(d), "index")
+    return got.select(F.substring_index("key", ":", 1).cast("long").alias("doc_id"), F.size("shingles").cast("long").alias("shingles"), F.size("minhash").cast("long").alias("minhash"))
+
+
 # Views
 
 

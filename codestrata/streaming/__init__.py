@@ -1,0 +1 @@
+"""No operator of the inventory is a stream; this package is the place for them."""
