@@ -392,11 +392,10 @@ def parse(path: str, src: str, lang: str) -> tuple[list[dict], list[tuple[str, s
         return [], []
 
 
-def _each(batches: Iterator[pd.DataFrame]):
-    for pdf in batches:
-        for path, content, lang in zip(pdf["path"], pdf["content"], pdf["language"], strict=True):
-            raw = bytes(content).decode("utf-8", "replace") if not isinstance(content, str) else content
-            yield path, raw, lang
+def _each(pdf: pd.DataFrame):
+    for path, content, lang in zip(pdf["path"], pdf["content"], pdf["language"], strict=True):
+        raw = bytes(content).decode("utf-8", "replace") if not isinstance(content, str) else content
+        yield path, raw, lang
 
 
 def _sources(files: DataFrame) -> DataFrame:
@@ -412,8 +411,8 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     """files: path, content. All symbols with normalised bodies and hashes; sym_id numbers them in the order of a file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for path, raw, lang in _each(batches):
-            if rows := parse(path, raw, lang)[0]:
+        for pdf in batches:
+            if rows := [r for x in _each(pdf) for r in parse(*x)[0]]:
                 yield pd.DataFrame(rows)
 
     raw = _sources(files).mapInPandas(run, RAW)
@@ -426,8 +425,8 @@ def extract_calls(files: DataFrame) -> DataFrame:
     """caller, callee, file_path, line of all calls inside functions."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for path, raw, lang in _each(batches):
-            if rows := parse(path, raw, lang)[1]:
-                yield pd.DataFrame([(a, b, path, n) for a, b, n in rows], columns=["caller", "callee", "file_path", "line"])
+        for pdf in batches:
+            if rows := [(a, b, x[0], n) for x in _each(pdf) for a, b, n in parse(*x)[1]]:
+                yield pd.DataFrame(rows, columns=["caller", "callee", "file_path", "line"])
 
     return _sources(files).mapInPandas(run, CALLS)
