@@ -55,5 +55,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+#: Only the near-duplicate query has SQL: the other operators' results hold what a model, a tokenizer or byte offsets decide.
+SQL = {
+    "op4_setsketch_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), r(d, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT link.a, r.c FROM r JOIN link ON link.b = r.d),
+m AS (SELECT d, min(c) AS c FROM r GROUP BY d)
+SELECT s.doc_id, len(s.s) AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept FROM s JOIN m ON m.d = s.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
