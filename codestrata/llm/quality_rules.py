@@ -5,7 +5,12 @@ language by Jensen-Shannon distance (0 to 1). References are the sums over all d
 base rules; documents without a language, or of one outside the MAX_LANGUAGES most frequent, are held against all languages
 together. A distance counts only for documents of a minimum length, as short histograms stray by chance.
 
-The text is read once: counts are written to the shared folder, then summed and compared.
+Distances of common words fall with the root of the length, so the limit is set on their product: the median over the sound
+documents of the language and length (a power of two), plus DEVIATIONS times the spread from the 16th percentile to it, which the
+strange ones above do not widen. Fewer than LEAST_DOCS documents take the limit of all lengths of the language, then of all languages;
+documents of the pooled reference take their own, and MAX_WORD_DISTANCE without one.
+
+The text is read once: counts are written to the shared folder, then summed and compared; so are the distances.
 
 Defined cases: a null text has no words and fails the base rules; a null lang uses the pooled reference; repeated rows give a
 row each; an empty table gives none; columns other than doc_id, text and lang are ignored.
@@ -15,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WHITE, materialize, text_or_empty
 
@@ -28,6 +34,9 @@ COMMON = (
 MAX_LANGUAGES = 256
 MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.3
 MIN_WORDS, MAX_WORD_DISTANCE = 100, 0.6
+DEVIATIONS, LEAST_SPREAD, LEAST_DOCS = 4, 0.1, 30
+#: Width and number of the bins of distances times the root of the length.
+BIN, BINS = 0.02, 5000
 _WS = r"[\x20\x09-\x0D]+"
 _CHARS = ("lower", "upper", "digit", "white", "mark", "symbol")
 
@@ -87,6 +96,22 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)))
 
 
+def word_limits(d: DataFrame) -> DataFrame:
+    """group, length, limit (of the distance times the root of the length); length -1 for all, group * for all languages."""
+    scaled = F.least(F.lit(BINS), F.floor(F.col("word_distance") * F.sqrt("n_words") / BIN))
+    sound = d.where((~F.col("base_failed")) & (F.col("n_words") >= MIN_WORDS))
+    bins = sound.groupBy("group", "length", scaled.alias("bin")).agg(F.count("*").alias("n"))
+    level = lambda group, length: F.struct(group.alias("group"), length.alias("length"))
+    every = F.when(F.col("group") != "-", level(F.lit("*"), F.lit(-1)))
+    levels = F.filter(F.array(level(F.col("group"), F.col("length")), level(F.col("group"), F.lit(-1)), every), lambda x: x.isNotNull())
+    bins = bins.select(F.explode(levels).alias("_l"), "bin", "n").groupBy("_l.group", "_l.length", "bin").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy("group", "length")
+    bins = bins.withColumn("_upto", F.sum("n").over(own.orderBy("bin"))).withColumn("_all", F.sum("n").over(own)).where(F.col("_all") >= LEAST_DOCS)
+    at = lambda q: F.min(F.when(F.col("_upto") >= q * F.col("_all"), F.col("bin"))) * BIN
+    q = bins.groupBy("group", "length").agg(at(0.1587).alias("low"), at(0.5).alias("mid"))
+    return q.select("group", "length", (F.col("mid") + BIN + DEVIATIONS * F.greatest(F.lit(LEAST_SPREAD), F.col("mid") - F.col("low"))).alias("limit"))
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance."""
     feats = materialize(counts(docs), "quality")
@@ -103,5 +128,14 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         distance[c] = js_distance(_distribution(F.transform(F.col(c), lambda x: x.cast("double")), n), _distribution(ref, n))
     d = d.withColumn("char_distance", distance["chars"]).withColumn("word_distance", distance["common"])
     chars = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
-    strange = ((chars >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
+    d = d.withColumn("odd_chars", (chars >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE))
+    d = d.withColumn("group", F.when(F.col("ref_common").isNull(), "-").otherwise(F.concat(F.lit("="), "lang"))).withColumn("length", F.floor(F.log2(F.greatest(F.lit(1), F.col("n_words")))).cast("int"))
+    d = materialize(d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "odd_chars", "group", "length"), "distances")
+    # a row for each language and length: as small as the references
+    limits = materialize(word_limits(d), "limits")
+    for_all = limits.where("length = -1").select("group", F.col("limit").alias("_of_group"))
+    for_any = limits.where("group = '*'").agg(F.max("limit").alias("_of_any"))
+    d = d.join(F.broadcast(limits), ["group", "length"], "left").join(F.broadcast(for_all), "group", "left").crossJoin(F.broadcast(for_any))
+    limit = F.coalesce("limit", "_of_group", F.when(F.col("group") != "-", F.col("_of_any"))) / F.sqrt("n_words")
+    strange = F.col("odd_chars") | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > F.coalesce(limit, F.lit(MAX_WORD_DISTANCE))))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~strange).alias("kept"), "char_distance", "word_distance")
