@@ -2,8 +2,9 @@
 
 Templates are base phrases and license notices, as words. All rolling K-word hashes of all documents are joined to the templates'
 positions; a match of document word p with template word t votes for the diagonal p - t. Votes are summed by document, template and
-diagonal, neighbouring diagonals of a notice (inserted or missing words) are merged, and the spans verified: a base phrase must have
-every one of its votes, a notice at least LEAST of its K-grams. Hashes have 64 bits.
+diagonal; a base phrase must have every one of its votes. For a notice with votes for LEAST of its K-grams the spans are verified: these
+K-grams must stand in the document in the notice's order, each once, on diagonals that slip by SLIP words at most from one to the next
+(inserted or missing words), in a span of at most twice the notice and SLIP words. Hashes have 64 bits.
 
 The template table has a fixed size (a few hundred rows), so it is sent to every executor. Nothing else is.
 
@@ -21,13 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import words
 from .common import materialize, text_or_empty
 
 K = 2
-#: Share of a notice's K-grams that must lie on merged diagonals, and how far apart merged diagonals may be.
+#: Share of a notice's K-grams that must stand in order in a span, and how far a diagonal may be from the one before.
 LEAST, SLIP = 0.6, 8
 
 # Base phrases, label: words.
@@ -88,21 +88,50 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "template int, label string, base boolean, size int, at int, hash long")
 
 
+def chain(places: list[tuple[int, int]], size: int) -> tuple[int, int]:
+    """places: document position and template position of matches. The most in order within a span, and where these start."""
+    places = sorted(places)
+    most, width = (0, 0), 2 * size + SLIP
+    # for each match: start of the latest-starting chain of each length that ends there
+    ends: list[dict[int, int]] = []
+    first = 0
+    for i, (p, at) in enumerate(places):
+        own = {1: p}
+        while p - places[first][0] > size + SLIP:
+            first += 1
+        for j in range(first, i):
+            q, before = places[j]
+            if q < p and before < at and abs((p - at) - (q - before)) <= SLIP:
+                for n, start in ends[j].items():
+                    if p - start <= width and own.get(n + 1, -1) < start:
+                        own[n + 1] = start
+        ends.append(own)
+        n = max(own)
+        if n > most[0]:
+            most = n, own[n]
+    return most
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rb in batches:
+        held = [chain([(m["p"], m["at"]) for m in own], size) for own, size in zip(rb.column(3).to_pylist(), rb.column(2).to_pylist(), strict=True)]
+        n, start = ([x[k] for x in held] for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), rb.column(2), pa.array(n, pa.int64()), pa.array(start, pa.int32())], names=["_key", "label", "size", "votes", "start"])
+
+
 def places(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. Verified spans: key (doc_id, tag), label, base, start, share of the template's votes."""
     grams = docs.mapInArrow(_hashes, "doc_id long, tag long, hashes array<long>").select("doc_id", "tag", F.posexplode("hashes").alias("p", "hash"))
     votes = grams.join(F.broadcast(templates(docs.sparkSession)), "hash")
     # rows that are repeated vote alike: a template's position counts once on a diagonal
     key = ["doc_id", "tag", "template", "label", "base", "size"]
-    on = votes.groupBy(*key, (F.col("p") - F.col("at")).alias("diagonal"), "at").agg(F.lit(1).alias("one")).groupBy(*key, "diagonal").agg(F.count("*").alias("votes"))
-    on = materialize(on, "diagonals").withColumn("_key", F.struct("doc_id", "tag"))
-    base = on.where("base AND votes = size").select("_key", "label", "base", F.col("diagonal").alias("start"), F.lit(1.0).alias("share"))
-    # neighbouring diagonals of a notice: a run breaks where the gap exceeds SLIP
-    own = Window.partitionBy("_key", "template").orderBy("diagonal")
-    runs = on.where("NOT base").withColumn("_new", (F.col("diagonal") - F.lag("diagonal", 1).over(own) > SLIP).cast("int"))
-    runs = runs.withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(own))
-    merged = runs.groupBy("_key", "template", "label", "size", "_run").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("start"))
-    notices = merged.where(F.col("votes") >= LEAST * F.col("size")).select("_key", "label", F.lit(False).alias("base"), "start", F.least(F.lit(1.0), F.col("votes") / F.col("size")).alias("share"))
+    on = materialize(votes.groupBy(*key, (F.col("p") - F.col("at")).alias("diagonal"), "at").agg(F.lit(1).alias("one")), "diagonals").withColumn("_key", F.struct("doc_id", "tag"))
+    full = on.where("base").groupBy("_key", "template", "label", "size", "diagonal").agg(F.count("*").alias("votes")).where("votes = size")
+    base = full.select("_key", "label", F.lit(True).alias("base"), F.col("diagonal").alias("start"), F.lit(1.0).alias("share"))
+    likely = on.where("NOT base").groupBy("_key", "template", "label", "size").agg(F.collect_set("at").alias("_seen"), F.collect_list(F.struct((F.col("diagonal") + F.col("at")).alias("p"), "at")).alias("matches"))
+    likely = likely.where(F.size("_seen") >= LEAST * F.col("size")).select("_key", "label", "size", "matches")
+    held = likely.mapInArrow(_verify, "_key struct<doc_id:bigint,tag:bigint>, label string, size int, votes long, start int")
+    notices = held.where(F.col("votes") >= LEAST * F.col("size")).select("_key", "label", F.lit(False).alias("base"), "start", (F.col("votes") / F.col("size")).alias("share"))
     return base.unionByName(notices)
 
 
