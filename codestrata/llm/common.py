@@ -2,66 +2,32 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+from ..sources.stage import new_path
+from ..sources.stage import stage as materialize
 
+__all__ = ["WHITE", "materialize", "new_path", "release", "table", "text_or_empty"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="codestrata-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/codestrata/{tag}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+#: ASCII white space as the contracts define it: [\x20\x09-\x0D].
+WHITE = " \t\n\x0b\x0c\r"
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        with contextlib.suppress(Exception):  # the session may be gone
-            remove_path(spark, path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def release() -> None:
     """Gives a Python worker's freed memory back, so that workers that are kept for the next stage stay small."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(Exception):  # not glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("string")
-
-
-#: ASCII white space as the contracts define it: [\x20\x09-\x0D].
-WHITE = " \t\n\x0b\x0c\r"
