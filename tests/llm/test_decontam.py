@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from codestrata.llm import decontam, words
@@ -59,6 +60,36 @@ def test_recall_at_the_largest_distance_and_no_false_leak(spark):
     assert {r.doc_id: sorted(h.item_id for h in r.hits) for r in blocks} == got
 
 
+def test_blocks_agree_on_null_and_repeated_ids(spark):
+    bench = spark.createDataFrame([(i, f"item{i} has some words of number{i} own{i}") for i in range(20)], "item_id long, text string")
+    rows = [(None, "x item3 has some words of number3 own3 y"), (None, "clean words"), (7, "clean too"), (7, "item4 has some words of number4 own4"), (7, "item4 has some words of number4 own4"), (7, None), (8, "item5 has some words of number5 own5 item6 has some words of number6 own6")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda df: sorted((str(r.doc_id), [tuple(h) for h in r.hits]) for r in df.collect())
+    one = key(decontam.leaks(docs, bench))
+    assert [(i, [h[0] for h in hits]) for i, hits in one] == [("7", []), ("7", []), ("7", [4]), ("7", [4]), ("8", [5, 6]), ("None", []), ("None", [3])]
+    assert key(decontam.leaks(docs, bench, block_bytes=120)) == one
+    assert decontam.clean(docs, bench).count() == 3
+
+
+def test_what_is_found_comes_from_the_tables():
+    index = decontam.Index([(1, "one two three four five six seven eight")])
+    assert [h[0] for h in index.find(["zero one two three four five six seven nine"])[0]] == [1]
+    index.tables = {n: (k[:0], s[:0]) for n, (k, s) in index.tables.items()}
+    assert index.find(["zero one two three four five six seven eight"]) == [[]]
+
+
+def test_a_long_repetitive_text_takes_linear_time():
+    item = "the river we saw at dawn was the river we had seen before the war"
+    index = decontam.Index([(1, item), (2, "the river " * 12)])
+    took = {}
+    for n in (4000, 16_000):
+        began = time.monotonic()
+        hits = index.find([(item + " we saw the river ") * n, None])
+        took[n] = time.monotonic() - began
+        assert [h[:4] for h in hits[0]][:1] == [(1, 0, 15, 0)] and hits[1] == []
+    assert took[16_000] < 8 * took[4000] and took[16_000] < 60
+
+
 def test_best_stretch_equals_plain_dynamic_programming():
     rng = random.Random(2)
     for _ in range(200):
