@@ -1,22 +1,28 @@
 """Personal data by candidate gradient boosting, on the JVM alone.
 
-High-recall generators propose overlapping spans of each kind; yes/no features of a candidate's format and context make one of
-256 cells; boosted trees score the cells, and a span is taken from a calibrated threshold on. Spans of the base patterns are
-always taken. Proposals that overlap a base span are part of it.
-
-The trees are grown here, from TRAINING_ROWS labelled examples that are rendered from the templates below (a bounded
-sample of labelled rows), through the same generators and features: the executors count examples by cell, and the driver fits trees
-to at most 4 x 256 cells. Half of the examples grow trees, the other half set each kind's threshold: the lowest score from
-which on at least PRECISION of the examples are personal data.
-
-Defined cases: a null text is empty; repeated rows give a row each; an empty table gives none; columns other than doc_id and text
-are ignored by detect() and carried by redact().
+1. High-recall generators, several for a kind, propose overlapping spans of each kind. Spans of the base patterns are always taken, and
+   proposals that overlap one of them are part of it.
+2. Each candidate has FEATURES: numbers that describe its format (digits, separators, checks) and its context (words before it).
+3. One model of boosted trees for all kinds scores the candidates; a candidate is taken from its kind's calibrated threshold on.
+4. Of taken candidates that overlap, whatever their kind, the best scored stays (from left to right; a tie is the first's).
+
+The trees are grown here, from TRAINING_ROWS labelled examples (a bounded sample): the executors draw a form and a context for each
+from the tables below, fill in digits and letters, and turn it into candidates with their features by the same columns that
+documents go through. The driver gets these few rows and fits trees to one half; the other half sets each kind's threshold: the
+lowest score from which on at least PRECISION of the examples are personal data.
+
+Defined cases: a null text is empty; repeated rows give a row each, and equal results; an empty table gives none; columns other than
+doc_id and text are ignored by detect() and carried by redact(), whatever their names; a text of any length is read whole, in time linear
+in its length and its matches; equal scores are a tie as said above.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +30,9 @@ from . import native
 from .common import text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-TRAINING_ROWS = 8192
+TRAINING_ROWS = 16_384
 PRECISION = 0.98
-TREES, RATE, DEPTH = 60, 0.3, 3
-FEATURES = 8
+TREES, RATE, DEPTH = 40, 0.3, 3
 
 # Possessive quantifiers and look-behinds give the plain patterns' matches in linear time. \G lets a match follow the last one.
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -37,31 +42,48 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-GENERATORS = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+\x20?(?:@|\[at\]|\(at\)|\{{at\}})\x20?[A-Za-z0-9-]{{1,63}}+(?:\x20?(?:\.|\[dot\]|\(dot\)|\{{dot\}})\x20?[A-Za-z0-9-]{{1,63}}+){{1,4}}+",
-    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,3}(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}[0-9]){12,18}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:00|\(?0|\(?[1-9])[0-9]{0,4}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,8}\)?){1,5}(?![0-9A-Za-z])",
-}
-# Words before personal data, and before numbers that aren't.
+_PART, _HEX = "[0-9]{1,3}", "[0-9A-Fa-f]{1,4}"
+#: Kind and pattern. Patterns of a kind overlap, and so do cards and phones.
+GENERATORS = (
+    ("email", rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+\x20?(?:@|\[at\]|\(at\)|\{{at\}})\x20?[A-Za-z0-9-]{{1,63}}+(?:\x20?(?:\.|\[dot\]|\(dot\)|\{{dot\}})\x20?[A-Za-z0-9-]{{1,63}}+){{1,4}}+"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+\x20at\x20[A-Za-z0-9-]{2,63}+(?:\x20dot\x20[A-Za-z]{2,24}+){1,3}+"),
+    ("ip", rf"(?<![0-9A-Fa-f:.]){_PART}(?:(?:\[\.\]|\(\.\)|\.){_PART}){{3}}(?![0-9A-Fa-f:])"),
+    ("ip", rf"(?<![0-9A-Za-z:.])(?:{_HEX}:){{7}}{_HEX}(?![0-9A-Za-z:])"),
+    ("ip", rf"(?<![0-9A-Za-z:.]){_HEX}(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,6}})?(?![0-9A-Za-z:])"),
+    ("card", r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}[0-9]){12,18}(?![0-9])"),
+    ("card", r"(?<![0-9A-Za-z])[0-9]{4}[^0-9A-Za-z\s]{1,2}[0-9]{4,6}[^0-9A-Za-z\s]{1,2}[0-9]{4,5}(?:[^0-9A-Za-z\s]{1,2}[0-9]{4})?(?![0-9A-Za-z])"),
+    ("phone", r"(?<![0-9A-Za-z])(?:00|\(?0|\(?[1-9])[0-9]{0,4}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,8}\)?){1,5}(?![0-9A-Za-z])"),
+    ("phone", r"(?<![0-9A-Za-z])0[0-9]{8,13}(?![0-9A-Za-z])"),
+)
+# Words before personal data of each kind, before numbers that aren't, and others.
 NEAR = {
-    "email": r"(?i)(mail|contact|write|kontakt|correo|courriel)\W*$",
-    "ip": r"(?i)(ip|host|server|address|addr|login|from)\W*$",
-    "card": r"(?i)(card|visa|credit|debit|pay|karte|carte|tarjeta)\W*$",
-    "phone": r"(?i)(phone|tel|telefon|call|mobile?|fax|cell|ruf|appel|llama)\W*$",
+    "email": ("mail", "e-mail", "contact", "write to", "kontakt", "correo", "courriel"),
+    "ip": ("ip", "host", "server", "address", "login from", "addr"),
+    "card": ("card", "visa", "credit", "debit", "pay by", "karte", "carte", "tarjeta"),
+    "phone": ("phone", "tel", "telefon", "call", "mobile", "fax", "cell", "ruf", "appel", "llama"),
 }
-AGAINST = r"(?i)(order|invoice|version|isbn|issn|art|no|nr|id|ref|page|years?|chapter|section|score|#)\W*$"
-# Examples; 9 stands for any digit, a for any small letter. Label, kind, text.
-TEMPLATES = (
-    (1, "email", "mail: aaaa.aaa [at] aaaaaa [dot] aaa"), (1, "email", "contact aaaaaa(at)aaaaaa(dot)aaa"), (1, "email", "write to aaaa99 [at] aaaa.aaa"),
-    (1, "email", "aaa{at}aaaaa{dot}aa"), (0, "email", "aaaaa @ aaaa . aaaa"), (0, "email", "meet us @ aaaaaa. aaaaa"), (0, "email", "99 @ 9.99"), (0, "email", "aaa @aaaaa. aa"),
-    (1, "ip", "host 99[.]99[.]9[.]99"), (1, "ip", "server 9(.)99(.)99(.)9"), (1, "ip", "from 99a9:9aa9:99a9:aa99:9999:99aa:a999:9a9a"), (0, "ip", "version 999.999.999.999"),
-    (0, "ip", "section 999.9.9.999"), (0, "ip", "aaaa 999.999.999.999"),
-    (1, "card", "card 9999.9999.9999.9999"), (1, "card", "visa 9999/9999/9999/9999"), (1, "card", "pay 9999_9999_9999_9999"), (1, "card", "9999.9999.9999.9999"),
-    (0, "card", "isbn 999.9.99.999999.9"), (0, "card", "id 9999999999999"), (0, "card", "invoice 9999.99.99.999999"), (0, "card", "9999999999999999"), (0, "card", "ref 99.999.999.999.999"), (0, "card", "aa 9.9.9.9.9.9.9.9.9.9.9.9.9.9"),
-    (1, "phone", "phone (0999) 999999"), (1, "phone", "tel 0999/999999"), (1, "phone", "call 0999-9999999"), (1, "phone", "telefon 00999 999 9999"), (1, "phone", "mobile 099 999 99 99"),
-    (0, "phone", "years 1999-9999"), (0, "phone", "order 999-9999-99"), (0, "phone", "page 99 999"), (0, "phone", "9999-99-99"), (0, "phone", "score 99 99"), (0, "phone", "aaa 99.99.9999"), (0, "phone", "aaa 999 999"), (0, "phone", "no 0999 999999"),
+AGAINST = ("order", "invoice", "version", "isbn", "issn", "art", "no", "nr", "id", "ref", "page", "years", "chapter", "section", "score", "part", "lot")
+NEUTRAL = ("the", "and then", "with", "aaaaa", "we saw", "und", "der", "que", "les", "about", "aaa aaaa")
+# Examples; 9 stands for any digit, X for any letter from a to f.
+# Kind, 1 personal data (a card with a Luhn sum), 2 personal data after one of the kind's words only, 0 not; form.
+FORMS = (
+    ("email", 1, "XXXX.XXX [at] XXXXXX [dot] XXX"), ("email", 1, "XXXXXX(at)XXXXXX(dot)XXX"), ("email", 1, "XXXX99 [at] XXXX.XXX"), ("email", 1, "XXX{at}XXXXX{dot}XX"),
+    ("email", 1, "X.XXXXX[at]XXXX-XXX.XX"), ("email", 1, "XXX_XX (at) XXXXX [dot] XX [dot] XX"), ("email", 2, "XXXXXX at XXXXXXX dot XXX"), ("email", 2, "XXXX.XXX at XXXXX dot XX dot XX"),
+    ("email", 0, "XXXXX @ XXXX . XXXX"), ("email", 0, "XX @ XXXXXX. XXXXX"), ("email", 0, "99 @ 9.99"), ("email", 0, "XXX @XXXXX. XX"), ("email", 0, "XXXX@ XXXX.XXXX XXX"), ("email", 0, "XXX at XXXX dot XXXXXXXXXXXXX"),
+    ("ip", 1, "99[.]99[.]9[.]99"), ("ip", 1, "9(.)99(.)99(.)9"), ("ip", 1, "199[.]99.99.9"), ("ip", 1, "99X9:9XX9:99X9:XX99:9999:99XX:X999:9X9X"), ("ip", 1, "XX99::9X:9"), ("ip", 1, "fe80::XX99:9Xff:fe99:9X9X"), ("ip", 1, "9X9X:X99::"),
+    ("ip", 0, "999.999.999.999"), ("ip", 0, "999.9.9.999"), ("ip", 0, "XX::XX"), ("ip", 0, "9::9"), ("ip", 0, "999[.]999[.]999[.]999"),
+    ("card", 1, "9999.9999.9999.9999"), ("card", 1, "9999/9999/9999/9999"), ("card", 1, "9999_9999_9999_9999"), ("card", 1, "4999.999999.99999"), ("card", 1, "5999*9999*9999*9999"), ("card", 1, "9999. 9999. 9999. 9999"),
+    ("card", 0, "999.9.99.999999.9"), ("card", 0, "9999999999999"), ("card", 0, "9999.99.99.999999"), ("card", 0, "9999999999999999"), ("card", 0, "99.999.999.999.999"), ("card", 0, "9.9.9.9.9.9.9.9.9.9.9.9.9.9"), ("card", 0, "1999/99/99/999999"), ("card", 0, "99/99/9999 99/99/9999"),
+    ("phone", 1, "(0999) 999999"), ("phone", 2, "0999/999999"), ("phone", 2, "0999-9999999"), ("phone", 1, "00999 999 9999"), ("phone", 2, "099 999 99 99"), ("phone", 1, "(999) 999-9999"), ("phone", 2, "999-999-9999"), ("phone", 2, "09999 999999"), ("phone", 2, "09999999999"),
+    ("phone", 2, "0999.99.99.99"), ("phone", 0, "1999-1999"), ("phone", 0, "999-9999-99"), ("phone", 0, "99 999"), ("phone", 0, "2999-09-19"), ("phone", 0, "99 99"), ("phone", 0, "99.99.1999"), ("phone", 0, "999 999"), ("phone", 0, "9.999.999"), ("phone", 0, "99/99/99"), ("phone", 0, "9999 9999 9999"),
 )
+FEATURES = ("kind", "form", "near", "against", "digits", "length", "marks", "mark_kinds", "luhn", "lead", "zero", "bracket", "year", "shape", "octets", "letters")
+DESCRIBED = "struct<start:int,cand:int,end:int,order:int,x:array<int>>"
+PICKED = "struct<start:int,cand:int,end:int,order:int,score:double>"
+
+
+def _ends_in(words: tuple[str, ...]) -> str:
+    return rf"(?i)(?<![A-Za-z])(?:{'|'.join(words)})\W*$"
 
 
 def _passes(kind: str, m: Column) -> Column:
@@ -82,130 +104,188 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(native.matches(text, BASE[kind], when), lambda x: _passes(kind, x["match"]))
 
 
-def cell(kind: str, x: Column) -> Column:
-    """The features of a candidate as a number below 256."""
-    m, d = x["match"], native.digits(x["match"])
-    marks = F.regexp_replace(m, "[A-Za-z0-9]+", " ")
-    bits = [
-        x["before"].rlike(NEAR[kind]),
-        x["before"].rlike(AGAINST),
-        F.length(d).between(*{"email": (0, 12), "ip": (4, 32), "card": (14, 19), "phone": (10, 15)}[kind]),
-        native.luhn(d) if kind == "card" else m.rlike({"email": r"(\[|\(|\{)at(\]|\)|\})", "ip": r"\[\.\]|\(\.\)|[A-Fa-f:]", "phone": r"^(00|\(?0)"}[kind]),
-        m.rlike({"email": r"\.[A-Za-z]{2,6}$|dot.\x20?[A-Za-z]{2,6}$", "ip": r"^[0-9]{1,3}[^0-9]", "card": r"^[0-9]{4}([^0-9]{1,2}[0-9]{4}){3}$|^[0-9]{4}[^0-9]{1,2}[0-9]{6}[^0-9]{1,2}[0-9]{5}$", "phone": r"[(/]"}[kind]),
-        F.length(F.translate(marks, " ", "")) == 0,
-        F.size(F.array_distinct(F.split(F.trim(F.regexp_replace(m, "[A-Za-z0-9]+", "")), ""))) <= 1,
-        m.rlike({"email": r"\x20", "ip": r"[3-9][0-9]{2}", "card": r"^[3-6]", "phone": r"^(1[89]|20)[0-9]{2}[^0-9]"}[kind]),
-    ]
-    return sum((b.cast("int") * (1 << i) for i, b in enumerate(bits)), F.lit(0))
+def candidates(text: Column, form: int) -> Column:
+    kind, pattern = GENERATORS[form]
+    when = {0: F.contains(text, F.lit("@")) | text.rlike(r"at[\])}]"), 1: F.contains(text, F.lit(" dot ")), 4: F.contains(text, F.lit("::"))}.get(form)
+    return native.matches(text, pattern, when)
+
+
+def features(form: int, x: Column) -> Column:
+    """The features of a candidate (match, before) as an array of whole numbers, in the order of FEATURES."""
+    kind = GENERATORS[form][0]
+    m, before = x["match"], x["before"]
+    d, marks = native.digits(m), F.regexp_replace(m, "[A-Za-z0-9]+", "")
+    shape = F.when(m.rlike(r"^[0-9]{4}([^0-9]{1,2})[0-9]{4}\1[0-9]{4}\1[0-9]{4}$"), 1).when(m.rlike(r"^[0-9]{4}[^0-9]{1,2}[0-9]{6}[^0-9]{1,2}[0-9]{5}$"), 2).when(m.rlike(r"^([0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2})\b"), 3).when(m.rlike(r"\.[A-Za-z]{2,6}$|dot.?\x20?[A-Za-z]{2,6}$"), 4).otherwise(0)
+    values = {
+        "kind": F.lit(KINDS.index(kind)), "form": F.lit(form), "near": before.rlike(_ends_in(NEAR[kind])).cast("int"), "against": before.rlike(_ends_in(AGAINST)).cast("int"),
+        "digits": F.least(F.length(d), F.lit(40)), "length": F.least(F.length(m), F.lit(80)), "marks": F.least(F.length(marks), F.lit(20)), "mark_kinds": F.size(F.array_distinct(F.split(marks, ""))),
+        "luhn": F.when(F.length(d).between(13, 19), native.luhn(d).cast("int")).otherwise(0), "lead": F.coalesce(F.substring(d, 1, 1).try_cast("int"), F.lit(-1)), "zero": m.rlike(r"^\(?0").cast("int"),
+        "bracket": m.rlike(r"\[(at|dot|\.)\]|\((at|dot|\.)\)|\{(at|dot)\}").cast("int") + 2 * m.rlike(r"^\([0-9]+\)").cast("int"), "year": m.rlike(r"(?<![0-9])(1[89]|20)[0-9]{2}(?![0-9])").cast("int"), "shape": shape,
+        "octets": m.rlike(r"(?<![0-9A-Fa-f])([3-9][0-9]{2}|2[6-9][0-9]|25[6-9])(?![0-9A-Fa-f])").cast("int"), "letters": F.least(F.length(F.regexp_replace(m, "[^A-Za-z]+", "")), F.lit(40)),
+    }
+    return F.array(*(values[k].cast("int") for k in FEATURES))
+
+
+def described(found: Column, form: int) -> Column:
+    """Candidates as start, cand, end, order and x, their features."""
+    order = F.lit(KINDS.index(GENERATORS[form][0]))
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(1).alias("cand"), x["end"].alias("end"), order.alias("order"), features(form, x).alias("x")))
 
 
-def candidates(text: Column, kind: str) -> Column:
-    when = {"email": F.contains(text, F.lit("@")) | text.rlike(r"at[\])}]")}.get(kind)
-    return native.matches(text, GENERATORS[kind], when)
+def _values(rows: list[tuple], names: str) -> str:
+    return f"SELECT * FROM VALUES {', '.join(str(r) for r in rows)} AS t({names})"
 
 
 def examples(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
-    """id, label, kind, text: templates filled with pseudo-random digits and letters. Cards are positive only with a Luhn sum."""
-    values = ", ".join(f"({i}, {label}, '{kind}', '{text}')" for i, (label, kind, text) in enumerate(TEMPLATES))
-    t = spark.sql(f"SELECT * FROM VALUES {values} AS t(n, label, kind, form)")
-    d = spark.range(rows).join(F.broadcast(t), F.col("id") % len(TEMPLATES) == F.col("n"))
+    """id, kind, label, text: forms in contexts, filled with pseudo-random digits and letters."""
+    forms = spark.sql(_values([(n, *f) for n, f in enumerate(FORMS)], "n, kind, sort, form"))
+    pick = lambda words, salt: F.get(F.array(*map(F.lit, words)), F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))).cast("int"))
+    d = spark.range(rows).withColumn("n", F.pmod(F.xxhash64("id"), F.lit(len(FORMS)))).join(F.broadcast(forms), "n")
+    near = reduce(lambda a, k: F.when(F.col("kind") == k, pick(NEAR[k], 3)).otherwise(a), KINDS, F.lit(""))
+    context = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(3))
+    d = d.select("id", "kind", "sort", context.alias("context"), F.when(context == 0, near).when(context == 1, pick(AGAINST, 4)).otherwise(pick(NEUTRAL, 5)).alias("word"), "form", pick((" ", ": ", " "), 6).alias("gap"), pick((" and so on", ".", ", as said", " aaa"), 7).alias("tail"))
     draw = lambda i: F.pmod(F.xxhash64("id", i), F.lit(2600))
-    fill = F.transform(F.split("form", ""), lambda c, i: F.when(c == "9", (draw(i) % 10).cast("string")).when((c == "a") & F.col("form").contains("aa"), F.char(97 + draw(i) % 6)).otherwise(c))
-    text = F.concat(F.array_join(fill, ""), F.lit(" and so on"))
-    luhn = (F.col("kind") != "card") | native.luhn(native.digits("_t"))
-    return d.select("id", "label", "kind", text.alias("_t")).select("id", (F.col("label") * luhn.cast("int")).alias("label"), "kind", F.col("_t").alias("text"))
-
-
-def boost(cells: dict[int, list[float]], trees: int = TREES, rate: float = RATE, depth: int = DEPTH) -> dict[int, float]:
-    """Gradient boosting with logistic loss over weighted cells {bits: [negatives, positives]}: the score of each of the 256 cells."""
-    score = dict.fromkeys(range(1 << FEATURES), 0.0)
-    if not cells:
-        return dict.fromkeys(score, -9.0)
-
-    def grow(own: list[int], level: int) -> tuple:
-        g = {c: cells[c][1] - sum(cells[c]) / (1 + math.exp(-score[c])) for c in own}
-        h = {c: sum(cells[c]) * (p := 1 / (1 + math.exp(-score[c]))) * (1 - p) for c in own}
-
-        def gain(cs: list[int]) -> float:
-            return sum(g[c] for c in cs) ** 2 / (sum(h[c] for c in cs) + 1)
-
-        best = (1e-6, None)
-        for f in range(FEATURES):
-            yes, no = [c for c in own if c >> f & 1], [c for c in own if not c >> f & 1]
-            if level and yes and no:
-                best = max(best, (gain(yes) + gain(no) - gain(own), f), key=lambda x: x[0])
+    fill = F.transform(F.split("form", ""), lambda c, i: F.when(c == "9", (draw(i) % 10).cast("string")).when(c == "X", F.char(97 + draw(i) % 6)).otherwise(c))
+    luhn = (F.col("kind") != "card") | native.luhn(native.digits("_f"))
+    label = ((F.col("sort") == 1) & ~((F.col("context") == 1) & F.col("kind").isin("card", "phone")) | (F.col("sort") == 2) & (F.col("context") == 0)) & luhn
+    return d.withColumn("_f", F.array_join(fill, "")).select("id", "kind", label.cast("int").alias("label"), F.concat("word", "gap", "_f", "tail").alias("text"))
+
+
+class Trees:
+    """Boosted regression trees of the logistic loss, and each kind's threshold."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = RATE, depth: int = DEPTH):
+        self.trees: list = []
+        self.limits = dict.fromkeys(KINDS, math.inf)
+        self._cuts = [np.unique(x[:, f])[:-1] for f in range(x.shape[1])] if len(x) else []
+        score = np.zeros(len(x))
+        for _ in range(trees if len(x) else 0):
+            p = 1 / (1 + np.exp(-score))
+            tree = self._grow(x, y - p, p * (1 - p), np.arange(len(x)), depth, rate)
+            self.trees.append(tree)
+            score += self._of(tree, x)
+
+    def _grow(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, own: np.ndarray, level: int, rate: float) -> tuple:
+        total_g, total_h = g[own].sum(), h[own].sum()
+        best = (total_g**2 / (total_h + 1) + 1e-6, None)
+        for f, cuts in enumerate(self._cuts if level else ()):
+            for c in cuts:
+                low = own[x[own, f] <= c]
+                if 0 < len(low) < len(own):
+                    a, b = g[low].sum(), h[low].sum()
+                    gain = a**2 / (b + 1) + (total_g - a) ** 2 / (total_h - b + 1)
+                    if gain > best[0]:
+                        best = (gain, (f, int(c), low))
         if best[1] is None:
-            return (sum(g.values()) / (sum(h.values()) + 1),)
-        f = best[1]
-        return f, grow([c for c in own if not c >> f & 1], level - 1), grow([c for c in own if c >> f & 1], level - 1)
-
-    for _ in range(trees):
-        tree = grow(sorted(cells), depth)
-        for c in score:
-            node = tree
-            while len(node) == 3:
-                node = node[1 + (c >> node[0] & 1)]
-            score[c] += rate * node[0]
-    return score
-
-
-def fit(spark: SparkSession, rows: int = TRAINING_ROWS, precision: float = PRECISION) -> dict[str, list[bool]]:
-    """For each kind, whether a candidate of each cell is taken."""
-    taken = {}
+            return (float(rate * total_g / (total_h + 1)),)
+        f, c, low = best[1]
+        return f, c, self._grow(x, g, h, low, level - 1, rate), self._grow(x, g, h, np.setdiff1d(own, low), level - 1, rate)
+
+    def _of(self, node: tuple, x: np.ndarray) -> np.ndarray:
+        if len(node) == 1:
+            return np.full(len(x), node[0])
+        low = x[:, node[0]] <= node[1]
+        out = np.empty(len(x))
+        out[low], out[~low] = self._of(node[2], x[low]), self._of(node[3], x[~low])
+        return out
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return sum((self._of(t, x) for t in self.trees), np.zeros(len(x)))
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray, precision: float) -> None:
+        """Sets each kind's threshold: the lowest score from which on enough of the rows are positive."""
+        score = self.scores(x)
+        for k, kind in enumerate(KINDS):
+            own = x[:, 0] == k
+            s, good = score[own], y[own]
+            values = np.unique(s)[::-1]
+            for v in values[values > 0]:
+                if good[s >= v].mean() >= precision:
+                    self.limits[kind] = float(v) - 1e-9
+
+    def column(self, x: Column) -> Column:
+        """The score of an array of features."""
+
+        def of(node: tuple) -> Column:
+            if len(node) == 1:
+                return F.lit(node[0])
+            return F.when(F.get(x, F.lit(node[0])) <= node[1], of(node[2])).otherwise(of(node[3]))
+
+        return reduce(add, map(of, self.trees), F.lit(0.0))
+
+    def taken(self, found: Column) -> Column:
+        """Of described candidates those that reach their kind's threshold, as PICKED."""
+        limits = F.array(*(F.lit(float(self.limits[k])) for k in KINDS))
+        scored = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["cand"].alias("cand"), x["end"].alias("end"), x["order"].alias("order"), self.column(x["x"]).alias("score")))
+        return F.filter(scored, lambda x: x["score"] >= F.get(limits, x["order"]))
+
+
+def fit(spark: SparkSession, rows: int = TRAINING_ROWS, precision: float = PRECISION) -> Trees:
     made = examples(spark, rows)
-    parts = [made.where(F.col("kind") == k).select(F.lit(k).alias("kind"), "label", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)) == 0).alias("grow"), F.explode(F.transform(candidates(F.col("text"), k), lambda x: cell(k, x))).alias("cell")) for k in KINDS]
-    all_cells = parts[0]
-    for p in parts[1:]:
-        all_cells = all_cells.unionByName(p)
-    counted = all_cells.groupBy("kind", "label", "grow", "cell").count().collect()  # at most 4 * 2 * 2 * 256 rows
-    for k in KINDS:
-        grown, held = {}, {}
-        for r in counted:
-            if r["kind"] == k:
-                (grown if r["grow"] else held).setdefault(r["cell"], [0.0, 0.0])[r["label"]] += r["count"]
-        score = boost(grown)
-        least, good, bad = math.inf, 0.0, 0.0
-        for c in sorted(held, key=lambda c: -score[c]):
-            good, bad = good + held[c][1], bad + held[c][0]
-            if good >= precision * (good + bad) and score[c] > 0:
-                least = score[c]
-        # cells that no example has seen are not taken
-        taken[k] = [score[c] >= least and c in grown for c in range(1 << FEATURES)]
-    return taken
-
-
-def detect(docs: DataFrame, model: dict[str, list[bool]] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, spans_list (array of start, order, end, kind), and the columns to keep."""
-    model = model or fit(docs.sparkSession)
-    t = F.col("_t")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_t"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
-    base, more = [f"_b_{k}" for k in KINDS], [f"_m_{k}" for k in KINDS]
-    d = d.select("*", *(native.kind_spans(base_spans(t, k), k, i).alias(b) for i, (k, b) in enumerate(zip(KINDS, base, strict=True))))
-    d = d.withColumn("_base", F.sort_array(F.concat(*base)))
-    for i, k in enumerate(KINDS):
-        table = F.array(*map(F.lit, model[k]))
-        free = F.filter(candidates(t, k), lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
-        picked = F.filter(free, lambda x: F.get(table, cell(k, x)))
-        d = d.withColumn(more[i], native.kind_spans(picked, k, i) if any(model[k]) else F.slice(base[i], 1, 0))
-    every = F.sort_array(F.concat("_base", *more))
+    none = F.expr(f"cast(array() AS array<{DESCRIBED}>)")
+    own = [F.when(F.col("kind") == kind, described(candidates(F.col("text"), form), form)).otherwise(none) for form, (kind, _) in enumerate(GENERATORS)]
+    found = made.select("label", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)) == 0).alias("grow"), F.explode(F.concat(*own)).alias("x")).select("label", "grow", "x.x")
+    # equal examples as one with their number: at most a few of each of the rows
+    got = found.groupBy("label", "grow", "x").count().orderBy("grow", "label", "x").collect()
+    x, y, n, grow = (np.array(c) for c in ([r["x"] for r in got], [r["label"] for r in got], [r["count"] for r in got], [r["grow"] for r in got]))
+    each = lambda own: (np.repeat(x[own], n[own], 0), np.repeat(y[own], n[own]))
+    model = Trees(*each(grow))
+    model.calibrate(*each(~grow), precision)
+    return model
+
+
+def _apart(base: Column, picked: Column) -> Column:
+    """Taken candidates (PICKED) that overlap no base span, and of those that overlap each other the best scored. Both by start."""
+    as_item = F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("cand"), b["end"].alias("end"), b["order"].alias("order"), F.lit(0.0).alias("score")))
+    none = F.expr(f"cast(array() AS array<{PICKED}>)")
+
+    far = 2147483647
+
+    def after(every: Column) -> Column:
+        """Without candidates that a base span from before their start reaches into."""
+        reach = native.running(F.transform(every, lambda x: F.when(x["cand"] == 0, x["end"]).otherwise(-1)), F.greatest)
+        return native.bound(reach, lambda r: F.filter(every, lambda x, i: (x["cand"] == 0) | (x["start"] >= F.get(r, i))))
+
+    def before(back: Column) -> Column:
+        """Of spans from last to first the candidates that end before the next base span."""
+        bound = native.running(F.transform(back, lambda x: F.when(x["cand"] == 0, x["start"]).otherwise(far)), F.least)
+        return native.bound(bound, lambda b: F.filter(back, lambda x, i: (x["cand"] == 1) & (x["end"] <= F.get(b, i))))
+
+    def best(last: Column, x: Column) -> tuple[Column, Column]:
+        apart = x["start"] >= last["end"]
+        return F.when(apart | (x["score"] > last["score"]), x).otherwise(last), F.when(apart & (last["cand"] == 1), F.array(last)).otherwise(none)
+
+    free = F.reverse(native.bound(F.reverse(native.bound(F.sort_array(F.concat(as_item, picked)), after)), before))
+    start = F.expr(f"cast(named_struct('start', -1, 'cand', 0, 'end', -1, 'order', 0, 'score', 0.0D) AS {PICKED})")
+    kept = native.bound(free, lambda f: native.walk(f, start, best, PICKED, lambda last: F.when(last["cand"] == 1, F.array(last)).otherwise(none)))
+    return F.when(F.size(picked) > 0, kept).otherwise(none)
+
+
+def _spans(d: DataFrame, text: Column, model: Trees | None) -> DataFrame:
+    """d with _base_<kind>, _base and _spans: sorted arrays of start, order, end, kind."""
+    model = model or fit(d.sparkSession)
+    d = d.select("*", *(native.kind_spans(base_spans(text, k), k, i).alias(f"_base_{k}") for i, k in enumerate(KINDS)))
+    d = d.withColumn("_base", F.sort_array(F.concat(*(f"_base_{k}" for k in KINDS))))
+    forms = [described(candidates(text, form), form) for form, (kind, _) in enumerate(GENERATORS) if model.limits[kind] < math.inf]
+    d = d.withColumn("_found", F.concat(*forms) if forms else F.expr(f"cast(array() AS array<{DESCRIBED}>)"))
+    d = d.withColumn("_picked", F.array_sort(model.taken(F.col("_found"))))
+    kinds = F.array(*map(F.lit, KINDS))
+    more = F.transform(_apart(F.col("_base"), F.col("_picked")), lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["end"].alias("end"), F.get(kinds, x["order"]).alias("kind")))
+    return d.withColumn("_spans", F.sort_array(F.concat("_base", more)))
+
+
+def detect(docs: DataFrame, model: Trees | None = None) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, spans_list (array of start, order, end, kind)."""
+    d = _spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_t")), F.col("_t"), model)
     return d.select(
-        "doc_id", *(F.size(b).cast("long").alias(f"n_{k}") for k, b in zip(KINDS, base, strict=True)),
-        F.sha2(native.joined(F.col("_base")), 256).alias("base_sha256"), native.joined(every).alias("spans"), every.alias("spans_list"), *(F.col(f"_keep_{c}").alias(c) for c in keep),
+        "doc_id", *(F.size(f"_base_{k}").cast("long").alias(f"n_{k}") for k in KINDS),
+        F.sha2(native.joined(F.col("_base")), 256).alias("base_sha256"), native.joined(F.col("_spans")).alias("spans"), F.col("_spans").alias("spans_list"),
     )
 
 
-def redact(docs: DataFrame, model: dict[str, list[bool]] | None = None) -> DataFrame:
+def redact(docs: DataFrame, model: Trees | None = None) -> DataFrame:
     """docs with each span of text replaced by its kind in brackets; overlapping spans become one. A null text stays null."""
-    columns = docs.columns
-    d = detect(docs.withColumnRenamed("doc_id", "_id").withColumn("doc_id", F.lit(0)), model, tuple("_id" if c == "doc_id" else c for c in columns))
-    text = F.col("text")
-
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        piece = F.when(inside, F.array().cast("array<string>")).otherwise(F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), s["kind"], F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    new = F.aggregate("spans_list", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.lit(2147483647))))
-    d = d.withColumn("text", F.when(F.size("spans_list") > 0, new).otherwise(text))
-    return d.select(*(F.col("_id").alias("doc_id") if c == "doc_id" else F.col(c) for c in columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    d = _spans(docs.select(row, text_or_empty().alias("_t")), F.col("_t"), model).withColumn("_blocks", F.when(F.size("_spans") > 0, native.blocks(F.col("_t"))))
+    new = F.when(F.size("_spans") > 0, native.replaced(F.col("_t"), F.col("_blocks"), F.col("_spans"))).otherwise(F.col("_row.text"))
+    return d.select(*(new.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -4,12 +4,18 @@ Every version of every text is a blob, addressed by its SHA-256. The ledger reco
 version that was ever scanned; a scan takes up only pairs not yet there, each distinct blob once, however many rows hold it. Findings
 are joined back to all rows.
 
+A scan's findings are a folder of their own in the ledger, which counts once it is complete: a scan that fails leaves nothing behind that
+is read. Two scans at a time may both take up a blob; the findings of a pair are the same whoever found them, and are read once.
+
 Defined cases: a null text is the empty blob; repeated rows give a row each; an empty table gives none; columns other than the id
-and text are ignored.
+and text are ignored; a text of any length is read whole, in time linear in its length and its matches; kinds that match at the same
+place are all reported, in the order listed.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,26 +54,32 @@ def findings(text: Column) -> Column:
     return F.sort_array(F.concat(*parts))
 
 
+#: Parts that the rows of a blob are dealt to where findings are joined back, as a third of all rows may be copies of one.
+SPLIT = 16
+
+
 class Ledger:
-    """A Parquet table of (blob, rules, findings) in a folder that all executors share."""
+    """A table of (blob, rules, findings) in a folder that all executors share: a Parquet folder for each scan."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, rules: str = RULES_VERSION):
         self.spark, self.path, self.rules = spark, path or new_path(spark, "ledger"), rules
 
     def read(self) -> DataFrame | None:
+        """All complete scans' rows; a pair that two scans took up at a time stands there twice."""
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            return None
-        return self.spark.read.schema(f"blob binary, rules string, findings {FINDINGS}").parquet(self.path)
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        scans = [x.getPath() for x in fs.listStatus(p)] if fs.exists(p) else []
+        done = sorted(x.toString() for x in scans if fs.exists(x.suffix("/_SUCCESS")))
+        return self.spark.read.schema(f"blob binary, rules string, findings {FINDINGS}").parquet(*done) if done else None
 
     def scan(self, versions: DataFrame) -> DataFrame:
-        """versions: blob, text. Scans the blobs that the ledger lacks under these rules, appends them and returns the ledger."""
+        """versions: blob, text. Scans the blobs that the ledger lacks under these rules, adds them and returns the ledger of these rules."""
         known = self.read()
         fresh = versions
         if known is not None:
             fresh = fresh.join(known.where(F.col("rules") == self.rules).select("blob"), "blob", "left_anti")
         once = fresh.groupBy("blob").agg(F.first("text").alias("text"))
-        once.select("blob", F.lit(self.rules).alias("rules"), findings(F.col("text")).alias("findings")).write.mode("append").parquet(self.path)
+        once.select("blob", F.lit(self.rules).alias("rules"), findings(F.col("text")).alias("findings")).write.parquet(f"{self.path}/scan-{uuid.uuid4().hex}")
         return self.read().where(F.col("rules") == self.rules)
 
 
@@ -77,13 +89,16 @@ def scan(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     text = text_or_empty()
     blob = F.unhex(F.sha2(text, 256))
     known = ledger.scan(docs.select(blob.alias("blob"), text.alias("text")))
-    # only blobs with findings travel back; a blob's rows may be split over tasks
-    hits = known.where(F.size("findings") > 0).select("blob", "findings")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob.alias("blob")).join(hits, "blob", "left")
+    # only blobs with findings travel back, once each; a blob's rows are split over tasks
+    hits = known.where(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("findings"))
+    hits = hits.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob.alias("blob")).withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(SPLIT)).cast("int"))
+    d = d.join(hits, ["blob", "_part"], "left")
     every = F.coalesce("findings", F.expr(f"cast(array() AS {FINDINGS})"))
     d = d.select("doc_id", every.alias("findings"))
     base = F.filter("findings", lambda s: s["order"] < len(KINDS))
+    of = lambda k: F.size(F.filter("findings", lambda s: s["kind"] == k)).cast("long")
     return d.select(
-        "doc_id", *(F.size(F.filter("findings", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS),
+        "doc_id", *(of(k).alias(f"n_{k}") for k in KINDS),
         F.sha2(native.joined(base), 256).alias("base_sha256"), native.joined(F.col("findings")).alias("spans"), "findings",
     )
