@@ -1,7 +1,7 @@
 """Connected components of a table of links: alternating large-star and small-star rounds.
 
-Each round is a join on a node and a minimum per node, so a hub's links may be split over tasks; nothing
-is gathered. Every round is written to the shared folder.
+Each round is a join on a node and a minimum per node. Minima are pre-aggregated before they are shuffled, and a node's links are
+dealt to SPLIT tasks for the join, as a hub may hold a third of all; nothing is gathered. Every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+SPLIT = 16
+
+
+def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
+    """links (u, v) with u's least (u, m)."""
+    parts = least.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))
+    return links.withColumn("_part", F.pmod(F.xxhash64("v"), F.lit(SPLIT)).cast("int")).join(parts, ["u", "_part"])
+
 
 def components(links: DataFrame, tag: str = "links") -> DataFrame:
     """links: a, b (long). Returns node, component (the smallest node reachable) for each node with a link to another."""
@@ -20,11 +28,11 @@ def components(links: DataFrame, tag: str = "links") -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: each neighbour above u is linked to the least of u's surroundings
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, tag)
         # small star: u and its lower neighbours are linked to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = _with_least(large, least)
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         small = materialize(small, tag)
         # done when every node has one parent and no parent has a parent

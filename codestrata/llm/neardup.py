@@ -14,7 +14,9 @@ With 20 bands of four registers a pair at the threshold 0.85 is missed with prob
 
 Defined cases: a null or word-free text has an empty set and is linked with nothing; a text of fewer than five
 words has one shingle; a null doc_id is its own class, with a null component, and is kept; repeated rows give
-a row each; an empty table gives none; columns other than doc_id and text are ignored.
+a row each, and rows that share a doc_id but not the text are classes of their own, each with its links; texts of any length are taken
+whole; a similarity right at the threshold is a link; of a component's documents that share its smallest doc_id all are kept; an empty
+table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -86,14 +88,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n.append(len(s))
                 key.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "tag", "n_shingles", "set_key", "sig"])
     release()
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets, null for the empty one), sig (registers)."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return source.mapInArrow(_features, "doc_id long, n_shingles long, set_key binary, sig binary")
+    """doc_id, tag (a hash of the text), n_shingles, set_key (equal for equal sets, null for the empty one), sig (registers)."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("tag"))
+    return source.mapInArrow(_features, "doc_id long, tag long, n_shingles long, set_key binary, sig binary")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,16 +202,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document; linked where 100 * intersection >= percent * union."""
     feats = materialize(features(docs), "features")
     named = feats.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    reps = materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "reps")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).where("id IS NOT NULL")
+    classes = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "tag")).alias("row"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    # a class has a number of its own, fixed once written: a doc_id may stand for several
+    reps = materialize(classes.select("set_key", F.monotonically_increasing_id().alias("id"), "row.doc_id", "row.tag", "sig", "n_shingles"), "reps")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tag"), text_or_empty().alias("text")).where("doc_id IS NOT NULL")
     bands = reps.select("id", "sig").mapInArrow(_bands, "bucket long, id long")
     hubs = bands.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     star = materialize(bands.join(hubs, "bucket").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "star")
     # all that share a bucket, directly or over others, are one cluster; links lie within clusters
     cluster = components(star).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    clustered = reps.select("id", "sig", "n_shingles").join(cluster, "id")
+    clustered = reps.select("id", "doc_id", "tag", "sig", "n_shingles").join(cluster, "id")
     # neither side of this join has a size bound: it is a merge join at every size
-    own = materialize(texts.hint("merge").join(clustered, "id").dropDuplicates(["id"]), "texts")
+    own = materialize(texts.hint("merge").join(clustered, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]), "texts")
     side = lambda c: own.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     likely = materialize(star.join(side("a"), "a").join(side("b"), "b").mapInArrow(_screen(percent / 100), "a long, b long"), "likely")
     whole = lambda c: own.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
@@ -225,7 +229,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     more = materialize(dealt.groupBy("cluster", "lo", "hi").applyInArrow(_compare(percent), "a long, b long"), "links")
     if more.limit(1).count():
         label = components(links.unionByName(more))
-    class_of = reps.select("set_key", "id").join(label.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
+    label = label.withColumnRenamed("node", "id")
+    least = label.join(reps.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("least"))
+    linked = label.join(least, "component").select("id", "least")
+    class_of = reps.select("set_key", "id", "doc_id").join(linked, "id", "left").select("set_key", F.coalesce("least", "doc_id").alias("component_id"))
     out = feats.select("doc_id", "n_shingles", "set_key").join(class_of, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -55,6 +55,14 @@ def test_empty_null_ids_and_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in rows) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False)]
 
 
+def test_rows_that_share_a_doc_id_keep_their_links(spark):
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, " ".join([*a, "tail"])), (7, " ".join([*b, "tail"])), (8, " ".join([*b, "tail", "end"])), (9, "alone in the end now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect())
+    assert got == [(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (8, 5, False), (9, 9, True)]
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**63, 3000).astype(np.uint64)
