@@ -4,13 +4,15 @@ Templates are base phrases and license notices, as words. All rolling K-word has
 positions; a match of document word p with template word t votes for the diagonal p - t. Votes are summed by document, template and
 diagonal; a base phrase must have every one of its votes. For a notice with votes for LEAST of its K-grams the spans are verified: these
 K-grams must stand in the document in the notice's order, each once, on diagonals that slip by SLIP words at most from one to the next
-(inserted or missing words), in a span of at most twice the notice and SLIP words. Hashes have 64 bits.
+(inserted or missing words), in a span of at most twice the notice and SLIP words. Hashes only find places: the words that stand there are
+compared with the template's, and a place where they differ has no vote.
 
 The template table has a fixed size (a few hundred rows), so it is sent to every executor. Nothing else is.
 
-Defined cases: a null text is empty; a document without places has n_base 0, null first and last word, empty labels and score 0; rows
-are told apart by doc_id and text, so repeated rows get equal results; a null doc_id is carried; an empty table gives no rows; columns
-other than doc_id and text are ignored.
+Defined cases: a null text is empty; a document without places has n_base 0, null first and last word, empty labels and score 0; a text that
+holds several notices, or fits several equally well, has all their labels, sorted; rows are told apart by doc_id and text, so repeated rows
+get equal results; a null doc_id is carried; texts of any length are scanned whole, and verified in time linear in their places; an empty
+table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -61,15 +63,31 @@ def _tag(text: str | None) -> int:
     return int.from_bytes(blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _grams(text: str) -> tuple[np.ndarray, list[bytes]]:
+    """The hashes of all K words in a row, and the words."""
+    w = content_words(text)
+    return words.grams(words.hash_words(w), K).view(np.int64), w
+
+
+def _every() -> list[tuple[str, bool, str]]:
+    return [(k, True, v) for k, v in PHRASES.items()] + [(k, False, v) for k, v in NOTICES.items()]
+
+
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, tag (a hash of the text), and the hash of every K words in order."""
+    """doc_id, tag (a hash of the text), the hash of every K words in order, and the places whose hash is a template's and whose words aren't."""
+    meant = {h: w[i : i + K] for _, _, t in _every() for g, w in [_grams(t)] for i, h in enumerate(g.tolist())}
+    known = np.array(sorted(meant), np.int64)
     for rb in batches:
         for at in range(0, rb.num_rows, 512):
             part = rb.slice(at, 512)
-            texts = part.column(1).to_pylist()
-            own = [words.grams(words.hash_words(content_words(t)), K).view(np.int64) for t in texts]
+            texts, own, other = part.column(1).to_pylist(), [], []
+            for t in texts:
+                g, w = _grams(t)
+                own.append(g)
+                hits = np.flatnonzero(known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g).tolist()
+                other.append([i for i in hits if w[i : i + K] != meant[int(g[i])]])
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate(own)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_tag(t) for t in texts], pa.int64()), lists], names=["doc_id", "tag", "hashes"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_tag(t) for t in texts], pa.int64()), lists, pa.array(other, pa.list_(pa.int32()))], names=["doc_id", "tag", "hashes", "other"])
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +99,8 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(spark: SparkSession) -> DataFrame:
     """template, label, base, size (K-grams), at, hash: a row for each K-gram of each template."""
     rows = []
-    every = [(k, True, v) for k, v in PHRASES.items()] + [(k, False, v) for k, v in NOTICES.items()]
-    for n, (label, base, text) in enumerate(every):
-        h = words.grams(words.hash_words(content_words(text)), K).view(np.int64).tolist()
+    for n, (label, base, text) in enumerate(_every()):
+        h = _grams(text)[0].tolist()
         rows += [(n, label, base, len(h), at, x) for at, x in enumerate(h)]
     return spark.createDataFrame(rows, "template int, label string, base boolean, size int, at int, hash long")
 
@@ -121,8 +138,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def places(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. Verified spans: key (doc_id, tag), label, base, start, share of the template's votes."""
-    grams = docs.mapInArrow(_hashes, "doc_id long, tag long, hashes array<long>").select("doc_id", "tag", F.posexplode("hashes").alias("p", "hash"))
-    votes = grams.join(F.broadcast(templates(docs.sparkSession)), "hash")
+    hashed = docs.mapInArrow(_hashes, "doc_id long, tag long, hashes array<long>, other array<int>")
+    grams = hashed.select("doc_id", "tag", "other", F.posexplode("hashes").alias("p", "hash"))
+    votes = grams.join(F.broadcast(templates(docs.sparkSession)), "hash").where(~F.array_contains("other", F.col("p")))
     # rows that are repeated vote alike: a template's position counts once on a diagonal
     key = ["doc_id", "tag", "template", "label", "base", "size"]
     on = materialize(votes.groupBy(*key, (F.col("p") - F.col("at")).alias("diagonal"), "at").agg(F.lit(1).alias("one")), "diagonals").withColumn("_key", F.struct("doc_id", "tag"))
