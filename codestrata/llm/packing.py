@@ -5,9 +5,12 @@ nearly full are final. Underfull bins travel up a tree as items: each round deal
 bounded size, packs them by best fit again and accepts a larger residual as full, until the last
 round accepts all. Only underfull bins are ever shuffled.
 
+Ids are those of the tokenizers library as it reads the file: a special token's string in a text is that token.
+
 Defined cases: a null text is an empty one (its only token is the end id); a null doc_id is carried;
 repeated rows are packed once each; an empty table gives no rows; columns other than doc_id and text
-are ignored. Strings of special tokens in a text are ordinary text.
+are ignored; a text of any length is tokenized whole and cut into pieces; of bins with equal residuals that fit, the one
+that got it last takes the item, and equal sizes are packed in the order read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ SEQ_LEN = 1024
 END_ID = 2
 #: Residual tokens that count as full: of a partition's own bins, then of the bins of each round.
 SLACK = (8, 24, 96, SEQ_LEN)
-#: Items and open bins held at once by a partition, and bins of a group of a round.
+#: Items and open bins held at once by a partition, and pieces of a group of a round.
 CHUNK = 65_536
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, used long, done boolean"
 _cache: dict = {}
@@ -48,18 +51,19 @@ def encoder(path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab, special = file["model"]["vocab"], {t["content"]: t["id"] for t in file["added_tokens"]}
         # the printable stand-ins of byte-level BPE: printable bytes stand for themselves, the rest follow from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         to_byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-        ranks = {bytes(to_byte[c] for c in t): i for t, i in vocab.items() if all(c in to_byte for c in t) and t != "<|endoftext|>"}
-        _cache[path] = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        ranks = {bytes(to_byte[c] for c in t): i for t, i in vocab.items() if all(c in to_byte for c in t) and t not in special}
+        _cache[path] = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _cache[path]
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
-    ids = encoder(path).encode_to_numpy(text, disallowed_special=())
+    ids = encoder(path).encode_to_numpy(text, allowed_special="all")
     return np.append(ids, np.uint32(END_ID)).astype("<u4")
 
 
@@ -175,7 +179,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, seq_len: int = SEQ_
     parts = [level.where("done")]
     for s in slack[1:]:
         left = level.where("NOT done")
-        n = left.agg(F.count_distinct("sequence_id")).first()[0]
+        n = left.count()
         if not n:
             break
         groups = -(-n // chunk)

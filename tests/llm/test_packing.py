@@ -5,13 +5,14 @@ import pytest
 from codestrata.llm import packing
 from tokenizers import Tokenizer
 
-TEXTS = ["", None, "a", "word " * 3000, "Ünïcode ½ Ⅷ _x_ \x1c y", "I'm <|endoftext|> ok", "x" * 9000, "日本語 テスト", "  lead\n\n trail  "]
+TEXTS = ["", None, "a", "word " * 3000, "Ünïcode ½ Ⅷ _x_ \x1c y", "I'm <|endoftext|> ok", "<|endoftext|>", " a  <|endoftext|><|endoftext|>\n\n b<|endoftext", "The cat's  \t paw 123 4567!? " * 9000, "x" * 9000, "日本語 テスト", "  lead\n\n trail  "]
+
+
+TOKENIZER = Tokenizer.from_file(packing.default_tokenizer())
 
 
 def ids_of(text):
-    t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+    return np.array([*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -56,6 +57,13 @@ def test_whole_table_is_tight(spark, sf):
     assert n <= total / 1024 * 1.03 + 1
 
 
+def test_groups_of_a_round_are_bounded_by_pieces(spark):
+    """Tiny documents: bins of a thousand pieces each make many groups, all of them whole."""
+    docs = [(i, "a" if i % 5 else "a b c") for i in range(3000)]
+    n, total = check(packing.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(9), chunk=512).collect(), docs)
+    assert n <= -(-total // 1024) * 1.5 + 10
+
+
 def test_empty_and_repeated(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(none).count() == 0
