@@ -1,25 +1,30 @@
 """Symbols and call references of source files: table-valued, one file to any number of rows.
 
-There is no grammar library here: brace languages are read by blanking comments and strings and matching brackets, Python by its
-own parser. A file that can't be read gives no rows. Fingerprints are windows of (depth, token class) of these tokens.
+There is no grammar library here: brace languages are read by blanking comments, strings and regular expressions and matching brackets, Python
+by its own parser, or by indentation where a file has a syntax error. Fingerprints are windows of (depth, token class) of these tokens.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.stage import stage
 
 RAW = "file_path string, ord int, kind string, name string, qualified_name string, line_start int, line_end int, signature string, body_text string, parent string, visibility string, parameters array<struct<name:string,type_annotation:string>>, return_type string, ast_fingerprint array<bigint>"
 CALLS = "caller string, callee string, file_path string, line int"
 # Words that stand before a bracket without being called.
 NOT_CALLED = frozenset("if for while match switch catch return func fn function loop else in of typeof new await async def class lambda not and or print_ super_ sizeof select go defer range case var let const type struct enum impl trait interface where elif except with assert yield del is".split())
+#: A regular expression of TypeScript or JavaScript, after what can't end a value.
+_REGEX = r"(?P<pre>(?:[(,=:\[!&|?{;~^+\-*%<>]|\b(?:return|typeof|case|in|of|delete|void|throw|new|else|do|await|yield)\b)\s*)/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
 _TOKEN = re.compile(r"[A-Za-z_]\w*|\d[\w.]*|\s+|.", re.S)
 _KEYWORDS = sorted("if else for while loop match switch case return break continue let const var mut fn func function def class struct enum trait impl interface type import use from pub async await try catch finally except raise throw new in of as and or not is lambda with yield go defer select range map".split())
 
@@ -27,8 +32,15 @@ _KEYWORDS = sorted("if else for while loop match switch case return break contin
 def blank(src: str, lang: str) -> str:
     """The source with comments and the insides of strings as spaces, newlines kept."""
     quotes = {"rust": r'"(?:\\.|[^"\\])*"|r(#*)".*?"\1' + r"|'(?:\\.|[^'\\\n])'", "go": r'"(?:\\.|[^"\\\n])*"|`[^`]*`|' + r"'(?:\\.|[^'\\\n])+'"}.get(lang, r'"(?:\\.|[^"\\\n])*"|' + r"'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`")
-    found = re.compile(rf"//[^\n]*|/\*.*?(?:\*/|\Z)|{quotes}", re.S)
-    return found.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), src)
+    regex = f"|{_REGEX}" if lang in ("typescript", "tsx", "javascript") else "|(?P<pre>(?!))"
+    found = re.compile(rf"//[^\n]*|/\*.*?(?:\*/|\Z)|{quotes}{regex}", re.S)
+    return found.sub(lambda m: (m["pre"] or "") + re.sub(r"[^\n]", " ", m[0][len(m["pre"] or "") :]), src)
+
+
+def blank_python(src: str) -> str:
+    triple = "|".join(q * 3 + r"(?:\\.|.)*?(?:" + q * 3 + r"|\Z)" for q in "\"'")
+    single = "|".join(q + rf"(?:\\.|[^{q}\\\n])*{q}?" for q in "\"'")
+    return re.compile(rf"#[^\n]*|{triple}|{single}", re.S).sub(lambda m: re.sub(r"[^\n]", " ", m[0]), src)
 
 
 def close(b: str, at: int) -> int:
@@ -92,12 +104,19 @@ def fingerprint(blanked: str) -> list[int]:
 class File:
     def __init__(self, path: str, src: str, lang: str):
         self.path, self.src, self.lang = path, src, lang
-        self.b = blank(src, lang)
+        self.b = blank_python(src) if lang == "python" else blank(src, lang)
         self.rows: list[dict] = []
         self.spans: list[tuple[int, int, str]] = []  # of functions: start, end, what callers are called
+        self.names: set[int] = set()  # where functions' names stand in their definitions
+        self.lines = src.split("\n")
+        self.starts = list(accumulate((len(x) + 1 for x in self.lines), initial=0))
 
     def line(self, at: int) -> int:
-        return self.src.count("\n", 0, at) + 1
+        return min(bisect_right(self.starts, at), len(self.lines))
+
+    def defines(self, start: int, end: int, caller: str, name_at: int) -> None:
+        self.spans.append((start, end, caller))
+        self.names.add(name_at)
 
     def emit(self, kind: str, name: str, start: int, end: int, parent: str | None = None, visibility: str = "Unknown", params: list | None = None, ret: str | None = None, sep: str = "::", first: int | None = None, print_: bool = True) -> None:
         params = params or []
@@ -152,7 +171,7 @@ def rust(f: File, s: int, e: int, parent: str | None = None) -> None:
             stop = brace if brace >= 0 else end - 1
             ret = re.split(r"\bwhere\b", f.src[arrow.end() : stop])[0].strip() if arrow else None
             f.emit("Method" if parent else "Function", named[1], start, end, parent, vis, params, ret)
-            f.spans.append((start, end, f"{parent}::{named[1]}" if parent else named[1]))
+            f.defines(start, end, f"{parent}::{named[1]}" if parent else named[1], named.start(1))
             if brace >= 0:
                 rust(f, brace + 1, end - 1, parent)
         elif named:
@@ -185,7 +204,7 @@ def go(f: File, s: int, e: int) -> None:
             ret = f.src[c : brace if brace >= 0 else end].strip() or None
             recv = n["recv"].split()[-1].lstrip("*").split("[")[0] if n["recv"] and n["recv"].strip() else None
             f.emit("Method" if recv else "Function", n["name"], m.start(), end, recv, seen(n["name"]), params, ret)
-            f.spans.append((m.start(), end, f"{recv}::{n['name']}" if recv else n["name"]))
+            f.defines(m.start(), end, f"{recv}::{n['name']}" if recv else n["name"], n.start("name"))
             if brace >= 0:
                 go(f, brace + 1, end - 1)
             at = max(end, at)
@@ -223,13 +242,13 @@ _METHOD = re.compile(r"(?:(?:public|private|protected|static|async|override|read
 
 def _comment_line(f: File, start: int) -> int:
     """The line of a comment that ends right before an item, else the item's own."""
-    before = f.src[:start].rstrip()
-    head = before.rfind("/*")
-    if before.endswith("*/") and head >= 0:
+    end = start
+    while end and f.src[end - 1].isspace():
+        end -= 1
+    if end > 1 and f.src.startswith("*/", end - 2) and (head := f.src.rfind("/*", 0, end)) >= 0:
         return f.line(head)
     at = f.line(start)
-    lines = f.src.split("\n")
-    while at > 1 and lines[at - 2].lstrip().startswith("//"):
+    while at > 1 and f.lines[at - 2].lstrip().startswith("//"):
         at -= 1
     return at
 
@@ -271,7 +290,7 @@ def typescript(f: File) -> None:
                 params, ret = _ts_params(f, o, c)
                 end, brace = end_of(f.b, c)
                 f.emit("Function", name, own, end, None, vis, params, ret, first=first)
-                f.spans.append((own, end, name))
+                f.defines(own, end, name, n.start(1) if n else own)
             else:
                 f.emit({"class": "Class", "interface": "Interface", "enum": "Enum"}[what], name, own, end, None, vis, first=first)
                 i = brace + 1
@@ -284,7 +303,7 @@ def typescript(f: File) -> None:
                     params, ret = _ts_params(f, o, c)
                     stop, _ = end_of(f.b, c)
                     f.emit("Method", k["name"], k.start(), stop, name, "Public", params, ret, ".", _comment_line(f, k.start()))
-                    f.spans.append((k.start(), stop, k["name"]))
+                    f.defines(k.start(), stop, k["name"], k.start("name"))
                     i = max(stop, i + 1)
             at = max(end, m.end())
             continue
@@ -361,21 +380,63 @@ def python(f: File) -> list[tuple[str, str, int]]:
     return calls
 
 
+def python_text(f: File) -> None:
+    """Symbols of a file that doesn't parse: def and class lines, each with the lines after it that are indented further."""
+    width = lambda line: len(line[: len(line) - len(line.lstrip())].expandtabs(8))
+    blanked = f.b.split("\n")
+    open_: list[tuple[int, str, str]] = []  # indent, kind and name of the blocks around
+
+    def end_of_block(indent: int, at: int) -> int:
+        """The end of the last line after the one of at that is indented further, without those that hold nothing."""
+        last = n = f.line(at)
+        while n < len(blanked) and (not blanked[n].strip() or width(blanked[n]) > indent):
+            n += 1
+            last = n if f.lines[n - 1].strip() else last
+        return f.starts[last] - 1
+
+    for m in re.finditer(r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+([A-Za-z_]\w*)([ \t]*\([^\n]*)?", f.b, re.M):
+        indent, name = width(m[0]), m[3]
+        open_ = [x for x in open_ if x[0] < indent]
+        o = m.end(3) + len(m[4]) - len(m[4].lstrip()) if m[4] else m.end(3)
+        c = close(f.b, o) if m[4] else o
+        if f.b.find("\n", o, c) >= 0 and re.search(r"\n[ \t]*(def|class)\b", f.b[o:c]):  # the bracket isn't closed
+            c = f.starts[f.line(o)] - 1
+        inside = [k for _, k, _ in open_]
+        parent = open_[-1][2] if inside and inside[-1] == "class" else None
+        start, end, vis = m.end(1), end_of_block(indent, max(c - 1, o)), "Private" if name.startswith("_") else "Public"
+        if m[2] == "class" and "def" not in inside:
+            f.emit("Class", name, start, end, None, vis)
+        elif m[2] == "def":
+            if "def" not in inside:
+                params = []
+                for x in split_top(f.src[o + 1 : c - 1], f.b[o + 1 : c - 1]):
+                    n, _, t = x.partition("=")[0].partition(":")
+                    if re.fullmatch(r"[A-Za-z_]\w*", n.strip()) and n.strip() not in ("self", "cls"):
+                        params.append((n.strip(), t.strip() or None))
+                arrow = re.compile(r"\s*->\s*([^:\n]+):").match(f.src, c)
+                f.emit("Method" if parent else "Function", name, start, end, parent, vis, params, arrow[1].strip() if arrow else None, ".")
+            f.defines(start, end, name, m.start(3))
+        open_.append((indent, m[2], name))
+
+
 def _calls(f: File) -> list[tuple[str, str, int]]:
-    scoped = r"(?:[A-Za-z_]\w*::)*" if f.lang == "rust" else ""
-    call = re.compile(rf"(?P<dot>[.?])?\s*\b(?P<name>{scoped}[A-Za-z_$][\w$]*)\s*(?:::<[^>()]*>|<[^<>()]*>)?\((?<!!\()")
-    rows = []
+    generic = r"::<[^<>()]*(?:<[^<>()]*>[^<>()]*)*>"
+    scoped = rf"(?:[A-Za-z_]\w*(?:{generic})?::)*" if f.lang == "rust" else ""
+    call = re.compile(rf"\b(?P<name>{scoped}[A-Za-z_$][\w$]*)\s*(?:{generic}|<[^<>()]*>)?\((?<!!\()")
+    braces = f.lang in ("typescript", "tsx", "javascript")
+    rows, around, spans = [], [], sorted(f.spans, key=lambda x: (x[0], -x[1]))
+    at = 0
     for m in call.finditer(f.b):
-        name = m["name"]
-        before = f.b[max(0, m.start("name") - 12) : m.start("name")]
-        if name.split("::")[-1] in NOT_CALLED or re.search(r"\b(fn|func|function)\s+(\([^)]*\)\s*)?$", before):
+        p, name = m.start("name"), m["name"]
+        while at < len(spans) and spans[at][0] <= p:
+            around.append(spans[at])
+            at += 1
+        around = [x for x in around if x[1] > p]
+        if not around or p in f.names or name.split("::")[-1] in NOT_CALLED or re.search(r"\b(?:fn|func|function|def|class)\s*\*?\s*$", f.b[max(0, p - 12) : p]):
             continue
-        inside = [x for x in f.spans if x[0] <= m.start() < x[1]]
-        if inside:
-            start, _, caller = max(inside, key=lambda x: x[0])
-            if f.b[start : m.start("name")].strip() == "" or (f.lang in ("typescript", "tsx", "javascript") and m.start("name") - start < 2):
-                continue
-            rows.append((caller, name, f.line(m.start("name"))))
+        if braces and re.compile(r"\s*\{").match(f.b, close(f.b, m.end() - 1)):  # a method of an object literal
+            continue
+        rows.append((around[-1][2], name, f.line(p)))
     return rows
 
 
@@ -384,7 +445,12 @@ def parse(path: str, src: str, lang: str) -> tuple[list[dict], list[tuple[str, s
     try:
         f = File(path, src, lang)
         if lang == "python":
-            calls = python(f)
+            try:
+                calls = python(f)
+            except (SyntaxError, ValueError, RecursionError):
+                f = File(path, src, lang)
+                python_text(f)
+                calls = _calls(f)
             return f.rows, calls
         {"rust": lambda: rust(f, 0, len(f.b)), "go": lambda: go(f, 0, len(f.b))}.get(lang, lambda: typescript(f))()
         return f.rows, _calls(f)
@@ -408,7 +474,9 @@ def _sources(files: DataFrame) -> DataFrame:
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:
-    """files: path, content. All symbols with normalised bodies and hashes; sym_id numbers them in the order of a file."""
+    """files: path, content. All symbols with normalised bodies and hashes; sym_id is unique and numbers a file's in their order.
+
+    They are written once, so that the numbers, which are given out by partition, stay."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -417,8 +485,7 @@ def extract_symbols(files: DataFrame) -> DataFrame:
 
     raw = _sources(files).mapInPandas(run, RAW)
     norm = raw.withColumn("normalized_body", text.normalize_body("body_text")).withColumn("body_hash", text.body_hash("normalized_body"))
-    # 2^20 symbols a file at most; files are told apart by a hash of their path
-    return norm.withColumn("sym_id", F.shiftleft(F.shiftright(F.xxhash64("file_path"), 21), 20) + F.col("ord"))
+    return stage(norm.withColumn("sym_id", F.monotonically_increasing_id()), "symbols")
 
 
 def extract_calls(files: DataFrame) -> DataFrame:

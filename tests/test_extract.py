@@ -1,3 +1,5 @@
+import time
+
 from codestrata.operators import extract
 
 RUST = '''
@@ -87,3 +89,73 @@ def test_frames(spark):
     s = extract.extract_symbols(files).collect()
     assert len(s) == 8 + 4 + 1 and len({r.sym_id for r in s}) == len(s)
     assert ("s", "t") in {(r.caller, r.callee) for r in extract.extract_calls(files).collect()}
+
+
+def calls_of(path, src, lang):
+    return [(a, b) for a, b, _ in extract.parse(path, src, lang)[1]]
+
+
+def names_of(path, src, lang):
+    return [(r["kind"], r["qualified_name"]) for r in extract.parse(path, src, lang)[0]]
+
+
+def test_definitions_are_not_calls():
+    go = "package p\nfunc (s *S[T]) M(x int) int { return s.N(x) }\nfunc f() { g(M) }\n"
+    assert calls_of("a.go", go, "go") == [("S::M", "N"), ("f", "g")]
+    ts = "class A {\n  get v() { return this.w(); }\n  async run(x) { const o = { inner() { return launch(x); } }; return o; }\n}\n"
+    assert calls_of("a.ts", ts, "typescript") == [("v", "w"), ("run", "launch")]
+
+
+def test_regular_expressions_hide_their_brackets():
+    ts = "function t() { return /[{]/.test('a') }\nfunction u(s) { const r = s.replace(/\\/\"{/g, ''); return a / b / c(r) }\n"
+    assert names_of("a.ts", ts, "typescript") == [("Function", "t"), ("Function", "u")]
+    assert calls_of("a.ts", ts, "typescript") == [("t", "test"), ("u", "replace"), ("u", "c")]
+
+
+def test_scoped_paths_keep_their_segments():
+    rust = "impl P { fn m(&self) { Foo::<u8>::a(1); Self::b(); crate::x::y(); self.c::<Vec<u8>>(); mac!(no) } }\n"
+    assert calls_of("a.rs", rust, "rust") == [("P::m", "Foo::<u8>::a"), ("P::m", "Self::b"), ("P::m", "crate::x::y"), ("P::m", "c")]
+
+
+BROKEN = '''import os
+
+def one(a: int, b='x(') -> int:
+    return two(a)
+
+class C(Base):
+    def m(self, k):
+        def inner():
+            return deep()
+        return self.n(k)
+
+    async def n(self):
+        pass
+
+def broken(:
+    x = = 1
+    call(1)
+
+def last():
+    """def no(): pass"""
+    return one(1)
+'''
+
+
+def test_python_with_a_syntax_error_keeps_its_symbols():
+    assert names_of("a.py", BROKEN, "python") == [("Function", "one"), ("Class", "C"), ("Method", "C.m"), ("Method", "C.n"), ("Function", "broken"), ("Function", "last")]
+    rows = {r["name"]: r for r in extract.parse("a.py", BROKEN, "python")[0]}
+    assert rows["one"]["signature"] == "one(a: int, b) -> int" and (rows["one"]["line_start"], rows["one"]["line_end"]) == (3, 4)
+    assert rows["m"]["body_text"].endswith("return self.n(k)") and rows["last"]["line_end"] == 21
+    assert calls_of("a.py", BROKEN, "python") == [("one", "two"), ("inner", "deep"), ("m", "n"), ("broken", "call"), ("last", "one")]
+
+
+def test_time_grows_with_the_functions():
+    def took(n):
+        src = "".join(f"// c\nexport function f{i}(x: number): number {{\n  return f{i + 1}(x);\n}}\n" for i in range(n))
+        began = time.perf_counter()
+        rows, calls = extract.parse("a.ts", src, "typescript")
+        assert len(rows) == len(calls) == n
+        return time.perf_counter() - began
+
+    took(200)
+    assert took(4000) < 14 * took(500)
