@@ -6,10 +6,13 @@ by the mean of these grams' log frequencies. A document's score for a language i
 largest, its score that language's share after normalisation.
 
 Learning is distributed counting over a sample of labelled rows of SAMPLE_DOCS in all, dealt evenly to the languages (each language
-gives as many as it has, up to its share, chosen by a hash of doc_id). The TABLE_SIZE most frequent words and grams are kept.
+gives as many as it has, up to its share, chosen by a hash of doc_id). The TABLE_SIZE words and grams with the largest share of some language's
+are kept, so that frequent languages don't crowd out others; fewer where CELLS numbers don't suffice for so many languages. All labels
+are learned.
 
-Defined cases: a text that is null or has no letter is `und` with score 0, as is any text if nothing could be learned; rows with a
-null doc_id are predicted but never learned from; repeated rows give a row each; an empty table gives none; other columns are ignored.
+Defined cases: a text that is null or has no letter is `und` with score 0, as is any text if nothing could be learned; of languages with
+equal sums the alphabetically first is predicted; rows with a null doc_id are predicted but never learned from; repeated rows give a row
+each, and equal results; a text of any length is read whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, text_or_empty
+from .common import materialize, release, text_or_empty
 
 SAMPLE_DOCS = 4096
 TABLE_SIZE = 120_000
-MAX_LANGUAGES = 256
+#: Rows times languages of the model.
+CELLS = 32 << 20
 LONGEST = 5
 _SMOOTH = 0.1
 _MEMO = 120_000
@@ -133,19 +137,25 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, table_size: int = TABLE
     """docs: doc_id, text, lang. Learns from rows with a lang that aren't held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each label
     langs = sorted(sizes)
     if not langs:
         return Model([], [], np.zeros((0, 0)))
     share = sample_docs / len(langs)
     quota = F.create_map(*(F.lit(x) for k in langs for x in (k, float(min(1.0, share / sizes[k])))))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) < quota[F.col("lang")] * (1 << 30)
-    sample = rows.where(F.col("lang").isin(langs)).where(drawn).select("lang", "text")
-    counted = sample.mapInArrow(_count, "lang string, gram string, n long")
-    table = counted.groupBy("gram").agg(F.sum("n").alias("_total"), *(F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"_{i}") for i, k in enumerate(langs)))
-    top = table.where("_total > 1").orderBy(F.desc("_total"), "gram").limit(table_size).toArrow()
-    counts = np.stack([top.column(f"_{i}").to_numpy() for i in range(len(langs))], 1).astype(np.float64)
-    return Model(langs, top.column("gram").to_pylist(), counts)
+    counted = materialize(rows.where(drawn).select("lang", "text").mapInArrow(_count, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
+    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    if not totals:
+        return Model(langs, [], np.zeros((0, len(langs))))
+    of_lang = F.create_map(*(F.lit(x) for k, n in totals.items() for x in (k, float(n))))
+    size = min(table_size, CELLS // len(langs))
+    best = counted.groupBy("gram").agg(F.sum("n").alias("_all"), F.max(F.col("n") / of_lang[F.col("lang")]).alias("_share")).where("_all > 1").orderBy(F.desc("_share"), "gram").limit(size)
+    got = counted.join(best.select("gram"), "gram").toArrow()  # at most CELLS rows
+    grams_, row = np.unique(got.column("gram").to_numpy(zero_copy_only=False), return_inverse=True)
+    counts = np.zeros((len(grams_), len(langs)))
+    counts[row, np.searchsorted(langs, got.column("lang").to_numpy(zero_copy_only=False))] = got.column("n").to_numpy()
+    return Model(langs, grams_.tolist(), counts)
 
 
 def _predict(held):

@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 from codestrata.llm import langid
 from pyspark.sql import functions as F
 
@@ -36,3 +37,42 @@ def test_unseen_words_back_off():
                 words[g] = c
     s = langid.Scorer(langid.Model(["en", "de"], list(words), np.array(list(words.values()), float)))
     assert s.predict("station")[0] == "en" and s.predict("freikeit")[0] == "de" and s.predict("qqq")[0] in ("en", "de")
+
+
+def test_many_languages_and_rare_ones_are_learned(spark):
+    """More labels than any fixed number of columns, one of them with most of the rows: each is predicted for its own words."""
+    rows = [(i, f"w{chr(97 + i % 300 % 20)}{chr(97 + i % 300 // 20)}xo common the", f"l{i % 300:03d}") for i in range(1200)]
+    rows += [(5000 + i, f"big{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} the", "l000") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, table_size=3000)
+    assert len(model.langs) == 300
+    got = langid.predict(df, model).join(df.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id")).where("NOT held_out AND id < 1200").collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) >= 0.7
+
+
+def test_scores_equal_plain_python(spark):
+    """The whole prediction in plain Python, and a tie."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(df, table_size=4000)
+    got = {r.doc_id: r for r in langid.predict(df, model).collect()}
+
+    def plain(text):
+        total = np.zeros(len(model.langs))
+        for w in langid.letters(text):
+            if (i := model.index.get("w" + w)) is not None:
+                total += model.logs[i]
+                continue
+            for n in range(langid.LONGEST, 0, -1):
+                own = [model.logs[i] for g in langid.grams(w, n) if (i := model.index.get(g)) is not None]
+                if own:
+                    total += np.mean(own, 0, dtype=np.float64)
+                    break
+        p = np.exp(total - total.max())
+        return model.langs[int(total.argmax())], p.max() / p.sum()
+
+    for r in df.collect():
+        if any(c.isalpha() for w in langid.letters(r.text) for c in w):
+            lang, score = plain(r.text)
+            assert abs(score - got[r.doc_id].score) < 1e-2 and (lang == got[r.doc_id].lang_pred or score < 0.51)
+    tie = langid.Model(["a", "b"], ["wx"], np.array([[3.0, 3.0]]))
+    assert langid.Scorer(tie).predict("x") == ("a", 0.5)
