@@ -2,7 +2,7 @@
 
 Each document's histogram of character classes and its histogram of common words are held against references of its
 language by Jensen-Shannon distance (0 to 1). References are the sums over all documents of the language that pass the
-base rules; documents without a language, or of one outside the MAX_LANGUAGES most frequent, are held against all languages
+base rules; documents without a language, or of one without such documents, are held against all languages
 together. A distance counts only for documents of a minimum length, as short histograms stray by chance.
 
 Distances of common words fall with the root of the length, so the limit is set on their product: the median over the sound
@@ -13,7 +13,8 @@ documents of the pooled reference take their own, and MAX_WORD_DISTANCE without
 The text is read once: counts are written to the shared folder, then summed and compared; so are the distances.
 
 Defined cases: a null text has no words and fails the base rules; a null lang uses the pooled reference; repeated rows give a
-row each; an empty table gives none; columns other than doc_id, text and lang are ignored.
+row each, and equal results; a text of any length is counted whole; a distance right at a limit is kept; an empty table gives no rows;
+columns other than doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ COMMON = (
     "le", "la", "les", "de", "et", "des", "un", "du", "que", "pour",
     "el", "los", "en", "y", "las", "por", "con", "una", "se", "no",
 )
-MAX_LANGUAGES = 256
+#: Rows (of a language, or a language and length) up to which they are sent to every executor.
+BROADCAST_ROWS, SPLIT = 32_768, 16
 MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.3
 MIN_WORDS, MAX_WORD_DISTANCE = 100, 0.6
 DEVIATIONS, LEAST_SPREAD, LEAST_DOCS = 4, 0.1, 30
@@ -112,16 +114,23 @@ def word_limits(d: DataFrame) -> DataFrame:
     return q.select("group", "length", (F.col("mid") + BIN + DEVIATIONS * F.greatest(F.lit(LEAST_SPREAD), F.col("mid") - F.col("low"))).alias("limit"))
 
 
+def _beside(d: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """d with the row of few for its keys, if any. Too many rows to send about are shuffled, the rows of d with a key to SPLIT tasks."""
+    if few.count() <= BROADCAST_ROWS:
+        return d.join(F.broadcast(few), keys, "left")
+    parts = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))
+    return d.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(SPLIT)).cast("int")).join(parts, [*keys, "_part"], "left").drop("_part")
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance."""
     feats = materialize(counts(docs), "quality")
     sizes = {"chars": len(_CHARS), "common": len(COMMON) + 1}
     sums = [F.array(*(F.coalesce(F.sum(F.col(c)[i]), F.lit(0)).cast("double") for i in range(n))).alias(f"ref_{c}") for c, n in sizes.items()]
     sound = feats.where("NOT base_failed")
-    # at most MAX_LANGUAGES rows: small enough to send to every executor
-    refs = sound.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("_n"), *sums).orderBy(F.desc("_n"), "lang").limit(MAX_LANGUAGES).drop("_n")
+    refs = materialize(sound.where("lang IS NOT NULL").groupBy("lang").agg(*sums), "references")
     pooled = sound.agg(*sums).first()
-    d = feats.join(F.broadcast(refs), "lang", "left")
+    d = _beside(feats, refs, ["lang"])
     distance = {}
     for c, n in sizes.items():
         ref = F.coalesce(F.col(f"ref_{c}"), F.array(*(F.lit(float(x)) for x in pooled[f"ref_{c}"])))
@@ -131,11 +140,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     d = d.withColumn("odd_chars", (chars >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE))
     d = d.withColumn("group", F.when(F.col("ref_common").isNull(), "-").otherwise(F.concat(F.lit("="), "lang"))).withColumn("length", F.floor(F.log2(F.greatest(F.lit(1), F.col("n_words")))).cast("int"))
     d = materialize(d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "odd_chars", "group", "length"), "distances")
-    # a row for each language and length: as small as the references
     limits = materialize(word_limits(d), "limits")
     for_all = limits.where("length = -1").select("group", F.col("limit").alias("_of_group"))
     for_any = limits.where("group = '*'").agg(F.max("limit").alias("_of_any"))
-    d = d.join(F.broadcast(limits), ["group", "length"], "left").join(F.broadcast(for_all), "group", "left").crossJoin(F.broadcast(for_any))
-    limit = F.coalesce("limit", "_of_group", F.when(F.col("group") != "-", F.col("_of_any"))) / F.sqrt("n_words")
+    of_any = F.lit(for_any.first()["_of_any"]).cast("double")
+    d = _beside(_beside(d, limits, ["group", "length"]), for_all, ["group"])
+    limit = F.coalesce("limit", "_of_group", F.when(F.col("group") != "-", of_any)) / F.sqrt("n_words")
     strange = F.col("odd_chars") | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > F.coalesce(limit, F.lit(MAX_WORD_DISTANCE))))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~strange).alias("kept"), "char_distance", "word_distance")

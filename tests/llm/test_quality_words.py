@@ -18,3 +18,13 @@ def test_texts_without_common_words_or_of_another_language_go(spark):
     assert not stayed, stayed
     gone = [i for i in range(200) if not got[i]]
     assert len(gone) <= 2, gone
+
+
+def test_many_languages_are_joined_alike(spark, monkeypatch):
+    rng = random.Random(9)
+    rare = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnr"]
+    rows = [(i, " ".join(rng.choice(rare + list(EN)) for _ in range(rng.randrange(60, 300))), f"l{i % 400}" if i % 7 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = sorted(map(tuple, q.quality_rules(df).collect()), key=str)
+    monkeypatch.setattr(q, "BROADCAST_ROWS", 10)
+    assert sorted(map(tuple, q.quality_rules(df).collect()), key=str) == one and len(one) == 900
