@@ -200,6 +200,17 @@ def _compare(percent: int):
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document; linked where 100 * intersection >= percent * union."""
+    return tagged(docs, percent).drop("tag")
+
+
+def least_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The documents kept, with all their columns. Rows are told apart by doc_id and text."""
+    gone = tagged(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("tag").alias("_gone_tag")).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(text_or_empty(docs["text"])) == gone["_gone_tag"]), "left_anti")
+
+
+def tagged(docs: DataFrame, percent: int) -> DataFrame:
+    """The same with tag, a hash of the text: rows that share a doc_id but not the text have results of their own."""
     feats = materialize(features(docs), "features")
     named = feats.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "tag")).alias("row"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
@@ -233,6 +244,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     least = label.join(reps.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("least"))
     linked = label.join(least, "component").select("id", "least")
     class_of = reps.select("set_key", "id", "doc_id").join(linked, "id", "left").select("set_key", F.coalesce("least", "doc_id").alias("component_id"))
-    out = feats.select("doc_id", "n_shingles", "set_key").join(class_of, "set_key", "left")
+    out = feats.select("doc_id", "tag", "n_shingles", "set_key").join(class_of, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "tag", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

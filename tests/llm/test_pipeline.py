@@ -31,7 +31,7 @@ def test_stages_against_plain_python(spark, sf):
         if name == "language_id":
             assert {i for i in before if re.search(r"[^\W\d_]", rows[i].text or "")} == set(after)
         elif name == "near_dedup":
-            assert set(after) == {i for i, x in groups([(i, rows[i].text) for i in before]).items() if x[2]}
+            assert set(after) == {i for i, x in groups([(i, rows[i].text) for i in before], cp.NEAR_PERCENT).items() if x[2]}
         elif name == "decontamination":
             bad = leaking([(i, rows[i].text) for i in before], items)
             assert set(after) == {i for i in before if not bad[i]}
@@ -56,3 +56,24 @@ def test_empty_and_null_rows(spark, tmp_path):
         got = cp.run(spark, str(tmp_path)).collect()
         assert sorted(r.doc_id or 0 for r in got) == ([0, 2, 2] if rows else [])
     assert decontam.edits(35, 0.8) == 7 and packing.SEQ_LEN == 1024
+
+
+def test_clashing_columns_long_texts_and_shared_ids(spark, tmp_path):
+    """Every stage carries columns named like those it makes, and takes texts of any length; rows that share a doc_id have fates of their own."""
+    names = ["n_email", "spans_list", "_id", "_row", "_gone", "tag", "hits", "kept", "component_id", "_t", "bucket", "score", "held_out"]
+    long = " ".join(f"the and {chr(97 + i % 7)}x word of a@b.co" for i in range(30_000))
+    words = [f"the {chr(97 + i % 20)}{chr(97 + i // 20)}o" for i in range(80)]
+    texts = [(1, "and the of a word here"), (1, " ".join(words)), (2, " ".join([*words, "tail"])), (3, long), (None, "the word"), (4, None), (5, "the of and " * 40 + "call +49 30 1234567 now"), (6, "x"), (6, "x")]
+    rows = [(i, t, "en" if k % 2 else None, "s", k, *(f"{n}{k}" for n in names)) for k, (i, t) in enumerate(texts)]
+    ddl = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{n} string" for n in names)
+    spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, ddl).repartition(2)
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), ddl)
+    got = {r.n_chars: r for r in docs.collect()}
+    assert set(got) == {0, 1, 3, 4, 6, 7, 8}
+    assert all(got[k][n] == f"{n}{k}" for k in got for n in names)
+    assert got[3].text == long.replace("a@b.co", "[email]") and got[6].text.endswith("call [phone] now")
+    assert sum(r.doc_id == 6 for r in cp.STAGES[-1][1](spark, docs, "").collect()) == 2
