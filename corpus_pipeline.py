@@ -5,6 +5,12 @@ last returns the pieces of packed sequences.
 
 A document leaves if its language isn't recognised (no letter, or a score below 0.5), if another document of its near-duplicate
 component has a smaller doc_id, or if it holds a benchmark item; personal data in the rest is replaced by its kind.
+
+Defined cases, in every stage: a null text is an empty one, so it leaves with the first stage; a null doc_id is carried, never compared by
+near-dedup and never learned from; a null lang teaches nothing; repeated rows share their fate, so all of them stay or go; rows that share a
+doc_id but not the text are documents of their own; a text of any length is read whole; ties are those of the operators (equal similarity is a
+link, an equal score stays); extra columns are carried whatever their names; an empty table gives an empty one; an empty benchmark
+removes nothing.
 """
 
 from __future__ import annotations
@@ -12,7 +18,6 @@ from __future__ import annotations
 from codestrata.llm import decontam, langid, neardup, packing, pii
 from codestrata.llm.common import materialize, table
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Word shingles of five words, a Jaccard similarity of 0.8 or more; 85 is the contract of operator 4's query alone.
 NEAR_PERCENT = 80
@@ -23,8 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    removed = neardup.near_duplicates(docs, percent=NEAR_PERCENT).where("NOT kept").select(F.col("doc_id").alias("_removed"))
-    return docs.join(removed, docs["doc_id"] == removed["_removed"], "left_anti")
+    return neardup.least_of_each(docs, NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
