@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -72,6 +74,16 @@ def shingle_hashes(texts: pd.Series) -> pd.Series:
     return pd.Series([_hash_grams(t or "").view(np.int64) for t in texts])
 
 
+def gram_hashes(n: int) -> Callable[[ColumnOrName], Column]:
+    """Distinct 64-bit hashes of the n-grams of texts, for any n."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([_hash_grams(t or "", n).view(np.int64) for t in texts])
+
+    return hashes
+
+
 def _signature(h: np.ndarray) -> np.ndarray:
     m = multipliers()
     if not len(h):

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..sources.stage import stage
 
 
 def edges(refs: DataFrame) -> DataFrame:
@@ -25,7 +26,8 @@ def transitive_callers(changed: DataFrame, calls: DataFrame, depth: int = 2) ->
     name, callee, caller, file_path, line, depth. A name's direct call of itself is left out.
 
     A breadth-first search over (start, node) pairs: each step joins the frontier with the edges and drops nodes seen before."""
-    frontier = changed.select("name", F.col("name").alias("node")).distinct()
+    calls = stage(calls, "calls")
+    frontier = stage(changed.select("name", F.col("name").alias("node")).distinct(), "frontier")
     seen, found = frontier, None
     for d in range(depth + 1):
         step = callers_of(frontier.select(F.col("node").alias("name")).distinct(), calls).withColumnRenamed("name", "node")
@@ -33,7 +35,7 @@ def transitive_callers(changed: DataFrame, calls: DataFrame, depth: int = 2) ->
         kept = reached.where("caller <> name") if d == 0 else reached
         found = kept if found is None else found.unionByName(kept)
         if d < depth:
-            frontier = reached.select("name", F.col("caller").alias("node")).distinct().join(seen, ["name", "node"], "left_anti")
+            frontier = stage(reached.select("name", F.col("caller").alias("node")).distinct().join(seen, ["name", "node"], "left_anti"), "frontier")
             seen = seen.unionByName(frontier)
     return found
 
@@ -69,12 +71,14 @@ def affected_callers(changes: DataFrame, calls: DataFrame, depth: int = 2) -> Da
     reach = transitive_callers(changes.select("name"), calls, depth).join(changes.select("name", "description", "risk"), "name")
     level = F.when(F.col("depth") == 0, F.col("risk")).when(F.col("risk") == "High", "Medium").otherwise("Low")
     rows = reach.select(F.col("caller").alias("caller_symbol"), F.col("file_path").alias("caller_file"), F.col("line").alias("caller_line"), F.col("name").alias("changed_callee"), F.col("description").alias("change_description"), level.alias("risk"), "depth")
-    w = Window.partitionBy("caller_symbol", "caller_file", "changed_callee").orderBy("depth", "caller_line", "change_description", "risk")
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    key = ["caller_symbol", "caller_file", "changed_callee"]
+    first = rows.groupBy(*key).agg(F.min(F.struct("depth", "caller_line", "change_description", "risk")).alias("_f"))
+    return first.select("caller_symbol", "caller_file", "_f.caller_line", "changed_callee", "_f.change_description", "_f.risk", "_f.depth")
 
 
 def pattern_warnings(similar: DataFrame) -> DataFrame:
     """similar: changed_symbol, similar_symbol, file_path, line_start, line_end, similarity, kind."""
+    # fixed values: the wording of the warnings
     s, changed, other = F.col("similarity"), F.col("changed_symbol"), F.col("similar_symbol")
     message = (
         F.when(F.col("kind") == "ExactDuplicate", F.concat(F.lit("Exact duplicate of '"), changed, F.lit("' exists but was not changed")))

@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import text
+from ..functions import features, text
 from ..sources.stage import stage
 
 FUZZY_CAP, CONTAIN_CAP = 50_000, 100_000
+#: Pairs that one task assigns; characters of a window by which contained bodies are looked up.
+GREEDY_ROWS, WINDOW = 200_000, 10
 _MATCH = "old_id long, new_id long, confidence double, match_type string"
 _BLOCK = 16  # bits of sym_id within a block of rank_in_group
 
@@ -90,10 +92,24 @@ def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def greedy_assignment(candidates: DataFrame, group: str) -> DataFrame:
-    """One-to-one pairs by score, then old, then new id, in each group of candidates (old_id, new_id, score)."""
+    """One-to-one pairs by score, then old, then new id, in each group of candidates (old_id, new_id, score). For groups such as files."""
     return candidates.select(group, "old_id", "new_id", "score").groupBy(group).applyInPandas(lambda pdf: _greedy(pdf), "old_id long, new_id long, score double")
 
 
+def greedy_pairs(candidates: DataFrame) -> DataFrame:
+    """The same over all candidates, however many. A pair that is the best of both its symbols is taken, whatever the rest; its symbols' other
+    pairs go, and so on. What is left is finished in one task as soon as it is at most GREEDY_ROWS pairs."""
+    left, found = stage(candidates.select("old_id", "new_id", "score")), None
+    while left.count() > GREEDY_ROWS:
+        rank = F.struct((-F.col("score")).alias("_s"), "old_id", "new_id")
+        best = [left.groupBy(c).agg(F.min(rank).alias("_b")).select("_b.old_id", "_b.new_id") for c in ("old_id", "new_id")]
+        taken = stage(left.join(best[0], ["old_id", "new_id"]).join(best[1], ["old_id", "new_id"]))
+        found = taken if found is None else found.unionByName(taken)
+        left = stage(left.join(taken.select("old_id"), "old_id", "left_anti").join(taken.select("new_id"), "new_id", "left_anti"))
+    rest = left.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(lambda pdf: _greedy(pdf), "old_id long, new_id long, score double")
+    return rest if found is None else found.unionByName(rest)
+
+
 def match_within(old: DataFrame, new: DataFrame) -> DataFrame:
     """Three phases in files: equal qualified names, equal bodies, then similar ones one-to-one."""
     first = stage(by_qualified_name(old, new))
@@ -152,26 +168,27 @@ def similar_candidates(old: DataFrame, new: DataFrame, least: float = 0.7) -> Da
     return pairs.select(F.col("o_id").alias("old_id"), F.col("n_id").alias("new_id"), "score", F.col("o_kind").alias("kind")).distinct()
 
 
-def _contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """Pairs outer_id, inner_id of which outer's body holds inner's, at least 50 and 20 bytes, in a ratio over 0.15.
+def _windows_met(outer: DataFrame, inner: DataFrame, width: int) -> DataFrame:
+    """Pairs outer_id, inner_id that may contain: each inner body is looked up by its rarest window of width characters among the outer
+    bodies' (an equi-join), if all of its windows stand somewhere."""
+    hashes = features.gram_hashes(width)
+    keyed = outer.select("outer_id", F.explode(hashes("_o")).alias("key"))
+    own = inner.select("inner_id", hashes("_i").alias("_keys")).select("inner_id", F.size("_keys").alias("_all"), F.explode("_keys").alias("key"))
+    times = keyed.join(own.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("_n"))
+    rarest = own.join(times, "key").groupBy("inner_id", "_all").agg(F.count("*").alias("_met"), F.min(F.struct("_n", "key")).alias("_r")).where("_met = _all")
+    return keyed.join(rarest.select("inner_id", F.col("_r.key").alias("key")), "key").select("outer_id", "inner_id")
+
 
-    Each inner body's first 20 characters are looked up among all of the outer bodies' (an equi-join), then all of it is compared."""
-    width = 10
+def _contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """Pairs outer_id, inner_id of which outer's body holds inner's, at least 50 and 20 bytes, in a ratio over 0.15."""
     o = outer.where(F.octet_length("normalized_body") >= 50).select(F.col("sym_id").alias("outer_id"), F.col("normalized_body").alias("_o"))
     i = inner.where(F.octet_length("normalized_body") >= 20).select(F.col("sym_id").alias("inner_id"), F.col("normalized_body").alias("_i"))
-    short = i.where(F.length("_i") < width)
-
-    def spans(chars: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - width, F.lit(0))), lambda p: F.xxhash64(*(F.get(chars, p + k) for k in range(width)))))
-
-    keyed = o.select("outer_id", F.explode(text.bound(F.split("_o", ""), spans)).alias("key"))
-    first = F.split("_i", "")
-    anchors = i.where(F.length("_i") >= width).select("inner_id", F.xxhash64(*(F.get(first, F.lit(k)) for k in range(width))).alias("key"))
-    pairs = keyed.join(anchors, "key").select("outer_id", "inner_id").distinct()
+    pairs = _windows_met(o, i.where(F.length("_i") >= WINDOW), WINDOW)
+    short = i.where(F.length("_i") < WINDOW)  # of wide characters: 20 bytes are five at least
+    if short.limit(1).count():
+        pairs = pairs.unionByName(_windows_met(o, short, 5))
     found = pairs.join(o, "outer_id").join(i, "inner_id")
-    # bodies of fewer characters than the anchor (wide ones): few, compared directly within bytes of 20 to 40
-    wide = o.join(short, F.contains("_o", "_i"))
-    return found.unionByName(wide).where(F.contains(F.col("_o"), F.col("_i")) & (F.octet_length("_i") / F.octet_length("_o") > 0.15)).select("outer_id", "inner_id")
+    return found.where(F.contains(F.col("_o"), F.col("_i")) & (F.octet_length("_i") / F.octet_length("_o") > 0.15)).select("outer_id", "inner_id")
 
 
 def extracted(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -186,8 +203,8 @@ def inlined(old: DataFrame, new: DataFrame) -> DataFrame:
     return pairs.select(F.col("inner_id").alias("old_id"), F.col("outer_id").alias("new_id"), F.lit(0.65).alias("confidence"), F.lit("Inlined").alias("match_type"))
 
 
-def match_across(old: DataFrame, new: DataFrame, mode: str = "compat") -> DataFrame:
-    """Five phases over what match_within left. compat: the costly phases are skipped beyond their caps; full: never."""
+def match_across(old: DataFrame, new: DataFrame, mode: str = "full") -> DataFrame:
+    """Five phases over what match_within left. full: always all of them; compat: the costly ones are skipped beyond their caps."""
 
     def over(a: DataFrame, b: DataFrame, cap: int) -> bool:
         return mode == "compat" and a.count() * b.count() > cap
@@ -198,7 +215,7 @@ def match_across(old: DataFrame, new: DataFrame, mode: str = "compat") -> DataFr
     found = found.unionByName(named)
     o, n = stage(unmatched(o, named, "old")), stage(unmatched(n, named, "new"))
     if not over(o, n, FUZZY_CAP):
-        picked = greedy_assignment(similar_candidates(o, n), "kind")
+        picked = greedy_pairs(similar_candidates(o, n))
         fuzzy = stage(picked.select("old_id", "new_id", (F.col("score") * 0.85).alias("confidence"), F.lit("SimilarBody").alias("match_type")))
         found = found.unionByName(fuzzy)
         o, n = stage(unmatched(o, fuzzy, "old")), stage(unmatched(n, fuzzy, "new"))
@@ -206,7 +223,7 @@ def match_across(old: DataFrame, new: DataFrame, mode: str = "compat") -> DataFr
     if not over(size(o, 50), size(n, 20), CONTAIN_CAP):
         taken = stage(extracted(o, n))
         found = found.unionByName(taken)
-        n = unmatched(n, taken, "new")
+        n = stage(unmatched(n, taken, "new"))
     if not over(size(o, 20), size(n, 50), CONTAIN_CAP):
         found = found.unionByName(inlined(o, n))
     return stage(found)

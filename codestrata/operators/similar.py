@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import features, text
+from ..sources.stage import stage
 
 PER_SYMBOL, PER_PATTERN, STEM_LIMIT, STEM_BYTES, BODY_LIMIT, CANDIDATES = 10, 5, 50, 4, 3000, 100
-_OUT = ["changed_key", "key", "similarity", "kind"]
+#: Share of a set's grams beyond those that a similar set may miss, by which candidates are counted.
+PROBE = 0.1
 
 
 def exact_duplicates(changed: DataFrame, index: DataFrame) -> DataFrame:
@@ -27,28 +29,29 @@ def _top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 
 def shingle_table(index: DataFrame) -> DataFrame:
-    """key, kind, body_hash, n (distinct 4-grams), grams (their hashes in the order of a prefix filter: rarest first, by hash)."""
+    """key, kind, body_hash, n (distinct 4-grams), grams (their hashes)."""
     return index.select("key", F.col("kind").alias("symbol_kind"), "body_hash", features.shingle_hashes("normalized_body").alias("grams")).withColumn("n", F.size("grams"))
 
 
 def structurally_similar(changed: DataFrame, index: DataFrame, least: float = 0.6, limit: int | None = PER_SYMBOL) -> DataFrame:
     """Different bodies of a kind with Jaccard similarity of 4-grams in [least, 1): the best of each changed symbol.
 
-    Candidates by prefix filter: grams are put in one order, the rarest first; two sets that similar share one of the first
-    n - ceil(least * n) + 1 grams of each, and their sizes lie within the ratio. Only candidates meet whole sets."""
-    every = shingle_table(index)
-    flat = every.select("key", "n", F.explode("grams").alias("g"))
-    frequency = flat.groupBy("g").agg(F.count("*").alias("f"))
-    first = Window.partitionBy("key").orderBy("f", "g")
-    ranked = flat.join(frequency, "g").where("f > 1").withColumn("p", F.row_number().over(first))
-    # grams of one body alone precede all others in the order, and match nothing
-    alone = ranked.groupBy("key").agg(F.max("p").alias("shared"))
-    prefix = ranked.join(alone, "key").where(F.col("n") - F.col("shared") + F.col("p") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("key", "n", "g")
-    c = prefix.join(changed.select("key"), "key", "left_semi").select(F.col("key").alias("changed_key"), F.col("n").alias("cn"), "g")
-    near = (F.col("n") >= least * F.col("cn")) & (F.col("cn") >= least * F.col("n"))
-    pairs = c.join(prefix, "g").where((F.col("key") != F.col("changed_key")) & near).select("changed_key", "key").distinct()
-    own = every.select(F.col("key").alias("changed_key"), F.col("symbol_kind").alias("ck"), F.col("body_hash").alias("ch"), F.col("grams").alias("cg"), F.col("n").alias("cn"))
-    both = pairs.join(own, "changed_key").join(every, "key").where("ck = symbol_kind AND ch <> body_hash AND cn >= 3 AND n >= 3")
+    Candidates by counting rare grams: a set as similar as that misses at most n - ceil(least * n) of a changed symbol's n grams. So of its
+    rarest grams, that many and a share PROBE of n more, it holds at least that share. Only these grams are looked up, sets of far sizes or of
+    another kind never meet, and only what holds enough of them meets whole sets."""
+    every = stage(shingle_table(index), "shingles")
+    probe = every.join(changed.select("key"), "key", "left_semi").select(F.col("key").alias("changed_key"), F.col("symbol_kind").alias("ck"), F.col("body_hash").alias("ch"), F.col("grams").alias("cg"), F.col("n").alias("cn"))
+    flat = every.where("n >= 3").select("key", "symbol_kind", "n", F.explode("grams").alias("g"))
+    own = probe.where("cn >= 3").select("changed_key", "ck", "cn", F.explode("cg").alias("g"))
+    wanted = own.select("g", F.col("ck").alias("symbol_kind")).distinct()
+    frequency = flat.join(wanted, ["g", "symbol_kind"], "left_semi").groupBy("g", F.col("symbol_kind").alias("ck")).agg(F.count("*").alias("f"))
+    ranked = own.join(frequency, ["g", "ck"]).withColumn("p", F.row_number().over(Window.partitionBy("changed_key").orderBy("f", "g")))
+    missing = F.col("cn") - F.ceil(F.col("cn") * least)
+    ranked = ranked.withColumn("need", F.least(F.col("cn") - missing, F.ceil(F.col("cn") * PROBE))).where(F.col("p") <= missing + F.col("need"))
+    rare = ranked.select("changed_key", F.col("ck").alias("symbol_kind"), "cn", "need", "g")
+    near = (F.col("key") != F.col("changed_key")) & (F.col("n") >= least * F.col("cn")) & (F.col("cn") >= least * F.col("n"))
+    pairs = flat.join(rare, ["g", "symbol_kind"]).where(near).groupBy("changed_key", "key").agg(F.count("*").alias("held"), F.first("need").alias("need")).where("held >= need").select("changed_key", "key")
+    both = pairs.join(probe, "changed_key").join(every, "key").where("ck = symbol_kind AND ch <> body_hash")
     scored = both.withColumn("similarity", text.jaccard("cg", "grams")).where((F.col("similarity") >= least) & (F.col("similarity") < 1))
     found = scored.select("changed_key", "key", "similarity", F.lit("StructurallySimilar").alias("kind"))
     return found if limit is None else _top(found, [F.desc("similarity"), F.asc("key")], limit)
@@ -84,7 +87,7 @@ def name_patterns(changed: DataFrame, index: DataFrame) -> DataFrame:
     return _top(scored, [F.asc("stem"), F.asc("key")], PER_PATTERN).select("changed_key", "key", "similarity", F.lit("NamePattern").alias("kind"))
 
 
-def find_similar(changed: DataFrame, index: DataFrame, least: float = 0.6, mode: str = "compat") -> DataFrame:
+def find_similar(changed: DataFrame, index: DataFrame, least: float = 0.6, mode: str = "full") -> DataFrame:
     """All three searches, one row per changed and similar symbol (the most similar), with the similar symbol's place."""
     structural = structurally_similar_compat(changed, index, least) if mode == "compat" else structurally_similar(changed, index, least)
     found = exact_duplicates(changed, index).unionByName(structural).unionByName(name_patterns(changed, index))

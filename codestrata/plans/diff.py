@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text
 from ..operators import classify, intent, linediff, matching
@@ -22,8 +21,8 @@ def matched_pairs(matches: DataFrame, old: DataFrame, new: DataFrame) -> DataFra
     return matches.join(_struct(old, "old"), "old_id").join(_struct(new, "new"), "new_id")
 
 
-def changes(old: DataFrame, new: DataFrame, mode: str = "compat", cross: bool = True) -> DataFrame:
-    """id, kind, old, new (structs, null where absent), confidence. Ids run by phase, then file and place."""
+def changes(old: DataFrame, new: DataFrame, mode: str = "full", cross: bool = True) -> DataFrame:
+    """phase, kind, old, new (structs, null where absent), confidence."""
     within = matching.match_within(old, new)
     o, n = stage(matching.unmatched(old, within, "old")), stage(matching.unmatched(new, within, "new"))
     own = matched_pairs(within, old, new).where(~classify.unchanged()).select(F.lit(0).alias("phase"), classify.change_kind().alias("kind"), "old", "new", "confidence")
@@ -43,9 +42,17 @@ def changes(old: DataFrame, new: DataFrame, mode: str = "compat", cross: bool =
 
 def numbered(every: DataFrame) -> DataFrame:
     """Changes with sequential ids from 0, by phase, then path, line and symbol. For reports: ids need one order over all changes."""
-    path = F.coalesce("new.file_path", "old.file_path")
-    w = Window.orderBy("phase", path, F.coalesce("new.line_start", "old.line_start"), F.coalesce("new.sym_id", "old.sym_id"), F.coalesce("old.sym_id", F.lit(-1)))
-    return every.withColumn("id", F.row_number().over(w) - 1).withColumn("id", F.col("id").cast("long"))
+    order = [F.col("phase"), F.coalesce("new.file_path", "old.file_path"), F.coalesce("new.line_start", "old.line_start"), F.coalesce("new.sym_id", "old.sym_id"), F.coalesce("old.sym_id", F.lit(-1))]
+    keys = [c.alias(f"_{i}") for i, c in enumerate(order)]
+    dealt = every.select("*", *keys).repartitionByRange(*(f"_{i}" for i in range(len(order)))).sortWithinPartitions(*(f"_{i}" for i in range(len(order))))
+    placed = stage(dealt.drop(*(f"_{i}" for i in range(len(order)))).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    before, sizes = 0, []
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row for each partition
+        sizes += [F.lit(r["part"]), F.lit(before)]
+        before += r["count"]
+    offset = F.create_map(*sizes)[part] if sizes else F.lit(0)
+    return placed.withColumn("id", (offset + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_at")
 
 
 def with_details(every: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
@@ -75,5 +82,6 @@ def with_details(every: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     return d.drop(*(c for c in d.columns if c.startswith("_")))
 
 
-def diff(old: DataFrame, new: DataFrame, mode: str = "compat") -> DataFrame:
+def diff(old: DataFrame, new: DataFrame, mode: str = "full") -> DataFrame:
+    old, new = stage(old, "old"), stage(new, "new")
     return with_details(numbered(changes(old, new, mode)), old, new)

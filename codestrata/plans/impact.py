@@ -14,7 +14,7 @@ def keyed(symbols: DataFrame) -> DataFrame:
     return symbols.withColumn("key", F.concat_ws(":", "file_path", "qualified_name"))
 
 
-def analyze(changes: DataFrame, symbols: DataFrame, calls: DataFrame, depth: int = 2, min_similarity: float = 0.6, mode: str = "compat") -> dict[str, DataFrame]:
+def analyze(changes: DataFrame, symbols: DataFrame, calls: DataFrame, depth: int = 2, min_similarity: float = 0.6, mode: str = "full") -> dict[str, DataFrame]:
     """changes: kind, old, new of plans.diff; symbols and calls: of the whole code base.
 
     Returns affected_callers, similar_code, pattern_warnings and risk_summary."""

@@ -170,7 +170,7 @@ def within_hash_match(spark, sf_dir):
 
 def _left(spark, sf_dir):
     """The symbols that equal names and bodies within files leave over."""
-    o, n = snapshots(spark, sf_dir)
+    o, n = (stage(x, "snapshot") for x in snapshots(spark, sf_dir))
     first = stage(matching.by_qualified_name(o, n))
     o, n = matching.unmatched(o, first, "old"), matching.unmatched(n, first, "new")
     second = stage(matching.by_hash(o, n))
@@ -222,6 +222,14 @@ def moved_by_name_candidates(spark, sf_dir):
     return matching.name_candidates(o, n).select("old_id", "new_id", r6(F.col("score")).alias("score"))
 
 
+@query(
+    f"WITH {MATCH_SQL}, p AS (SELECT ou3.sym_id AS old_id, nu3.sym_id AS new_id, ou3.norm AS a, nu3.norm AS b FROM ou3 JOIN nu3 USING (kind) WHERE ou3.file_path <> nu3.file_path), "
+    f"c AS ({_CMP} FROM p), d AS (SELECT old_id, new_id, {_SIM.format(t=0.7)} AS score FROM c) SELECT old_id, new_id, round(score, 6)::DOUBLE AS score FROM d WHERE score > 0.7"
+)
+def moved_fuzzy_candidates(spark, sf_dir):
+    return matching.similar_candidates(*_left_after_moves(spark, sf_dir)).select("old_id", "new_id", r6(F.col("score")).alias("score"))
+
+
 @query()
 def moved_by_name(spark, sf_dir):
     _, o, n = _left(spark, sf_dir)
@@ -262,15 +270,31 @@ def _left_after_moves(spark, sf_dir):
 
 
 @query(f"WITH {MATCH_SQL} SELECT sym_id, qualified_name FROM ou3")
-def deleted(spark, sf_dir):
+def unmatched_old_after_moves(spark, sf_dir):
+    """What equal names, equal bodies and exact moves leave over; the later phases may still match it."""
     return _left_after_moves(spark, sf_dir)[0].select("sym_id", "qualified_name")
 
 
 @query(f"WITH {MATCH_SQL} SELECT sym_id, qualified_name FROM nu3")
-def added(spark, sf_dir):
+def unmatched_new_after_moves(spark, sf_dir):
     return _left_after_moves(spark, sf_dir)[1].select("sym_id", "qualified_name")
 
 
+def _changes(spark, sf_dir):
+    return diff.changes(*(stage(x, "snapshot") for x in snapshots(spark, sf_dir)))
+
+
+@query()
+def deleted(spark, sf_dir):
+    """What no phase matches."""
+    return _changes(spark, sf_dir).where("kind = 'Deleted'").select("old.sym_id", "old.qualified_name")
+
+
+@query()
+def added(spark, sf_dir):
+    return _changes(spark, sf_dir).where("kind = 'Added'").select("new.sym_id", "new.qualified_name")
+
+
 # Classification
 
 _KIND = "CASE WHEN o.name <> n.name THEN 'Renamed' WHEN o.visibility <> n.visibility THEN 'VisibilityChanged' ELSE 'BodyChanged' END"
@@ -295,7 +319,8 @@ _ALL = f"{_CHANGED}, every AS (SELECT kind FROM k UNION ALL SELECT 'Moved' FROM
     f"WITH {_ALL} SELECT count(*) AS total_changes, count(*) FILTER (kind = 'Added') AS added, count(*) FILTER (kind = 'Deleted') AS deleted, count(*) FILTER (kind IN ('BodyChanged', 'VisibilityChanged')) AS modified, "
     "count(*) FILTER (kind = 'Renamed') AS renamed, count(*) FILTER (kind = 'Moved') AS moved, 0::BIGINT AS extracted, 0::BIGINT AS inlined, 0::BIGINT AS signature_changed FROM every"
 )
-def change_summary(spark, sf_dir):
+def change_summary_exact(spark, sf_dir):
+    """Counts after the phases that SQL can follow: equal names, equal bodies, exact moves."""
     _, o, n = _left(spark, sf_dir)
     moved = stage(matching.moved_exact(o, n))
     o, n = matching.unmatched(o, moved, "old"), matching.unmatched(n, moved, "new")
@@ -303,6 +328,12 @@ def change_summary(spark, sf_dir):
     return classify.summary(_classified(spark, sf_dir).select("kind").unionByName(of(moved, "Moved")).unionByName(of(o, "Deleted")).unionByName(of(n, "Added")))
 
 
+@query()
+def change_summary(spark, sf_dir):
+    """The counts of all changes, after all phases in files and across them."""
+    return classify.summary(_changes(spark, sf_dir).select("kind"))
+
+
 @query(
     "WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS a, list_reverse(string_split(p_name, ' ')) || [p_brand] AS b FROM part), c AS (SELECT *, list_filter(a, lambda x: list_contains(b, x)) AS k FROM p) "
     "SELECT p_partkey, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS n_added, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS n_removed, "
@@ -427,13 +458,13 @@ def similar_name_pattern(spark, sf_dir):
 
 # Graph and impact
 
-_CALLS = "e AS (SELECT 'f' || l_suppkey AS caller, 'f' || (l_partkey % 97) AS callee, l_returnflag AS file_path, min(l_linenumber) AS line FROM lineitem GROUP BY 1, 2, 3), c AS (SELECT 'f' || s_suppkey AS name FROM supplier WHERE s_suppkey BETWEEN 1 AND 10)"
+_CALLS = "e AS (SELECT 'f' || l_suppkey AS caller, 'f' || (l_partkey % 97) AS callee, l_returnflag AS file_path, min(l_linenumber) AS line FROM lineitem GROUP BY 1, 2, 3), c AS (SELECT 'f' || s_suppkey AS name FROM supplier)"
 
 
 def _calls(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     e = li.groupBy(F.concat(F.lit("f"), "l_suppkey").alias("caller"), F.concat(F.lit("f"), F.col("l_partkey") % 97).alias("callee"), F.col("l_returnflag").alias("file_path")).agg(F.min("l_linenumber").alias("line"))
-    changed = table(spark, sf_dir, "supplier").where("s_suppkey BETWEEN 1 AND 10").select(F.concat(F.lit("f"), "s_suppkey").alias("name"))
+    changed = table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), "s_suppkey").alias("name"))
     return graph.edges(e), changed
 
 

@@ -42,3 +42,37 @@ def test_query_runs(spark, sf, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
+
+
+def test_greedy_pairs_in_rounds_equal_one_pass(spark, monkeypatch):
+    import random
+
+    from codestrata.operators import matching
+
+    rng = random.Random(3)
+    rows = list({(o, n): (o, n, rng.randrange(20) / 20) for o, n in ((rng.randrange(60), 100 + rng.randrange(60)) for _ in range(900))}.values())
+    df = spark.createDataFrame(rows, "old_id long, new_id long, score double")
+    want, old, new = [], set(), set()
+    for o, n, s in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if o not in old and n not in new:
+            want.append((o, n, s))
+            old.add(o)
+            new.add(n)
+    for limit in (0, 40, 10**6):
+        monkeypatch.setattr(matching, "GREEDY_ROWS", limit)
+        assert sorted(map(tuple, matching.greedy_pairs(df).collect())) == sorted(want)
+
+
+def test_numbers_of_changes_have_no_gaps(spark, sf):
+    from codestrata.plans import diff
+    from codestrata.plans.bindings import snapshots
+
+    changes = diff.numbered(diff.changes(*snapshots(spark, sf)))
+    rows = sorted((r.id, r.phase, (r.new or r.old).file_path, (r.new or r.old).line_start) for r in changes.collect())
+    assert [r[0] for r in rows] == list(range(len(rows))) and [r[1:] for r in rows] == sorted(r[1:] for r in rows)
+    kinds = {k: sum((r.kind == k) for r in changes.collect()) for k in ("Deleted", "Added")}
+    counts = entry.queries()["change_summary"](spark, sf).first()
+    assert (counts.deleted, counts.added) == (kinds["Deleted"], kinds["Added"]) and counts.total_changes == len(rows)
+    old = {r.sym_id for r in entry.queries()["deleted"](spark, sf).collect()}
+    left = {r.sym_id for r in entry.queries()["unmatched_old_after_moves"](spark, sf).collect()}
+    assert old < left and len(old) == counts.deleted
