@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .functions.text import excluded
 from .operators.extract import extract_calls, extract_symbols
@@ -16,14 +15,14 @@ from .sources.stage import stage
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="codestrata")
-    p.add_argument("range", nargs="?", default="HEAD~1..HEAD", help="old..new, or a ref to compare with HEAD; `index` and `symbols FILE` are commands")
+    p.add_argument("range", nargs="?", help="old..new, or a ref to compare with HEAD; without one, the working tree with HEAD; `index` and `symbols FILE` are commands")
     p.add_argument("file", nargs="?")
     p.add_argument("--dirs", nargs=2, metavar=("OLD", "NEW"))
     p.add_argument("--repo", default=".")
     p.add_argument("--repo-analysis", action="store_true")
     p.add_argument("--impact-depth", type=int, default=2)
     p.add_argument("--output", choices=("text", "json"), default="text")
-    p.add_argument("--mode", choices=("compat", "full"), default="compat")
+    p.add_argument("--mode", choices=("compat", "full"), default="full")
     p.add_argument("--exclude", action="append", default=[])
     p.add_argument("--ref", "--git-ref", default="HEAD")
     p.add_argument("--index-dir", default=".codestrata-index")
@@ -45,19 +44,22 @@ def main(argv: list[str] | None = None) -> str:
         return f"indexed {symbols.count()} symbols of {commit}"
     if a.dirs:
         before, after = (files.read_directory(spark, d) for d in a.dirs)
-        whole = after
     else:
         root = files.find_repo_root(a.repo)
-        before, after = files.range_snapshots(spark, root, a.range)
-        whole = files.read_revision(spark, root, files.parse_git_range(a.range)[1]) if a.repo_analysis else None
+        before, after = files.range_snapshots(spark, root, a.range) if a.range else files.working_snapshots(spark, root)
     details = stage(diff.diff(stage(extract_symbols(before)), stage(extract_symbols(after)), a.mode))
     shown = details.where(~excluded("file_info", a.exclude)) if a.exclude else details
-    out = report.text_report(shown) if a.output == "text" else "[" + ",\n".join(r.json for r in report.json_lines(shown).orderBy("id").toLocalIterator()) + "]"
+    found = None
     if a.repo_analysis:
-        for name, df in impact.analyze_files(details, whole, depth=a.impact_depth, mode=a.mode).items():
-            rows = [r.j for r in df.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()]
-            out += f"\n--- {name} ({len(rows)}) ---\n" + "\n".join(rows)
-    return out
+        options = {"depth": a.impact_depth, "mode": a.mode}
+        if a.dirs:
+            found = impact.analyze_files(details, after, **options)
+        else:
+            new = files.parse_git_range(a.range)[1] if a.range else "HEAD"
+            found = impact.analyze(details, *impact.code_base(spark, root, new, a.index_dir), **options)
+    if a.output == "json":
+        return report.json_document(shown, found)
+    return report.text_report(shown) + (report.impact_report(found) if found else "")
 
 
 if __name__ == "__main__":

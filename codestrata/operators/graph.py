@@ -88,6 +88,13 @@ def pattern_warnings(similar: DataFrame) -> DataFrame:
     return similar.select(message.alias("message"), "changed_symbol", other.alias("related_symbol"), "file_path", "line_start", "line_end", "similarity").where("message IS NOT NULL")
 
 
+def scanned(symbols: DataFrame, calls: DataFrame) -> DataFrame:
+    """One row: the symbols and calls that an analysis saw."""
+    one = F.lit(1).alias("_1")
+    s, c = symbols.agg(F.count("*").alias("total_repo_symbols")), calls.agg(F.count("*").alias("call_graph_edges"))
+    return s.withColumn("_1", one).join(c.withColumn("_1", one), "_1").drop("_1")
+
+
 def risk_summary(callers: DataFrame, similar: DataFrame, warnings: DataFrame) -> DataFrame:
     """One row of totals and risk levels."""
     n = lambda level: F.count_if(F.col("risk") == level)

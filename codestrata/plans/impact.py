@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import classify, graph, similar
 from ..operators.extract import extract_calls, extract_symbols
+from ..sources import files, index
 from ..sources.stage import stage
 
 
@@ -17,18 +18,28 @@ def keyed(symbols: DataFrame) -> DataFrame:
 def analyze(changes: DataFrame, symbols: DataFrame, calls: DataFrame, depth: int = 2, min_similarity: float = 0.6, mode: str = "full") -> dict[str, DataFrame]:
     """changes: kind, old, new of plans.diff; symbols and calls: of the whole code base.
 
-    Returns affected_callers, similar_code, pattern_warnings and risk_summary."""
+    Returns affected_callers, similar_code, pattern_warnings, risk_summary and scanned (total_repo_symbols, call_graph_edges)."""
     said, level = classify.risk(F.col("kind"), F.col("old"), F.col("new"))
     named = changes.select(classify.symbol_name(F.col("old"), F.col("new")).alias("name"), said.alias("description"), level.alias("risk"))
     callers = stage(graph.affected_callers(named, calls, depth))
     own = F.coalesce("new", "old")
     touched = changes.select(F.concat_ws(":", own["file_path"], own["qualified_name"]).alias("key")).distinct()
-    index = stage(keyed(symbols).dropDuplicates(["key"]))
-    found = stage(similar.find_similar(index.join(touched, "key", "left_semi"), index, min_similarity, mode))
+    known = stage(keyed(symbols).dropDuplicates(["key"]))
+    found = stage(similar.find_similar(known.join(touched, "key", "left_semi"), known, min_similarity, mode))
     warnings = stage(graph.pattern_warnings(found))
-    return {"affected_callers": callers, "similar_code": found, "pattern_warnings": warnings, "risk_summary": graph.risk_summary(callers, found, warnings)}
+    return {"affected_callers": callers, "similar_code": found, "pattern_warnings": warnings, "risk_summary": graph.risk_summary(callers, found, warnings), "scanned": graph.scanned(symbols, calls)}
 
 
-def analyze_files(changes: DataFrame, files: DataFrame, **options) -> dict[str, DataFrame]:
+def code_base(spark: SparkSession, repo: str, ref: str, index_dir: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """symbols and calls of a commit: from the saved index if it is of this commit, else from its files."""
+    commit = files.validate_ref(repo, ref)
+    saved = index.load(spark, index_dir, commit) if index_dir else None
+    if saved:
+        return saved["symbols"], saved["calls"]
+    source = stage(files.read_revision(spark, repo, commit))
+    return stage(extract_symbols(source)), stage(extract_calls(source))
+
+
+def analyze_files(changes: DataFrame, source: DataFrame, **options) -> dict[str, DataFrame]:
     """The same over source files (path, content)."""
-    return analyze(changes, stage(extract_symbols(files)), stage(extract_calls(files)), **options)
+    return analyze(changes, extract_symbols(source), stage(extract_calls(source)), **options)

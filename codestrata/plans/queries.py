@@ -375,6 +375,19 @@ def line_diff(spark, sf_dir):
     return d.select("sym_id", n("Equal"), n("Delete"), n("Insert"))
 
 
+@query(
+    "WITH d AS (SELECT doc_id, text, CASE WHEN ends_with(text, chr(10)) OR text = '' THEN 0 ELSE 1 END AS open, len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) OR text = '' THEN 1 ELSE 0 END AS lines, "
+    "len(string_split(regexp_replace(text, '\\n\\z', ''), chr(10))) AS own FROM documents WHERE doc_id % 5 = 0 AND doc_id % 10 <> 7) "
+    "SELECT doc_id AS sym_id, (doc_id % 10) * 10 + 10 - greatest(own, 1) AS body_start, (doc_id % 10) * 10 + 10 - greatest(own, 1) + lines - open AS first_changed FROM d"
+)
+def changed_lines(spark, sf_dir):
+    """Where the old body of each edited symbol starts, by its last line, and its first changed line."""
+    d = _edited(spark, sf_dir).select("sym_id", "a", linediff.body_diff("a", "b").alias("lines"))
+    start = linediff.body_start(((F.col("sym_id") % 10) * 10 + 9).cast("long"), F.col("a"))
+    d = d.withColumn("body_start", start.cast("long"))
+    return d.select("sym_id", "body_start", linediff.first_changed_line(F.col("lines"), F.col("body_start")).cast("long").alias("first_changed"))
+
+
 @query()
 def aligned_rows(spark, sf_dir):
     d = _edited(spark, sf_dir).select(F.col("sym_id").alias("id"), linediff.body_diff("a", "b").alias("lines"))

@@ -60,6 +60,16 @@ def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
     return points.join(lines, ["file_path", "line"]).groupBy("file_path", "line").agg(F.min("r")["id"].alias("id"))
 
 
+def preload(changes: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """side, path, content of the files on either side that hold a changed symbol. before, after: path, content."""
+
+    def touched(files: DataFrame, side: str) -> DataFrame:
+        paths = changes.select(F.col(f"{side}.file_path").alias("path")).where("path IS NOT NULL").distinct()
+        return files.join(paths, "path", "left_semi").select(F.lit(side).alias("side"), "path", "content")
+
+    return touched(before, "old").unionByName(touched(after, "new"))
+
+
 def impact_lines(callers: DataFrame, warnings: DataFrame, name: str, fallback: int = 5) -> tuple[DataFrame, DataFrame]:
     """Callers of a changed name, and its warnings; without any, the first few of all."""
     own = warnings.where(F.col("changed_symbol") == name)

@@ -36,8 +36,8 @@ def _paths(spark: SparkSession, paths: list[str], per_task: int = 256) -> DataFr
     return df.where(language("path").isNotNull()).repartition(max(1, -(-len(paths) // per_task)))
 
 
-def read_directory(spark: SparkSession, root: str) -> DataFrame:
-    """path, content of all supported files. The directory must be one that all executors see."""
+def read_directory(spark: SparkSession, root: str, paths: DataFrame | None = None) -> DataFrame:
+    """path, content of all supported files, or of some (path). The directory must be one that all executors see."""
     base = os.path.abspath(root)
     base = os.path.dirname(base) if os.path.isfile(base) else base
 
@@ -52,7 +52,8 @@ def read_directory(spark: SparkSession, root: str) -> DataFrame:
                     continue
             yield pd.DataFrame(rows, columns=["path", "content"])
 
-    return _paths(spark, collect_files(root)).mapInPandas(load, FILES)
+    wanted = paths.select("path").where(language("path").isNotNull()) if paths is not None else _paths(spark, collect_files(root))
+    return wanted.mapInPandas(load, FILES)
 
 
 def _git(repo: str, *args: str) -> str:
@@ -87,9 +88,9 @@ def list_files(repo: str, ref: str) -> list[str]:
     return [p for p in _git(repo, "ls-tree", "-r", "-z", "--name-only", ref).split("\0") if p]
 
 
-def changed_files(spark: SparkSession, repo: str, old: str, new: str) -> DataFrame:
-    """path, status (A, M, D, R), old_path (of renames); other kinds of change are left out."""
-    parts = _git(repo, "diff", "--name-status", "-z", f"{old}..{new}").split("\0")
+def changed_files(spark: SparkSession, repo: str, old: str, new: str | None) -> DataFrame:
+    """path, status (A, M, D, R), old_path (of renames); other kinds of change are left out. Without new, up to the working tree."""
+    parts = _git(repo, "diff", "--name-status", "-M", "-z", f"{old}..{new}" if new else old).split("\0")
     rows, i = [], 0
     while i < len(parts) - 1:
         s = parts[i]
@@ -128,6 +129,13 @@ def read_revision(spark: SparkSession, repo: str, ref: str, paths: DataFrame | N
     return wanted.where(language("path").isNotNull()).mapInPandas(load, FILES)
 
 
+def working_snapshots(spark: SparkSession, repo: str) -> tuple[DataFrame, DataFrame]:
+    """The tracked files that the working tree changes, at HEAD and as they stand."""
+    changed = changed_files(spark, repo, "HEAD", None)
+    before = changed.where("status <> 'A'").selectExpr("coalesce(old_path, path) AS path")
+    return read_revision(spark, repo, "HEAD", before), read_directory(spark, repo, changed.where("status <> 'D'").select("path"))
+
+
 def range_snapshots(spark: SparkSession, repo: str, spec: str) -> tuple[DataFrame, DataFrame]:
     """The files that a range changes, before and after: a rename is read at its old path before, additions only after."""
     old, new = parse_git_range(spec)

@@ -1,7 +1,9 @@
+import json
 import subprocess
 
+import pytest
 from codestrata import cli
-from codestrata.plans import diff, impact
+from codestrata.plans import diff, impact, report, views
 from codestrata.operators.extract import extract_calls, extract_symbols
 from codestrata.sources import files, index
 
@@ -40,7 +42,7 @@ def test_directories(spark, tmp_path):
     assert found["risk_summary"].first().high_risk_count == 1
 
 
-def test_git_index_and_command_line(spark, tmp_path):
+def test_git_index_and_command_line(spark, tmp_path, monkeypatch):
     root = tmp_path / "repo"
     write(root, OLD)
     git(tmp_path, "init", "-q", "repo")
@@ -62,4 +64,40 @@ def test_git_index_and_command_line(spark, tmp_path):
     text = cli.main(["HEAD~1..HEAD", "--repo", str(root), "--exclude", "*c2.go"])
     assert "[SIG] area" in text and "Moved (" not in text
     assert cli.main(["symbols", str(root / "a.rs")]).startswith("Function area 1-4")
-    assert cli.main(["--dirs", str(root), str(root), "--output", "json"]) == "[]"
+    none = json.loads(cli.main(["--dirs", str(root), str(root), "--output", "json"]))
+    assert none["diff"]["changes"] == [] and none["diff"]["summary"]["total_changes"] == 0 and "repo_analysis" not in none
+    # the index of a commit, and the working tree against it
+    ix = str(tmp_path / "index")
+    assert cli.main(["index", "--repo", str(root), "--index-dir", ix]).startswith("indexed ")
+    monkeypatch.setattr(impact, "extract_symbols", lambda *a: pytest.fail("the index should have been used"))
+    (root / "a.rs").write_text(OLD["a.rs"])
+    (root / "b.py").unlink()
+    options = ["--repo", str(root), "--repo-analysis", "--index-dir", ix]
+    text = cli.main(options)
+    assert "[SIG] area" in text and "[DEL] use" in text and "[ADD] gone" in text
+    assert "=== Repo-Wide Impact Analysis ===\nScanned: 4 symbols, 1 call edges\n\nRisk: 1 high, 0 medium, 0 low\n\n--- Affected Callers (1) ---\n  [HIGH] use @ b.py:2\n       calls 'area' which was: signature changed" in text
+    got = json.loads(cli.main([*options, "--output", "json"]))
+    assert {json.dumps(c["kind"])[:19] for c in got["diff"]["changes"]} >= {'"Deleted"', '"Added"'} and got["repo_analysis"]["total_repo_symbols"] == 4
+    assert [c["caller_symbol"] for c in got["repo_analysis"]["impact"]["affected_callers"]] == ["use"] and got["repo_analysis"]["impact"]["risk_summary"]["high_risk_count"] == 1
+    o, n = files.working_snapshots(spark, str(root))
+    d = diff.diff(extract_symbols(o), extract_symbols(n))
+    assert sorted((r.side, r.path) for r in views.preload(d, o, n).collect()) == [("new", "a.rs"), ("old", "a.rs"), ("old", "b.py")]
+
+
+def test_impact_entries(spark):
+    place = "file_path string, line_start int, line_end int, similarity double"
+    found = {
+        "affected_callers": spark.createDataFrame([("g", "b.rs", 7, "f", "renamed f -> h", "Medium", 1), ("e", "a.rs", 3, "f", "renamed f -> h", "High", 0)], "caller_symbol string, caller_file string, caller_line int, changed_callee string, change_description string, risk string, depth int"),
+        "similar_code": spark.createDataFrame([("f", "k", "c.rs", 1, 4, 0.755, "StructurallySimilar"), ("f", "l", "c.rs", 5, 9, 1.0, "ExactDuplicate")], f"changed_symbol string, similar_symbol string, {place}, kind string"),
+        "pattern_warnings": spark.createDataFrame([("Exact duplicate of 'f' exists but was not changed", "f", "l", "c.rs", 5, 9, 1.0)], f"message string, changed_symbol string, related_symbol string, {place}"),
+        "risk_summary": spark.createDataFrame([(2, 1, 1, 0, 2, 1)], "total_affected_callers int, high_risk_count int, medium_risk_count int, low_risk_count int, total_similar_code int, total_pattern_warnings int"),
+        "scanned": spark.createDataFrame([(9, 4)], "total_repo_symbols int, call_graph_edges int"),
+    }
+    assert report.impact_report(found).split("\n")[2:] == [
+        "Scanned: 9 symbols, 4 call edges", "", "Risk: 1 high, 1 medium, 0 low", "", "--- Affected Callers (2) ---",
+        "  [HIGH] e @ a.rs:3", "       calls 'f' which was: renamed f -> h", "  [MED ] g @ b.rs:7 (depth 1)", "       calls 'f' which was: renamed f -> h", "",
+        "--- Similar Code (2) ---", "  [EXACT] l @ c.rs:L5-9  (100% similar to f)", "  [SIMILAR] k @ c.rs:L1-4  (76% similar to f)", "",
+        "--- Pattern Warnings (1) ---", "  [WARN] Exact duplicate of 'f' exists but was not changed", "         @ c.rs:L5-9", "",
+    ]
+    none = {k: df.limit(0) for k, df in found.items()} | {"scanned": found["scanned"], "risk_summary": spark.createDataFrame([(0, 0, 0, 0, 0, 0)], found["risk_summary"].schema)}
+    assert report.impact_report(none).endswith("\n\nNo impact detected.")
