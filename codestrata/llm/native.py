@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import bound, running
+
 SPAN = "struct<start:int,end:int,match:string,before:string>"
 CONTEXT = 24
 #: Code points of a block of a text, within which a place is looked up from the block's start.
@@ -16,17 +18,6 @@ BLOCK = 4096
 CHUNK = 128
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
-    """The running op (associative) of an array of int, by doubling: an aggregate() that appends would copy the array at each step."""
-    shifts = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
-    return F.aggregate(shifts, values, lambda acc, shift: F.transform(acc, lambda x, i: F.when(i >= shift, op(F.get(acc, i - shift), x)).otherwise(x)))
-
-
 def walk(items: Column, at: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str, end: Callable[[Column], Column]) -> Column:
     """Walks over an array with a state: step(state, item) gives the next state and an array of kind to append. All that was
     appended, and end(last state). In chunks, as the state is copied at each step."""
