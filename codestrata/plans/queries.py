@@ -92,7 +92,20 @@ def fnv1a(spark, sf_dir):
     return n.select("n_nationkey", features.fnv1a_text("n_name").alias("hash"))
 
 
-@query()
+_LOW = "18446744073709551615::UHUGEINT"
+_GRAMS = "list_distinct(list_transform(range(1, length(norm) - 2), lambda p: substr(norm, p, 4)))"
+#: Signatures in SQL: FNV-1a over the bytes of each distinct gram, and the generator of the multipliers, in 128-bit arithmetic.
+_SIGNATURES = (
+    f"t AS MATERIALIZED (SELECT doc_id, lang, {NORMALIZE.format('text')} AS norm FROM documents), s AS MATERIALIZED (SELECT doc_id, CASE WHEN length(norm) < 4 THEN []::VARCHAR[] ELSE {_GRAMS} END AS grams FROM t), "
+    "u AS (SELECT DISTINCT unnest(grams) AS g FROM s), b AS (SELECT g, hex(encode(g)) AS x FROM u), "
+    f"f AS MATERIALIZED (SELECT g, list_reduce(list_transform(range(0, length(x) // 2), lambda i: ((instr('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 1)::UHUGEINT), lambda a, y: (xor(a, y) * 1099511628211::UHUGEINT) & {_LOW}, 14695981039346656037::UHUGEINT) AS h FROM b), "
+    f"m(k, v) AS (SELECT 0, ({features._START}::UHUGEINT * {features._FACTOR}::UHUGEINT + {features._STEP}::UHUGEINT) & {_LOW} UNION ALL SELECT k + 1, (v * {features._FACTOR}::UHUGEINT + {features._STEP}::UHUGEINT) & {_LOW} FROM m WHERE k < {features.SIGNATURE - 1}), "
+    f"w AS (SELECT g, k, ((h * v + v) & {_LOW})::UBIGINT AS y FROM f CROSS JOIN m), "
+    "sig AS MATERIALIZED (SELECT s.doc_id, m.k AS position, coalesce(y, 18446744073709551615::UBIGINT)::VARCHAR AS value FROM s CROSS JOIN m LEFT JOIN (SELECT doc_id, k, min(y) AS y FROM (SELECT doc_id, unnest(grams) AS g FROM s) JOIN w USING (g) GROUP BY doc_id, k) z ON z.doc_id = s.doc_id AND z.k = m.k)"
+)
+
+
+@query(f"WITH RECURSIVE {_SIGNATURES} SELECT doc_id, position, value FROM sig")
 def minhash_sig(spark, sf_dir):
     sig = docs(spark, sf_dir).select("doc_id", F.posexplode(features.minhash(text.normalize_body("text"))).alias("position", "value"))
     return sig.select("doc_id", "position", features.unsigned(F.col("value")).cast("string").alias("value"))
@@ -122,7 +135,12 @@ def formatting_only(spark, sf_dir):
     return p.select("sym_id", text.formatting_only("a", "b").alias("same"))
 
 
-@query()
+_CELLS = "string_split(l, chr(9))"
+
+
+@query(
+    f"SELECT page_id, array_to_string(list_transform(string_split(html, chr(10)), lambda l: array_to_string(list_transform(range(1, len({_CELLS})), lambda i: rpad({_CELLS}[i], CAST(length({_CELLS}[i]) // 4 + 1 AS INTEGER) * 4, ' ')), '') || {_CELLS}[len({_CELLS})]), chr(10)) AS expanded FROM pages"
+)
 def expand_tabs(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.expand_tabs("html").alias("expanded"))
 
@@ -444,7 +462,12 @@ def similar_structural(spark, sf_dir):
     return similar.structurally_similar(i.where("key % 20 = 0"), i).select("changed_key", "key", r6(F.col("similarity")).alias("similarity"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_SIGNATURES}, q AS (SELECT a.doc_id AS ck, b.doc_id AS k, count(*) / {features.SIGNATURE} AS approx FROM sig a JOIN sig b USING (position, value) WHERE a.doc_id % 20 = 0 AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING count(*) / {features.SIGNATURE} >= 0.5), "
+    f"c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ck ORDER BY approx DESC, k) AS rn FROM q) WHERE rn <= {similar.CANDIDATES}), "
+    "j AS (SELECT ck, k, approx, len(list_intersect(x.grams, y.grams)) AS common, len(x.grams) AS n, len(y.grams) AS o FROM c JOIN s x ON x.doc_id = ck JOIN s y ON y.doc_id = k JOIN t a ON a.doc_id = ck JOIN t b ON b.doc_id = k WHERE a.lang = b.lang AND a.norm <> b.norm AND len(x.grams) >= 3 AND len(y.grams) >= 3), "
+    f"r AS (SELECT *, common / (n + o - common) AS s, row_number() OVER (PARTITION BY ck ORDER BY approx DESC, k) AS rn FROM j WHERE common / (n + o - common) >= 0.6 AND common / (n + o - common) < 1) SELECT ck AS changed_key, k AS key, round(s, 6)::DOUBLE AS similarity FROM r WHERE rn <= {similar.PER_SYMBOL}"
+)
 def similar_structural_compat(spark, sf_dir):
     i = _index(spark, sf_dir)
     return similar.structurally_similar_compat(i.where("key % 20 = 0"), i).select("changed_key", "key", r6(F.col("similarity")).alias("similarity"))
@@ -614,7 +637,11 @@ def file_groups(spark, sf_dir):
     return views.file_groups(s)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_SPANS}, o AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line_start, line_end DESC, id) AS i FROM s), "
+    "r AS (SELECT file_path, i, id, 0 AS depth, [{'e': line_end, 'd': 0}] AS st FROM o WHERE i = 1 UNION ALL SELECT file_path, i, id, depth, list_append(p, {'e': line_end, 'd': depth}) FROM (SELECT *, CASE WHEN len(p) > 0 THEN p[len(p)].d + 1 ELSE 0 END AS depth FROM "
+    "(SELECT o.*, r.st[1:coalesce(list_max(list_filter(range(1, len(r.st) + 1), lambda k: r.st[k].e >= o.line_start)), 0)] AS p FROM r JOIN o ON o.file_path = r.file_path AND o.i = r.i + 1) x) y) SELECT file_path, id, depth FROM r"
+)
 def nesting_depth(spark, sf_dir):
     return views.nesting_depth(_spans(spark, sf_dir))
 
