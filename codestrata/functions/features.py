@@ -49,8 +49,8 @@ def fnv1a_text(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else str(fnv1a(t.encode("utf-8", "surrogatepass"))))
 
 
-def _hash_grams(text: str, n: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct FNV-1a hashes of the UTF-8 bytes of a text's n-grams."""
+def _hash_each(text: str, n: int) -> np.ndarray:
+    """The FNV-1a hashes of the UTF-8 bytes of a text's n-grams, in order."""
     if len(text) < n:
         return np.zeros(0, np.uint64)
     raw = text.encode("utf-8", "surrogatepass")
@@ -65,7 +65,12 @@ def _hash_grams(text: str, n: int = SHINGLE) -> np.ndarray:
         if not live.any():
             break
         h[live] = (h[live] ^ a[p[live]]) * np.uint64(_PRIME)
-    return np.unique(h)
+    return h
+
+
+def _hash_grams(text: str, n: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's n-grams."""
+    return np.unique(_hash_each(text, n))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -74,12 +79,20 @@ def shingle_hashes(texts: pd.Series) -> pd.Series:
     return pd.Series([_hash_grams(t or "").view(np.int64) for t in texts])
 
 
-def gram_hashes(n: int) -> Callable[[ColumnOrName], Column]:
-    """Distinct 64-bit hashes of the n-grams of texts, for any n."""
+def _least_of(h: np.ndarray, among: int) -> np.ndarray:
+    """The distinct least ones of each `among` in a row, of all if there are fewer."""
+    if len(h) < among:
+        return np.unique(h.min(keepdims=True)) if len(h) else h
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, among).min(1))
+
+
+def anchors(n: int, among: int) -> Callable[[ColumnOrName], Column]:
+    """Distinct 64-bit hashes of those n-grams of texts that are least hashed among some `among` in a row. A text of that many n-grams or more
+    that stands in another has one at least, and all its own are the other's too."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([_hash_grams(t or "", n).view(np.int64) for t in texts])
+        return pd.Series([_least_of(_hash_each(t or "", n), among).view(np.int64) for t in texts])
 
     return hashes
 

@@ -17,8 +17,8 @@ from ..functions import features, text
 from ..sources.stage import stage
 
 FUZZY_CAP, CONTAIN_CAP = 50_000, 100_000
-#: Pairs that one task assigns; characters of a window by which contained bodies are looked up.
-GREEDY_ROWS, WINDOW = 200_000, 10
+#: Pairs that one task assigns; characters of an anchor by which contained bodies are looked up.
+GREEDY_ROWS, ANCHOR = 200_000, 10
 _MATCH = "old_id long, new_id long, confidence double, match_type string"
 _BLOCK = 16  # bits of sym_id within a block of rank_in_group
 
@@ -168,10 +168,10 @@ def similar_candidates(old: DataFrame, new: DataFrame, least: float = 0.7) -> Da
     return pairs.select(F.col("o_id").alias("old_id"), F.col("n_id").alias("new_id"), "score", F.col("o_kind").alias("kind")).distinct()
 
 
-def _windows_met(outer: DataFrame, inner: DataFrame, width: int) -> DataFrame:
-    """Pairs outer_id, inner_id that may contain: each inner body is looked up by its rarest window of width characters among the outer
-    bodies' (an equi-join), if all of its windows stand somewhere."""
-    hashes = features.gram_hashes(width)
+def _anchors_met(outer: DataFrame, inner: DataFrame, width: int, among: int) -> DataFrame:
+    """Pairs outer_id, inner_id that may contain: each inner body is looked up by its rarest anchor of width characters among the outer
+    bodies' (an equi-join), if all of its anchors stand somewhere."""
+    hashes = features.anchors(width, among)
     keyed = outer.select("outer_id", F.explode(hashes("_o")).alias("key"))
     own = inner.select("inner_id", hashes("_i").alias("_keys")).select("inner_id", F.size("_keys").alias("_all"), F.explode("_keys").alias("key"))
     times = keyed.join(own.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("_n"))
@@ -183,10 +183,10 @@ def _contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
     """Pairs outer_id, inner_id of which outer's body holds inner's, at least 50 and 20 bytes, in a ratio over 0.15."""
     o = outer.where(F.octet_length("normalized_body") >= 50).select(F.col("sym_id").alias("outer_id"), F.col("normalized_body").alias("_o"))
     i = inner.where(F.octet_length("normalized_body") >= 20).select(F.col("sym_id").alias("inner_id"), F.col("normalized_body").alias("_i"))
-    pairs = _windows_met(o, i.where(F.length("_i") >= WINDOW), WINDOW)
-    short = i.where(F.length("_i") < WINDOW)  # of wide characters: 20 bytes are five at least
+    pairs = _anchors_met(o, i.where(F.length("_i") >= 20), ANCHOR, 20 - ANCHOR + 1)
+    short = i.where(F.length("_i") < 20)  # of wide characters: 20 bytes are five at least
     if short.limit(1).count():
-        pairs = pairs.unionByName(_windows_met(o, short, 5))
+        pairs = pairs.unionByName(_anchors_met(o, short, 5, 1))
     found = pairs.join(o, "outer_id").join(i, "inner_id")
     return found.where(F.contains(F.col("_o"), F.col("_i")) & (F.octet_length("_i") / F.octet_length("_o") > 0.15)).select("outer_id", "inner_id")
 

@@ -90,3 +90,24 @@ def test_greedy_assignment_is_one_to_one_by_score(spark, sf):
     assert len(olds) == len(news) == len(rows) > 0
     assert all(max(olds.get(o, -1), news.get(n, -1)) >= s - 1e-6 for (o, n), s in scores.items())
     assert entry.entry(spark).select(F.col("total_changes")).first()[0] > 0
+
+
+def test_contained_bodies_equal_brute_force(spark):
+    import random
+
+    from codestrata.operators import matching
+
+    rng = random.Random(6)
+    some = lambda n, letters="abcd ": "".join(rng.choice(letters) for _ in range(n))
+    outer = [(i, some(rng.randrange(30, 400))) for i in range(60)] + [(100 + i, some(rng.randrange(10, 60), "日本語é")) for i in range(40)] + [(200, "x" * 300)]
+    inner = []
+    for k, (_, t) in enumerate(outer):
+        for j in range(4):
+            n = rng.choice([5, 7, 9, 12, 20, 21, 40, 90])
+            at = rng.randrange(max(1, len(t) - n))
+            inner.append((1000 + 10 * k + j, t[at : at + n] + ("z" if j == 3 else "")))
+    size = lambda x: len(x.encode())
+    want = sorted((o, i) for o, x in outer for i, y in inner if size(x) >= 50 and size(y) >= 20 and y in x and size(y) / size(x) > 0.15)
+    frame = lambda rows: spark.createDataFrame(rows, "sym_id long, normalized_body string")
+    got = sorted((r.outer_id, r.inner_id) for r in matching._contained(frame(outer), frame(inner)).collect())
+    assert got == want and len(want) > 60
