@@ -12,6 +12,11 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def over(score: Column, least: Column | float) -> Column:
+    """Rows of the score where it is over least, none elsewhere. A filter on a column would compute it a second time."""
+    return F.explode(F.filter(F.array(score), lambda s: s > least))
+
+
 def running(values: Column, op) -> Column:
     """The running op (associative) of an array of int, by doubling: an aggregate() that appends would copy the array at each step."""
     shifts = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
@@ -73,7 +78,8 @@ def body_similarity(a: ColumnOrName, b: ColumnOrName, threshold: Column | float
     most, least = F.greatest(la, lb), F.least(la, lb)
     x, y = (F.when(most > 1000, byte_prefix(c, 1000)).otherwise(c) for c in (a, b))
     bound = F.floor((1 - threshold) * most).cast("int")
-    distance = F.least(levenshtein(x, y), bound + 1)
+    # -1 beyond the bound, which the modulus turns into bound + 1; said once, as branches would compute it again
+    distance = F.pmod(F.call_function("levenshtein", as_bytes(x), as_bytes(y), bound), bound + 2)
     longer = F.greatest(F.octet_length(x), F.octet_length(y))
     return F.when(a == b, 1.0).when(least == 0, 0.0).when(least / most < threshold, 0.0).otherwise(1 - distance / longer)
 

@@ -75,8 +75,7 @@ def fuzzy_candidates(old: DataFrame, new: DataFrame) -> DataFrame:
     pairs = o.join(n, (F.col("o_file_path") == F.col("n_file_path")) & (F.col("o_kind") == F.col("n_kind")))
     pairs = pairs.withColumn("_name", text.name_similarity("o_name", "n_name"))
     threshold = F.greatest(0.5 - F.col("_name") * 0.4, F.lit(0.0)) / 0.6
-    pairs = pairs.withColumn("score", F.col("_name") * 0.4 + _similarity(threshold) * 0.6)
-    return pairs.where("score > 0.5").select(F.col("o_id").alias("old_id"), F.col("n_id").alias("new_id"), "score", "o_file_path")
+    return pairs.select(F.col("o_id").alias("old_id"), F.col("n_id").alias("new_id"), text.over(F.col("_name") * 0.4 + _similarity(threshold) * 0.6, 0.5).alias("score"), "o_file_path")
 
 
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -141,8 +140,7 @@ def _first_best(pdf: pd.DataFrame) -> pd.DataFrame:
 def name_candidates(old: DataFrame, new: DataFrame) -> DataFrame:
     o, n = side(old, "o", _BODY), side(new, "n", _BODY)
     on = (F.col("o_name") == F.col("n_name")) & (F.col("o_kind") == F.col("n_kind")) & (F.col("o_file_path") != F.col("n_file_path"))
-    pairs = o.join(n, on).withColumn("score", _similarity(0.5)).where("score > 0.5")
-    return pairs.select(F.col("o_id").alias("old_id"), F.col("n_id").alias("new_id"), "score", F.struct("o_name", "o_kind").alias("group"))
+    return o.join(n, on).select(F.col("o_id").alias("old_id"), F.col("n_id").alias("new_id"), text.over(_similarity(0.5), 0.5).alias("score"), F.struct("o_name", "o_kind").alias("group"))
 
 
 def moved_by_name(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -159,13 +157,17 @@ def _size_bands(df: DataFrame, ratio: float, spread: bool) -> DataFrame:
 
 def similar_candidates(old: DataFrame, new: DataFrame, least: float = 0.7) -> DataFrame:
     """Pairs of a kind in different files with structural similarity over least; bodies of far lengths never meet."""
-    o = side(_size_bands(old, least, False), "o", [*_BODY, "band"])
-    n = side(_size_bands(new, least, True), "n", [*_BODY, "band"])
-    plain = (F.size("o_ast_fingerprint") == 0) | (F.size("n_ast_fingerprint") == 0)
-    near = F.least(F.octet_length("o_normalized_body"), F.octet_length("n_normalized_body")) >= least * F.greatest(F.octet_length("o_normalized_body"), F.octet_length("n_normalized_body"))
+    size, prints = F.octet_length("normalized_body").alias("size"), F.size("ast_fingerprint").alias("prints")
+    o, n = (_size_bands(x.select("sym_id", "kind", "file_path", "normalized_body", size, prints), least, spread).drop("normalized_body") for x, spread in ((old, False), (new, True)))
+    o, n = side(o, "o", ["kind", "file_path", "size", "prints", "band"]), side(n, "n", ["kind", "file_path", "size", "prints", "band"])
+    plain = (F.col("o_prints") == 0) | (F.col("n_prints") == 0)
+    near = F.least("o_size", "n_size") >= least * F.greatest("o_size", "n_size")
     on = (F.col("o_kind") == F.col("n_kind")) & (F.col("o_band") == F.col("n_band")) & (F.col("o_file_path") != F.col("n_file_path"))
-    pairs = o.join(n, on).where(~plain | near).withColumn("score", _similarity(least)).where(F.col("score") > least)
-    return pairs.select(F.col("o_id").alias("old_id"), F.col("n_id").alias("new_id"), "score", F.col("o_kind").alias("kind")).distinct()
+    pairs = o.join(n, on).where(~plain | near).select("o_id", "n_id", F.col("o_kind").alias("kind"))
+    # bodies join by their own ids, so that the comparing of a few kinds and lengths is dealt over all tasks
+    body = lambda df, p: side(df, p, ["normalized_body", "ast_fingerprint"])
+    met = pairs.join(body(old, "o"), "o_id").join(body(new, "n").hint("merge"), "n_id")
+    return met.select(F.col("o_id").alias("old_id"), F.col("n_id").alias("new_id"), text.over(_similarity(least), least).alias("score"), "kind")
 
 
 def _anchors_met(outer: DataFrame, inner: DataFrame, width: int, among: int) -> DataFrame:

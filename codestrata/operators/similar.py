@@ -52,7 +52,7 @@ def structurally_similar(changed: DataFrame, index: DataFrame, least: float = 0.
     near = (F.col("key") != F.col("changed_key")) & (F.col("n") >= least * F.col("cn")) & (F.col("cn") >= least * F.col("n"))
     pairs = flat.join(rare, ["g", "symbol_kind"]).where(near).groupBy("changed_key", "key").agg(F.count("*").alias("held"), F.first("need").alias("need")).where("held >= need").select("changed_key", "key")
     both = pairs.join(probe, "changed_key").join(every, "key").where("ck = symbol_kind AND ch <> body_hash")
-    scored = both.withColumn("similarity", text.jaccard("cg", "grams")).where((F.col("similarity") >= least) & (F.col("similarity") < 1))
+    scored = both.select("changed_key", "key", F.explode(F.filter(F.array(text.jaccard("cg", "grams")), lambda s: (s >= least) & (s < 1))).alias("similarity"))
     found = scored.select("changed_key", "key", "similarity", F.lit("StructurallySimilar").alias("kind"))
     return found if limit is None else _top(found, [F.desc("similarity"), F.asc("key")], limit)
 
@@ -68,7 +68,7 @@ def structurally_similar_compat(changed: DataFrame, index: DataFrame, least: flo
     every = shingle_table(index)
     own = every.select(F.col("key").alias("changed_key"), F.col("symbol_kind").alias("ck"), F.col("body_hash").alias("ch"), F.col("grams").alias("cg"), F.col("n").alias("cn"))
     both = best.join(own, "changed_key").join(every, "key").where("ck = symbol_kind AND ch <> body_hash AND cn >= 3 AND n >= 3")
-    scored = both.withColumn("similarity", text.jaccard("cg", "grams")).where((F.col("similarity") >= least) & (F.col("similarity") < 1))
+    scored = both.select("changed_key", "key", "approx", F.explode(F.filter(F.array(text.jaccard("cg", "grams")), lambda s: (s >= least) & (s < 1))).alias("similarity"))
     return _top(scored, [F.desc("approx"), F.asc("key")], PER_SYMBOL).select("changed_key", "key", "similarity", F.lit("StructurallySimilar").alias("kind"))
 
 
@@ -83,7 +83,7 @@ def name_patterns(changed: DataFrame, index: DataFrame) -> DataFrame:
     pairs = c.join(rare, "stem").where("key <> changed_key AND ck = symbol_kind")
     once = pairs.groupBy("changed_key", "key").agg(F.min("stem").alias("stem"), F.first("cb").alias("cb"), F.first("normalized_body").alias("body"))
     once = once.where(F.greatest(F.octet_length("cb"), F.octet_length("body")) <= BODY_LIMIT)
-    scored = once.withColumn("similarity", text.body_similarity("cb", "body")).where("similarity > 0.3")
+    scored = once.select("changed_key", "key", "stem", text.over(text.body_similarity("cb", "body"), 0.3).alias("similarity"))
     return _top(scored, [F.asc("stem"), F.asc("key")], PER_PATTERN).select("changed_key", "key", "similarity", F.lit("NamePattern").alias("kind"))
 
 

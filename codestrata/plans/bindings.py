@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.stage import spread
 
 PARAMETERS = "array<struct<name:string,type_annotation:string>>"
 
@@ -28,7 +29,7 @@ def symbols(df: DataFrame, path: Column, qualified: Column, body: Column, visibi
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     path = F.concat(F.lit("pkg/f"), F.floor(F.col("doc_id") / 10).cast("string"), F.lit(".rs"))
     qualified = F.concat(F.lit("d"), F.col("doc_id"))
     old = symbols(d, path, qualified, F.col("text"), F.lit("Public"))

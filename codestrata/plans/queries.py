@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import features, text
 from ..operators import classify, extract, graph, intent, linediff, matching, similar
 from ..sources import index
-from ..sources.stage import stage
+from ..sources.stage import spread, stage
 from . import diff, report, views
 from .bindings import MATCH_SQL, NORMALIZE, SNAPSHOT_SQL, snapshots, table
 
@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def r6(c) -> F.Column:
