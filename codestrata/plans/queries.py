@@ -430,8 +430,7 @@ def intent_structural(spark, sf_dir):
 
 @query()
 def intent_primary(spark, sf_dir):
-    o, n = snapshots(spark, sf_dir)
-    return diff.diff(o, n).select("id", "kind", "name", "primary", "intent_confidence", "raw_score")
+    return _details(spark, sf_dir).select("id", "kind", "name", "primary", "intent_confidence", "raw_score")
 
 
 # Similar code

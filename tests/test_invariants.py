@@ -3,6 +3,7 @@
 import json
 
 import __spark_entry__ as entry
+from codestrata.plans import queries as plain
 from codestrata.plans.bindings import snapshots, table
 from pyspark.sql import functions as F
 
@@ -68,7 +69,9 @@ def test_depth_first_callers_lie_within_the_breadth_first_ones(spark, sf):
     assert {edge(r) for r in rows if r.depth == 0} == {e for e, d in least.items() if d == 0}
 
 
-def test_reports_name_every_change(spark, sf):
+def test_reports_name_every_change(spark, sf, monkeypatch):
+    details = plain._details(spark, sf).cache()
+    monkeypatch.setattr(plain, "_details", lambda *_: details)
     primary = {r.id: r for r in run(spark, sf, "intent_primary")}
     assert sorted(primary) == list(range(len(primary))) and all(r.primary and 0 <= r.intent_confidence <= 1 for r in primary.values())
     entries = {r.id: r for r in run(spark, sf, "text_report")}
