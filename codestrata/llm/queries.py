@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, neardup, packing, pii, quality_classifier, quality_rules, secrets, substring_dedup, whitening
+from . import decontam, langid, licenses, neardup, packing, pii, quality_classifier, quality_rules, secrets, substring_dedup, url_filter, whitening
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op11_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components_of(table(spark, sf_dir, "embeddings"))
 
 
+def op12_url_language_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -123,10 +127,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance FROM h"""
 
 
+def _url_sql() -> str:
+    """The models of URLs, level by level, the threshold of the held-out sites, and the rules."""
+    u = url_filter
+    lower = lambda c: f"translate({c}, '{u._UPPER}', '{u._LOWER}')"
+    levels = "".join(
+        f"""
+l{k} AS (SELECT right(g, {k}) AS g, sum(a)::BIGINT AS a, sum(r)::BIGINT AS r FROM c GROUP BY 1),
+w{k} AS (SELECT *, sum(a) OVER q AS na, sum(r) OVER q AS nr, count(*) FILTER (a > 0) OVER q AS ta, count(*) FILTER (r > 0) OVER q AS tr FROM l{k} WINDOW q AS (PARTITION BY left(g, {k - 1}))),
+p{k} AS MATERIALIZED (SELECT w.g, CASE WHEN na > 0 THEN (w.a + ta * p.a) / (na + ta) ELSE p.a END AS a, CASE WHEN nr > 0 THEN (w.r + tr * p.r) / (nr + tr) ELSE p.r END AS r FROM w{k} w JOIN p{k - 1} p ON right(w.g, {k - 1}) = p.g),"""
+        for k in range(1, u.ORDER + 1)
+    )
+    fits = [(x, f"(host = '{x.host}' OR ends_with(host, '.{x.host}')) AND starts_with(path, '{x.path}')") for x in sorted(u.RULES, key=lambda x: (-len(x.name), -len(x.host), x.verdict != "block"))]
+    pick = lambda f: "CASE " + " ".join(f"WHEN {cond} THEN '{f(x)}'" for x, cond in fits) + " END"
+    return f"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS i FROM pages),
+h AS (SELECT *, CASE WHEN i > 0 THEN {lower("regexp_extract(substr(url, i + 3), '^[^/?#]*')")} ELSE '' END AS host, CASE WHEN i > 0 THEN regexp_extract(substr(url, i + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
+t AS (SELECT *, regexp_replace({lower("CASE WHEN i > 0 THEN host || path ELSE regexp_extract(url, '^[^?#]*') END")}, '[0-9]+', '0', 'g') AS text FROM h),
+x AS MATERIALIZED (SELECT text, CASE WHEN regexp_matches(site, '(^|[.-])({"|".join(u.REJECTED)})([.-]|$)') THEN true WHEN NOT regexp_matches(site, '{"|".join(x for x in u.REJECTED if len(x) >= u.WITHIN)}') THEN false END AS rejected, md5(site) < '4' AS held FROM (SELECT DISTINCT text, regexp_extract(text, '^[^/]*') AS site FROM t WHERE text <> '')),
+g AS MATERIALIZED (SELECT text, rejected, held, substr(p, i, {u.ORDER}) AS g FROM (SELECT *, repeat(chr(2), {u.ORDER - 1}) || text AS p, unnest(range(1, length(text) + 1)) AS i FROM x)),
+c AS MATERIALIZED (SELECT g, count(*) FILTER (NOT held AND NOT rejected) AS a, count(*) FILTER (NOT held AND rejected) AS r FROM g GROUP BY g),
+z AS (SELECT sum(a) AS a, sum(r) AS r, count(DISTINCT right(g, 1)) AS letters FROM c),
+p0 AS (SELECT '' AS g, 1.0::DOUBLE / letters AS a, 1.0::DOUBLE / letters AS r FROM z),{levels}
+o AS (SELECT p{u.ORDER}.g, CASE WHEN z.a > 0 AND z.r > 0 THEN round((ln(p{u.ORDER}.r) - ln(p{u.ORDER}.a)) * {u.UNIT})::BIGINT ELSE 0 END AS ratio FROM p{u.ORDER}, z),
+s AS MATERIALIZED (SELECT text, any_value(rejected) AS rejected, any_value(held) AS held, sum(ratio)::DOUBLE / (count(*) * {u.UNIT}::DOUBLE) AS score FROM g JOIN o USING (g) GROUP BY text),
+b AS MATERIALIZED (SELECT *, greatest(-{u.WIDEST}, least({u.WIDEST}, floor(score * {u.BINS})))::INTEGER AS bin FROM s),
+k AS (SELECT bin, count(*) FILTER (NOT rejected)::DOUBLE AS a, count(*) FILTER (rejected)::DOUBLE AS r FROM b WHERE held GROUP BY bin),
+m AS (SELECT bin, lag(bin) OVER (ORDER BY bin) AS prev, sum(a) OVER () AS sa, sum(r) OVER () AS sr, coalesce(sum(r) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS missed, sum(a) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lost FROM k),
+f AS (SELECT CASE WHEN (SELECT count(*) FROM m WHERE sa > 0 AND sr > 0) = 0 THEN 0 ELSE (SELECT floor((coalesce(prev + 1, bin) + bin) / 2) FROM m WHERE missed / sr + {u.FALSE_COST} * lost / sa < 1 ORDER BY missed / sr + {u.FALSE_COST} * lost / sa, bin DESC LIMIT 1) END AS least),
+j AS (SELECT t.page_id, host, path, coalesce(score, 0.0) AS score, CASE WHEN coalesce(bin >= f.least, false) THEN 'block' ELSE 'allow' END AS by_model FROM t LEFT JOIN b USING (text) CROSS JOIN f)
+SELECT page_id, host, path, {pick(lambda x: x.name)} AS rule, coalesce({pick(lambda x: x.verdict)}, by_model) AS verdict, round(score, 6) AS score, by_model FROM j"""
+
+
 #: Queries whose results don't hang on a model or a tokenizer; the others are held against plain Python in tests/llm.
 SQL = {
     "op5_quality_divergence": _quality_sql(),
     "op6_secret_ledger": _spans_sql(),
+    "op12_url_language_ratio": _url_sql(),
     "op7_suffix_dedup": """
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
 w AS (SELECT r, doc_id, p, b[p + 1:p + 50] AS s FROM (SELECT r, doc_id, b, unnest(range(0, octet_length(b) - 49)) AS p FROM t)),
