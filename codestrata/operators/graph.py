@@ -88,6 +88,12 @@ def pattern_warnings(similar: DataFrame) -> DataFrame:
     return similar.select(message.alias("message"), "changed_symbol", other.alias("related_symbol"), "file_path", "line_start", "line_end", "similarity").where("message IS NOT NULL")
 
 
+def class_warnings(unchanged: DataFrame) -> DataFrame:
+    """unchanged: changed_symbol, changed, unchanged (counts of a class of equal bodies). One warning a class, however many its pairs."""
+    message = F.concat(F.col("unchanged").cast("string"), F.lit(" exact duplicates of '"), "changed_symbol", F.lit("' were not changed"))
+    return unchanged.select("changed_symbol", "changed", "unchanged", message.alias("message"))
+
+
 def scanned(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """One row: the symbols and calls that an analysis saw."""
     one = F.lit(1).alias("_1")

@@ -13,6 +13,7 @@ from ..functions import features, text
 from ..sources.stage import stage
 
 PER_SYMBOL, PER_PATTERN, STEM_LIMIT, STEM_BYTES, BODY_LIMIT, CANDIDATES = 10, 5, 50, 4, 3000, 100
+HOT = 1024
 #: Share of a set's grams beyond those that a similar set may miss, by which candidates are counted.
 PROBE = 0.1
 
@@ -23,6 +24,32 @@ def exact_duplicates(changed: DataFrame, index: DataFrame) -> DataFrame:
     return c.join(i, "body_hash").where("key <> changed_key").select("changed_key", "key", F.lit(1.0).alias("similarity"), F.lit("ExactDuplicate").alias("kind"))
 
 
+def exact_classes(index: DataFrame, **measures: Column) -> DataFrame:
+    """The symbols with the class of their body: class_key (its least key), copies, and further aggregates over the class. One row a symbol; the
+    pairs of a class are never made.
+
+    Bodies that make over 1 / HOT of the symbols are joined by broadcasting their classes, fewer than HOT, so that no task holds a body's copies."""
+    rows = stage(index, "bodies")
+    classes = stage(rows.groupBy("body_hash").agg(F.min("key").alias("class_key"), F.count("*").alias("copies"), *(m.alias(n) for n, m in measures.items())), "classes")
+    every = classes.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(classes.where(F.col("copies") * HOT > every))
+    rest = rows.join(hot.select("body_hash"), "body_hash", "left_anti").join(classes.where(F.col("copies") * HOT <= every), "body_hash")
+    return rows.join(hot, "body_hash").unionByName(rest)
+
+
+def unchanged_copies(changed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of each class with changed symbols (key): class_key, changed and unchanged (counts of symbols), where any is unchanged."""
+    touched = classes.join(changed.select("key").distinct(), "key", "left_semi").groupBy("class_key").agg(F.count("*").alias("changed"), F.first("copies").alias("copies"))
+    return touched.where("copies > changed").select("class_key", "changed", (F.col("copies") - F.col("changed")).alias("unchanged"))
+
+
+def copies_of(changed: DataFrame, classes: DataFrame) -> DataFrame:
+    """The other members of the classes of changed symbols, each once: key, class_key. What unchanged_copies counts, written out."""
+    mine = changed.select("key").distinct()
+    touched = classes.join(mine, "key", "left_semi").select("class_key").distinct()
+    return classes.where("copies > 1").join(mine, "key", "left_anti").join(touched, "class_key", "left_semi").select("key", "class_key")
+
+
 def _top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     w = Window.partitionBy("changed_key").orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")

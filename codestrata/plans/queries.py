@@ -450,6 +450,28 @@ def similar_exact(spark, sf_dir):
     return similar.exact_duplicates(i.where("key % 20 = 0"), i).select("changed_key", "key")
 
 
+@query(f"WITH {_INDEX} SELECT key, min(key) OVER (PARTITION BY norm) AS class_key, count(*) OVER (PARTITION BY norm) AS copies FROM i")
+def similar_exact_classes(spark, sf_dir):
+    """Every symbol with the class of its body, in place of all pairs of a class."""
+    return similar.exact_classes(_index(spark, sf_dir).select("key", "body_hash")).select("key", "class_key", "copies")
+
+
+_UNCHANGED = "u AS (SELECT *, min(key) OVER (PARTITION BY norm) AS class_key, count(*) OVER (PARTITION BY norm) AS copies, count(*) FILTER (key % 20 = 0) OVER (PARTITION BY norm) AS mine FROM i)"
+
+
+@query(f"WITH {_INDEX}, {_UNCHANGED} SELECT DISTINCT 'd' || class_key AS changed_symbol, mine AS changed, copies - mine AS unchanged, (copies - mine) || ' exact duplicates of ''d' || class_key || ''' were not changed' AS message FROM u WHERE mine > 0 AND copies > mine")
+def class_warnings(spark, sf_dir):
+    """Of each class with changed members, how many copies stayed as they were."""
+    i = _index(spark, sf_dir).select("key", "body_hash")
+    return graph.class_warnings(similar.unchanged_copies(i.where("key % 20 = 0"), similar.exact_classes(i)).select(F.concat(F.lit("d"), "class_key").alias("changed_symbol"), "changed", "unchanged"))
+
+
+@query(f"WITH {_INDEX}, {_UNCHANGED} SELECT key, class_key FROM u WHERE mine > 0 AND key % 20 > 0")
+def class_copies(spark, sf_dir):
+    i = _index(spark, sf_dir).select("key", "body_hash")
+    return similar.copies_of(i.where("key % 20 = 0"), similar.exact_classes(i))
+
+
 @query(
     f"WITH {_INDEX}, g AS (SELECT key, unnest(list_distinct(list_transform(range(1, length(norm) - 2), lambda p: substr(norm, p, 4)))) AS s FROM i), z AS (SELECT key, count(*) AS n FROM g GROUP BY key), "
     "q AS (SELECT a.key AS ck, b.key AS k, count(*) AS cnt FROM g a JOIN g b ON a.s = b.s WHERE a.key % 20 = 0 AND a.key <> b.key GROUP BY a.key, b.key), "
