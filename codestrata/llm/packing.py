@@ -16,6 +16,7 @@ that got it last takes the item, and equal sizes are packed in the order read.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +36,8 @@ SLACK = (8, 24, 96, SEQ_LEN)
 #: Items and open bins held at once by a partition, and pieces of a group of a round.
 CHUNK = 65_536
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, used long, done boolean"
+#: A run of white space (as the pattern's \\s has it) that is taken out of the text before its regular expression runs, which would stack a frame a character.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 _cache: dict = {}
 
 
@@ -62,8 +65,27 @@ def encoder(path: str):
     return _cache[path]
 
 
+def _ids_around_space(text: str, path: str) -> Iterator[np.ndarray]:
+    """The ids of a text with long runs of white space. Such a run is one pre-token, but for its last character if more follows, whatever stands around it."""
+    bpe = encoder(path)
+    special = f"({'|'.join(map(re.escape, sorted(bpe.special_tokens_set)))})" if bpe.special_tokens_set else "(?!)()"
+    for n, part in enumerate(re.split(special, text)):
+        if n % 2:
+            yield np.array([bpe.encode_single_token(part)])
+            continue
+        at = 0
+        for run in _LONG_SPACE.finditer(part):
+            yield bpe.encode_to_numpy(part[at : run.start()], disallowed_special=())
+            at = run.end() if run.end() == len(part) else run.end() - 1
+            yield np.array(bpe._encode_single_piece(part[run.start() : at]))
+        yield bpe.encode_to_numpy(part[at:], disallowed_special=())
+
+
 def token_ids(text: str, path: str) -> np.ndarray:
-    ids = encoder(path).encode_to_numpy(text, allowed_special="all")
+    if _LONG_SPACE.search(text):
+        ids = np.concatenate(list(_ids_around_space(text, path)))
+    else:
+        ids = encoder(path).encode_to_numpy(text, allowed_special="all")
     return np.append(ids, np.uint32(END_ID)).astype("<u4")
 
 

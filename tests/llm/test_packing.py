@@ -20,6 +20,20 @@ def test_ids_equal_the_tokenizers_library(text):
     assert packing.token_ids(text or "", packing.default_tokenizer()).tolist() == ids_of(text).tolist()
 
 
+N = 2_000_000
+SPACE = {"spaces": " " * N + "a", "newlines": "\n" * N + "a", "at the end": "a " + " " * N, "alone": "\t" * N, "mixed": "x\u3000" + " \n\u2003\x85" * (N // 4) + "<|endoftext|>" + " " * N + "\n<|endoftext|>b", "twice": "a" + "\n" * 20_000 + "é" + " " * 30_000 + "\nb", "control": "\x1c" * 20_000 + " " * 20_000 + "\x1fa"}
+
+
+@pytest.mark.parametrize("name", SPACE)
+def test_long_white_space(name):
+    assert packing.token_ids(SPACE[name], packing.default_tokenizer()).tolist() == ids_of(SPACE[name]).tolist()
+
+
+def test_other_long_runs():
+    for x in ("x", "7", "-", "é", "'s "):
+        assert len(packing.token_ids(x * 1_200_000, packing.default_tokenizer())) > 1000
+
+
 def check(rows, docs):
     seqs, got = {}, {}
     for r in rows:
@@ -64,6 +78,11 @@ def test_groups_of_a_round_are_bounded_by_pieces(spark):
     assert n <= -(-total // 1024) * 1.5 + 10
 
 
+def test_long_white_space_is_packed(spark):
+    docs = [(1, SPACE["spaces"]), (2, "a b"), (3, SPACE["mixed"])]
+    check(packing.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)).collect(), docs)
+
+
 def test_empty_and_repeated(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(none).count() == 0
