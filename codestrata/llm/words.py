@@ -1,16 +1,19 @@
 """Vectorised word hashing: 64-bit hashes of whole words from one pass over the bytes of many texts.
 
-A word's hash is a polynomial over random byte values modulo 2^64, read off a running sum, then mixed.
+A word's hash is a polynomial over random byte values modulo 2^64, read off a running sum, then mixed. Such polynomials of long words can be made to
+collide (those of a Thue-Morse word and its complement do, for any base), so words over LONG bytes, far below where that begins, have a BLAKE2b digest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 
 _U = np.uint64
 _BLOCK = 1 << 20
+LONG = 32
 _tables: dict = {}
 
 
@@ -54,7 +57,10 @@ def _hash_joined(joined: bytes) -> np.ndarray:
     gaps = np.flatnonzero(a == 32)
     starts = np.concatenate(([0], gaps + 1))
     ends = np.concatenate((gaps, [len(a)]))
-    return mix((total[ends] - total[starts]) * down[starts])
+    out = mix((total[ends] - total[starts]) * down[starts])
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        out[i] = int.from_bytes(blake2b(joined[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
