@@ -12,8 +12,9 @@ a similarity of 0.8 or more.
 4. The exact edit distance of the item to the best stretch around a candidate's place decides.
 
 Windows are only embedded where a leak can be: by the q-gram lemma a segment of n words that is met within e edits shares n - q + 1 - eq word
-q-grams with the document on diagonals no further than e apart (q is the largest of 3, 2, 1 that leaves at least one). This gate
-loses nothing, and passes places and sizes on, not items: what a document leaks is found in the tables alone.
+q-grams with the document on diagonals no further than e apart (q is the largest of 3, 2, 1 that leaves at least one). The gate counts, at each place, the
+q-grams that any segment of that size and number of edits has there or thereabouts. It loses nothing, takes time and memory linear in the words whatever the items share, and passes
+places and sizes on, not items: what a document leaks is found in the tables alone.
 
 Recall is that of the tables: the tests hold it to 0.99 of planted leaks at the largest distance, for items of 10 to 1000 words
 (tests/llm/test_decontam_long.py). A verbatim item agrees in all coordinates, so it is always found.
@@ -24,7 +25,7 @@ are scanned once per block. Results don't depend on the blocks.
 Defined cases: a null text holds no words; an item without words, with a null text or a null item_id is never found; equal items are all
 reported; a leak is reported once for an item, at its best stretch (a tie is the first's); rows with a null doc_id are scanned like others;
 repeated document rows give a row each, rows that share a doc_id their own leaks; texts of any length are scanned whole, in time linear in
-their length and the item's; an empty table gives no rows, an empty benchmark no leaks; columns other than doc_id and text (item_id and
+their length and, at places near items, in the number of items met there; an empty table gives no rows, an empty benchmark no leaks; columns other than doc_id and text (item_id and
 text) are ignored.
 """
 
@@ -47,8 +48,8 @@ SEGMENT = 24
 REPEATS, SAMPLES = 32, 2
 BLOCK_BYTES = 16 << 20
 _FILTER_BITS = 22
-#: Words of documents scanned at a time, and windows embedded at a time.
-_WORDS, _WINDOWS = 1 << 19, 1 << 15
+#: Words of documents hashed and gated at a time, windows embedded at a time, meetings in the tables handed on at a time.
+_WORDS, _SLICE, _WINDOWS, _PAIRS = 1 << 19, 1 << 15, 1 << 15, 1 << 22
 _SPACES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 HITS = "array<struct<item_id:bigint,start:bigint,length:bigint,distance:int,similarity:double>>"
 _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("distance", pa.int32()), ("similarity", pa.float64())]))
@@ -92,6 +93,7 @@ class Index:
         hashed = [(i, words.hash_words(w)) for i, t in items if (w := content_words(t))]
         self.ids = [i for i, _ in hashed]
         self.words = [h for _, h in hashed]
+        self.lengths, self.similarity = np.array([len(h) for h in self.words], np.int64), similarity
         self.k = [edits(len(h), similarity) for h in self.words]
         self.salts = words.random_words(repeats, 17)
         self.draws = (words.random_words(repeats * samples, 19).astype(np.float64) / 2.0**64).reshape(repeats, samples)
@@ -112,19 +114,26 @@ class Index:
         return self.words[self.item[n]][self.start[n] : self.start[n] + self.size[n]]
 
     def _gate(self) -> None:
-        q_of = [gram_size(n, k) for n, k in zip(self.size.tolist(), self.slips.tolist(), strict=True)]
-        self.need = np.array([max(1, n - q + 1 - k * q) for n, q, k in zip(self.size.tolist(), q_of, self.slips.tolist(), strict=True)], np.int64)
-        self.grams = []  # per q: filter, sorted grams, first place of each, segment and offset of each place
-        for q in sorted(set(q_of)):
-            own = [(n, words.grams(self._segment(n), q)) for n, s in enumerate(q_of) if s == q]
+        """What the gate looks up: for each gram the kinds of segments (words and edits) that hold it, and its first and last offset in them. A phrase
+        that many items share is one entry of a kind."""
+        kinds, of = np.unique(np.stack([self.size, self.slips], 1), axis=0, return_inverse=True)
+        of = of.ravel()
+        self.kinds = [(n, k, gram_size(n, k)) for n, k in kinds.tolist()]
+        self.need = np.array([max(1, n - q + 1 - k * q) for n, k, q in self.kinds], np.int64)
+        self.grams = []  # per q: filter, sorted grams, first entry of each; of entries: kind, first and last offset
+        for q in sorted({q for _, _, q in self.kinds}):
+            own = [(of[n], words.grams(self._segment(n), q)) for n in range(len(self.size)) if self.kinds[of[n]][2] == q]
             g = np.concatenate([x for _, x in own])
-            segment = np.concatenate([np.full(len(x), n) for n, x in own])
+            kind = np.concatenate([np.full(len(x), n) for n, x in own])
             offset = np.concatenate([np.arange(len(x)) for _, x in own])
-            order = np.argsort(g, kind="stable")
-            unique, first = np.unique(g[order], return_index=True)
+            order = np.lexsort((offset, kind, g))
+            g, kind, offset = g[order], kind[order], offset[order]
+            new = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (kind[1:] != kind[:-1]))))
+            last = np.append(new[1:], len(g)) - 1
+            unique, first = np.unique(g[new], return_index=True)
             seen = np.zeros(1 << _FILTER_BITS, bool)
             seen[(unique >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-            self.grams.append((q, seen, unique, np.append(first, len(g)), segment[order], offset[order]))
+            self.grams.append((q, seen, unique, np.append(first, len(new)), kind[new], offset[new], offset[last]))
 
     def sampled(self, x: np.ndarray) -> np.ndarray:
         """For windows of equal length (rows): the sampled coordinates of every walk as one key, shape (rows, repeats)."""
@@ -154,18 +163,21 @@ class Index:
             out[n] = keys.ravel()[order], segment[order]
         return out
 
-    def meets(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which windows (rows, of equal length) meet which segments in a table: numbers of windows and of segments, each pair once."""
+    def meets(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Which windows (rows, of equal length) meet which segments in a table: numbers of windows and of segments, each pair once, in parts of
+        about _PAIRS meetings."""
         keys, segment = self.tables[windows.shape[1]]
         if not len(keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return
         own = self.sampled(windows)
-        lo, hi = np.searchsorted(keys, own.ravel()), np.searchsorted(keys, own.ravel(), side="right")
-        each = hi - lo
-        window = np.repeat(np.repeat(np.arange(len(windows)), own.shape[1]), each)
-        found = segment[np.repeat(lo, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)]
-        pairs = np.unique(np.stack([window, found], 1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+        lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
+        part = np.cumsum((hi - lo).sum(1)) // _PAIRS
+        for s, e, _ in _runs(part):
+            first, each = lo[s:e].ravel(), (hi - lo)[s:e].ravel()
+            window = np.repeat(np.repeat(np.arange(s, e), own.shape[1]), each)
+            found = segment[np.repeat(first, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)]
+            pairs = np.unique(window * len(self.size) + found)
+            yield pairs // len(self.size), pairs % len(self.size)
 
     def find(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text its leaks: (item_id, first word, words, distance, similarity)."""
@@ -189,65 +201,85 @@ class Index:
         flush()
         return found
 
-    def _places(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Where segments may be met, by the gate: document, first word and size of windows, each once."""
-        docs, segments, diagonals = [], [], []
-        for q, seen, unique, first, segment, offset in self.grams:
-            g = words.grams(h, q)
-            p = np.flatnonzero(seen[(g >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-            n = np.minimum(np.searchsorted(unique, g[p]), len(unique) - 1)
-            p, n = p[unique[n] == g[p]], n[unique[n] == g[p]]
-            d = np.searchsorted(bounds, p, side="right") - 1
-            inside = p + q <= bounds[d + 1]
-            p, n, d = p[inside], n[inside], d[inside]
-            each = first[n + 1] - first[n]
-            places = np.repeat(first[n], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            docs.append(np.repeat(d, each))
-            segments.append(segment[places])
-            diagonals.append(np.repeat(p, each) - offset[places])
-        if not docs:
-            return (np.zeros(0, np.int64),) * 3
-        d, i, g = np.concatenate(docs), np.concatenate(segments), np.concatenate(diagonals)
-        order = np.lexsort((g, i, d))
-        d, i, g = d[order], i[order], g[order]
-        # enough shared grams on near diagonals
-        last = np.arange(len(d)) + self.need[i] - 1
-        ok = last < len(d)
-        safe = np.where(ok, last, 0)
-        ok &= (d[safe] == d) & (i[safe] == i) & (g[safe] - g <= self.slips[i])
-        # all grams from the first to the last of such a set
-        cover = np.zeros(len(d) + 1, np.int64)
-        np.add.at(cover, np.flatnonzero(ok), 1)
-        np.add.at(cover, last[ok] + 1, -1)
-        taken = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-        places = np.unique(np.stack([self.size[i[taken]], d[taken], g[taken]], 1), axis=0)
-        return places[:, 1], places[:, 2], places[:, 0]
+    def _places(self, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Where segments may be met, by the gate, in slices of the words: document, first word and size of windows, each once in a slice.
+
+        A shared gram stands for the starts of windows from its place less its offset back to the segment's edits before; a start that enough grams
+        stand for, and as many after it as the edits allow, are places. Counts are of all segments of a kind, so the work is linear in the words."""
+        reach = int((self.size + self.slips).max(initial=0)) + 3
+        kinds = len(self.kinds)
+        size, slips = (np.array([k[i] for k in self.kinds], np.int64) for i in (0, 1))
+        for a in range(0, len(h), _SLICE):
+            held = []
+            for q, seen, unique, first, kind, least, most in self.grams:
+                g = words.grams(h[a : a + _SLICE + reach], q)
+                p = np.flatnonzero(seen[(g >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+                n = np.minimum(np.searchsorted(unique, g[p]), len(unique) - 1)
+                p, n = p[unique[n] == g[p]] + a, n[unique[n] == g[p]]
+                d = np.searchsorted(bounds, p, side="right") - 1
+                inside = p + q <= bounds[d + 1]
+                p, n, d = p[inside], n[inside], d[inside]
+                each = first[n + 1] - first[n]
+                entry = np.repeat(first[n], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                at, c = np.repeat(p, each), kind[entry]
+                held.append((np.repeat(d, each) * kinds + c, at - most[entry] - slips[c], at - least[entry]))
+            group, low, high = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 3
+            if not len(group):
+                continue
+            group, place, step = np.concatenate([group, group]), np.concatenate([low, high + 1]), np.repeat([1, -1], len(low))
+            order = np.lexsort((place, group))
+            group, place, count = group[order], place[order], np.cumsum(step[order])
+            ok = np.flatnonzero((count[:-1] >= self.need[group[:-1] % kinds]) & (group[1:] == group[:-1]) & (place[1:] > place[:-1]))
+            c = group[ok] % kinds
+            # starts of this slice; those before the first word belong to the first
+            begin, end = np.maximum(place[ok], a if a else -reach), np.minimum(place[ok + 1], a + _SLICE)
+            each = np.where(end > begin, end - begin + slips[c], 0)
+            starts = np.repeat(begin, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            rows = np.unique(np.stack([np.repeat(size[c], each), np.repeat(group[ok] // kinds, each), starts], 1), axis=0)
+            if len(rows):
+                yield rows[:, 1], rows[:, 2], rows[:, 0]
 
     def _candidates(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Rows of document, item and place of its first word, by the tables."""
-        d, g, size = self._places(h, bounds)
         rows = [np.zeros((0, 3), np.int64)]
-        for s, e, n in _runs(size):
-            for at in range(s, e, _WINDOWS):
-                own = slice(at, min(e, at + _WINDOWS))
-                cols = g[own, None] + np.arange(n)[None]
-                lo, hi = bounds[d[own]][:, None], bounds[d[own] + 1][:, None]
-                windows = np.where((cols >= lo) & (cols < hi), h[np.clip(cols, 0, len(h) - 1)], np.uint64(0))
-                # equal windows are embedded once
-                key = words.mix((windows * (words.random_words(n, 23) | np.uint64(1))).sum(1))
-                _, one, of = np.unique(key, return_index=True, return_inverse=True)
-                window, segment = self.meets(windows[one])
-                by = np.argsort(of, kind="stable")
-                start = np.searchsorted(of[by], np.arange(len(one) + 1))
-                each = (start[1:] - start[:-1])[window]
-                places = by[np.repeat(start[window], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)]
-                segment = np.repeat(segment, each)
-                rows.append(np.stack([d[own][places], self.item[segment], g[own][places] - self.start[segment]], 1))
+        for d, g, size in self._places(h, bounds):
+            for s, e, n in _runs(size):
+                for at in range(s, e, _WINDOWS):
+                    own = slice(at, min(e, at + _WINDOWS))
+                    cols = g[own, None] + np.arange(n)[None]
+                    lo, hi = bounds[d[own]][:, None], bounds[d[own] + 1][:, None]
+                    windows = np.where((cols >= lo) & (cols < hi), h[np.clip(cols, 0, len(h) - 1)], np.uint64(0))
+                    # equal windows are embedded once
+                    key = words.mix((windows * (words.random_words(n, 23) | np.uint64(1))).sum(1))
+                    _, one, of = np.unique(key, return_index=True, return_inverse=True)
+                    by = np.argsort(of, kind="stable")
+                    start = np.searchsorted(of[by], np.arange(len(one) + 1))
+                    for window, segment in self.meets(windows[one]):
+                        each = (start[1:] - start[:-1])[window]
+                        places = by[np.repeat(start[window], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)]
+                        segment = np.repeat(segment, each)
+                        rows.append(np.unique(np.stack([d[own][places], self.item[segment], g[own][places] - self.start[segment]], 1), axis=0))
         return np.unique(np.concatenate(rows), axis=0)
 
+    def _worded(self, rows: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The candidates without those that lack more of their item's words around their place than edits could take away. Of items of one segment; others stay."""
+        keep = np.ones(len(rows), bool)
+        length = self.lengths[rows[:, 1]] if len(rows) else np.zeros(0, np.int64)
+        for n in np.unique(length[length < 2 * SEGMENT]).tolist():
+            own, k = np.flatnonzero(length == n), edits(n, self.similarity)
+            for at in range(0, len(own), _SLICE // n + 1):
+                some = own[at : at + _SLICE // n + 1]
+                d, item, place = rows[some].T
+                cols = place[:, None] + np.arange(-k, n + k)[None]
+                inside = (cols >= bounds[d][:, None]) & (cols < bounds[d + 1][:, None])
+                near = np.where(inside, h[np.clip(cols, 0, len(h) - 1)], np.uint64(0))
+                own_words = np.stack([self.words[i] for i in item.tolist()])
+                keep[some] = (own_words[:, :, None] == near[:, None, :]).any(2).sum(1) >= n - k
+        return rows[keep]
+
     def _find(self, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, list[tuple]]]:
         out: dict[int, list[tuple]] = {}
-        rows = self._candidates(h, bounds)
+        rows = self._worded(self._candidates(h, bounds), h, bounds)
         new = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(1)))) if len(rows) else np.zeros(0, np.int64)
         for s, e in zip(new.tolist(), [*new[1:].tolist(), len(rows)], strict=False):
             doc, item = rows[s, :2].tolist()

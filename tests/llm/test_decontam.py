@@ -123,3 +123,29 @@ def test_whole_table_finds_every_verbatim_item(spark, sf):
             if b.text in r.text:
                 assert b.item_id in got[r.doc_id]
     assert words.grams(np.arange(2, dtype=np.uint64), 3).size == 0
+
+
+def shared_phrase(n, own, filler):
+    phrase = "which of the following is true about "
+    items = [(i, phrase + " ".join(f"u{i}x{k}" for k in range(own))) for i in range(n)]
+    return items, " ".join(phrase + " ".join(f"f{j}y{k}" for k in range(filler)) for j in range(n))
+
+
+def test_a_phrase_that_many_items_share_takes_linear_time():
+    took = {}
+    for n in (2000, 8000):
+        items, text = shared_phrase(n, 14, 20)
+        index = decontam.Index(items)
+        began = time.monotonic()
+        assert index.find([text]) == [[]]
+        took[n] = time.monotonic() - began
+    assert took[8000] < 3
+
+
+def test_shared_phrases_equal_brute_force():
+    for own in (3, 6, 9, 14):
+        items, text = shared_phrase(40, own, 8)
+        texts = [text, f"x y {items[3][1]} {text} {items[30][1]}", " ".join(t for _, t in items[5:9]), items[7][1].rsplit(" ", 1)[0] + " " + text]
+        want = brute(list(enumerate(texts)), items)
+        got = decontam.Index(items).find(texts)
+        assert [{h[0] for h in hits} for hits in got] == [set(want[i]) for i in range(len(texts))]
