@@ -248,6 +248,32 @@ def moved_fuzzy_candidates(spark, sf_dir):
     return matching.similar_candidates(*_left_after_moves(spark, sf_dir)).select("old_id", "new_id", r6(F.col("score")).alias("score"))
 
 
+def _printed(spark, sf_dir):
+    """Two snapshots of the parts as functions with fingerprints: the 3-grams of a text of each, in which the new ones carry another number; bodies of other lengths."""
+    p = table(spark, sf_dir, "part")
+
+    def of(number, body, name, path):
+        chars = F.transform(F.split(F.concat_ws(" ", "p_name", "p_type", F.col("p_brand"), number.cast("string")), ""), F.ascii)
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(chars) - 3), lambda i: (chars[i] * 65536 + chars[i + 1] * 256 + chars[i + 2]).cast("bigint")))
+        return p.select(F.col("p_partkey").alias("sym_id"), F.col("p_brand").alias("kind"), F.concat(F.lit(name), "p_partkey").alias("name"), F.concat(F.lit("src/"), path % 7).alias("file_path"), body.alias("normalized_body"), grams.alias("ast_fingerprint"))
+
+    key = F.col("p_partkey")
+    return of(key, F.concat("p_name", F.lit(" "), key.cast("string")), "f", key), of(key + 3, F.concat(F.repeat(F.concat("p_type", F.lit(" ")), F.lit(9)), key.cast("string")), "g", key + 1)
+
+
+_PRINTS = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: ascii(substr({0}, i, 1))::BIGINT * 65536 + ascii(substr({0}, i + 1, 1)) * 256 + ascii(substr({0}, i + 2, 1))))"
+
+
+@query(
+    f"WITH s AS (SELECT p_partkey AS id, p_brand AS kind, p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_partkey AS a, p_name || ' ' || p_type || ' ' || p_brand || ' ' || (p_partkey + 3) AS b FROM part), "
+    f"f AS (SELECT id, kind, {_PRINTS.format('a')} AS x, {_PRINTS.format('b')} AS y FROM s), "
+    "j AS (SELECT o.id AS old_id, n.id AS new_id, len(list_intersect(o.x, n.y)) AS c, len(o.x) + len(n.y) AS z FROM f o JOIN f n ON o.kind = n.kind AND o.id % 7 <> (n.id + 1) % 7) SELECT old_id, new_id, round(c / (z - c), 6)::DOUBLE AS score FROM j WHERE c / (z - c) > 0.7"
+)
+def moved_fingerprint_candidates(spark, sf_dir):
+    """Functions in other files with similar fingerprints, though names differ and bodies are of far lengths."""
+    return matching.similar_candidates(*_printed(spark, sf_dir)).select("old_id", "new_id", r6(F.col("score")).alias("score"))
+
+
 @query()
 def moved_by_name(spark, sf_dir):
     _, o, n = _left(spark, sf_dir)
