@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .functions.text import excluded
-from .operators.extract import extract_calls, extract_symbols
+from .operators.extract import extract_symbols
 from .plans import diff, impact, report
 from .sources import files, index
 from .sources.stage import stage
@@ -39,15 +39,15 @@ def main(argv: list[str] | None = None) -> str:
         root = files.find_repo_root(a.repo)
         commit = files.validate_ref(root, a.ref)
         source = stage(files.read_revision(spark, root, commit))
-        symbols = stage(extract_symbols(source))
-        index.save(symbols, extract_calls(source), a.index_dir, commit)
-        return f"indexed {symbols.count()} symbols of {commit}"
+        n = index.save(source, a.index_dir, commit)
+        return f"indexed {n['symbols']} symbols of {commit} ({n['parsed']} of {n['files']} files parsed)"
     if a.dirs:
-        before, after = (files.read_directory(spark, d) for d in a.dirs)
+        after = files.read_directory(spark, a.dirs[1])
+        sides = extract_symbols(files.read_directory(spark, a.dirs[0])), extract_symbols(after)
     else:
         root = files.find_repo_root(a.repo)
-        before, after = files.range_snapshots(spark, root, a.range) if a.range else files.working_snapshots(spark, root)
-    details = stage(diff.diff(stage(extract_symbols(before)), stage(extract_symbols(after)), a.mode))
+        sides = impact.range_symbols(spark, root, a.range, a.index_dir)
+    details = stage(diff.diff(*(stage(s) for s in sides), a.mode))
     shown = details.where(~excluded("file_info", a.exclude)) if a.exclude else details
     found = None
     if a.repo_analysis:

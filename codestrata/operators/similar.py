@@ -5,6 +5,8 @@ changed and index are symbol frames: key, qualified_name, name, kind, file_path,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,9 +57,18 @@ def _top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def _stored(index: DataFrame, name: str, computed: Callable[[], Column]) -> Column:
+    """A feature as the index has it, else computed."""
+    return F.col(name) if name in index.columns else computed()
+
+
+def _shingles(index: DataFrame) -> Column:
+    return _stored(index, "shingles", lambda: features.shingle_hashes("normalized_body"))
+
+
 def shingle_table(index: DataFrame) -> DataFrame:
     """key, kind, body_hash, n (distinct 4-grams), grams (their hashes)."""
-    return index.select("key", F.col("kind").alias("symbol_kind"), "body_hash", features.shingle_hashes("normalized_body").alias("grams")).withColumn("n", F.size("grams"))
+    return index.select("key", F.col("kind").alias("symbol_kind"), "body_hash", _shingles(index).alias("grams")).withColumn("n", F.size("grams"))
 
 
 def structurally_similar(changed: DataFrame, index: DataFrame, least: float = 0.6, limit: int | None = PER_SYMBOL) -> DataFrame:
@@ -88,7 +99,7 @@ def structurally_similar_compat(changed: DataFrame, index: DataFrame, least: flo
     """By MinHash: estimates of at least least - 0.1, the CANDIDATES best verified by exact Jaccard, PER_SYMBOL kept.
 
     Estimates come from an inverted index of signature positions, so that only symbols that share one meet."""
-    sig = index.select("key", F.posexplode(features.minhash("normalized_body")).alias("i", "h"))
+    sig = index.select("key", F.posexplode(_stored(index, "minhash", lambda: features.minhash("normalized_body"))).alias("i", "h"))
     c = sig.join(changed.select("key"), "key", "left_semi").select(F.col("key").alias("changed_key"), "i", "h")
     equal = c.join(sig, ["i", "h"]).where("key <> changed_key").groupBy("changed_key", "key").agg((F.count("*") / features.SIGNATURE).alias("approx"))
     best = _top(equal.where(F.col("approx") >= least - 0.1), [F.desc("approx"), F.asc("key")], CANDIDATES)
@@ -99,14 +110,16 @@ def structurally_similar_compat(changed: DataFrame, index: DataFrame, least: flo
     return _top(scored, [F.desc("approx"), F.asc("key")], PER_SYMBOL).select("changed_key", "key", "similarity", F.lit("StructurallySimilar").alias("kind"))
 
 
-def name_patterns(changed: DataFrame, index: DataFrame) -> DataFrame:
+def name_patterns(changed: DataFrame, index: DataFrame, every: DataFrame | None = None) -> DataFrame:
     """Symbols of a kind that share a stem of at least 4 bytes held by at most 50 symbols, with bodies under 3000 bytes over 0.3
-    alike: the first PER_PATTERN of each changed symbol, by stem, then key."""
-    stem = index.select("key", F.col("kind").alias("symbol_kind"), "normalized_body", F.explode(features.stems("name")).alias("stem")).where(F.octet_length("stem") >= STEM_BYTES)
-    usual = stem.groupBy("stem").agg(F.count("*").alias("_n")).where(F.col("_n") <= STEM_LIMIT).select("stem")
-    rare = stem.join(usual, "stem")
-    eligible = changed.where(F.size(features.shingle_hashes("normalized_body")) >= 3).select("key")
-    c = rare.join(eligible, "key", "left_semi").select(F.col("key").alias("changed_key"), F.col("symbol_kind").alias("ck"), F.col("normalized_body").alias("cb"), "stem")
+    alike: the first PER_PATTERN of each changed symbol, by stem, then key. every: as in find_similar."""
+    stem_of = lambda df: df.select("key", F.explode(_stored(df, "stems", lambda: features.stems("name"))).alias("stem")).where(F.octet_length("stem") >= STEM_BYTES)
+    all_stems = stem_of(index if every is None else every)
+    usual = all_stems.groupBy("stem").agg(F.count("*").alias("_n")).where(F.col("_n") <= STEM_LIMIT).select("stem")
+    rare = all_stems.join(usual, "stem").distinct().join(index.select("key", F.col("kind").alias("symbol_kind"), "normalized_body"), "key")
+    eligible = changed.where(F.size(_shingles(changed)) >= 3).select("key")
+    own = stem_of(changed).withColumnRenamed("stem", "_own").withColumnRenamed("key", "_key")
+    c = rare.join(own, (F.col("key") == F.col("_key")) & (F.col("stem") == F.col("_own")), "left_semi").join(eligible, "key", "left_semi").select(F.col("key").alias("changed_key"), F.col("symbol_kind").alias("ck"), F.col("normalized_body").alias("cb"), "stem")
     pairs = c.join(rare, "stem").where("key <> changed_key AND ck = symbol_kind")
     once = pairs.groupBy("changed_key", "key").agg(F.min("stem").alias("stem"), F.first("cb").alias("cb"), F.first("normalized_body").alias("body"))
     once = once.where(F.greatest(F.octet_length("cb"), F.octet_length("body")) <= BODY_LIMIT)
@@ -114,10 +127,14 @@ def name_patterns(changed: DataFrame, index: DataFrame) -> DataFrame:
     return _top(scored, [F.asc("stem"), F.asc("key")], PER_PATTERN).select("changed_key", "key", "similarity", F.lit("NamePattern").alias("kind"))
 
 
-def find_similar(changed: DataFrame, index: DataFrame, least: float = 0.6, mode: str = "full") -> DataFrame:
-    """All three searches, one row per changed and similar symbol (the most similar), with the similar symbol's place."""
+def find_similar(changed: DataFrame, index: DataFrame, least: float = 0.6, mode: str = "full", every: DataFrame | None = None) -> DataFrame:
+    """All three searches, one row per changed and similar symbol (the most similar), with the similar symbol's place.
+
+    index holds one symbol of each key, the one that stands for it. every holds all of them: equal bodies and name stems are looked up among
+    these, and what is found is shown by the key's standing symbol."""
     structural = structurally_similar_compat(changed, index, least) if mode == "compat" else structurally_similar(changed, index, least)
-    found = exact_duplicates(changed, index).unionByName(structural).unionByName(name_patterns(changed, index))
+    bodies = index if every is None else every.select("key", "body_hash").distinct()
+    found = exact_duplicates(changed, bodies).unionByName(structural).unionByName(name_patterns(changed, index, every))
     w = Window.partitionBy("changed_key", "key").orderBy(F.desc("similarity"), "kind")
     best = found.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     c = changed.select(F.col("key").alias("changed_key"), F.col("qualified_name").alias("changed_symbol"))

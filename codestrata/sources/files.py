@@ -129,16 +129,20 @@ def read_revision(spark: SparkSession, repo: str, ref: str, paths: DataFrame | N
     return wanted.where(language("path").isNotNull()).mapInPandas(load, FILES)
 
 
+def changed_paths(spark: SparkSession, repo: str, old: str, new: str | None) -> tuple[DataFrame, DataFrame]:
+    """The paths (path) that changed between two commits, or up to the working tree, before and after: a rename has its old path before, additions come only after."""
+    changed = changed_files(spark, repo, validate_ref(repo, old), validate_ref(repo, new) if new else None)
+    return changed.where("status <> 'A'").selectExpr("coalesce(old_path, path) AS path"), changed.where("status <> 'D'").select("path")
+
+
 def working_snapshots(spark: SparkSession, repo: str) -> tuple[DataFrame, DataFrame]:
     """The tracked files that the working tree changes, at HEAD and as they stand."""
-    changed = changed_files(spark, repo, "HEAD", None)
-    before = changed.where("status <> 'A'").selectExpr("coalesce(old_path, path) AS path")
-    return read_revision(spark, repo, "HEAD", before), read_directory(spark, repo, changed.where("status <> 'D'").select("path"))
+    before, after = changed_paths(spark, repo, "HEAD", None)
+    return read_revision(spark, repo, "HEAD", before), read_directory(spark, repo, after)
 
 
 def range_snapshots(spark: SparkSession, repo: str, spec: str) -> tuple[DataFrame, DataFrame]:
     """The files that a range changes, before and after: a rename is read at its old path before, additions only after."""
     old, new = parse_git_range(spec)
-    changed = changed_files(spark, repo, validate_ref(repo, old), validate_ref(repo, new))
-    before = changed.where("status <> 'A'").selectExpr("coalesce(old_path, path) AS path")
-    return read_revision(spark, repo, old, before), read_revision(spark, repo, new, changed.where("status <> 'D'").select("path"))
+    before, after = changed_paths(spark, repo, old, new)
+    return read_revision(spark, repo, old, before), read_revision(spark, repo, new, after)

@@ -2,8 +2,10 @@ import json
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 from codestrata import cli
 from codestrata.plans import diff, impact, report, views
+from codestrata.operators import similar
 from codestrata.operators.extract import extract_calls, extract_symbols
 from codestrata.sources import files, index
 
@@ -57,10 +59,10 @@ def test_git_index_and_command_line(spark, tmp_path, monkeypatch):
     o, n = files.range_snapshots(spark, str(root), "HEAD~1..HEAD")
     assert kinds(diff.diff(extract_symbols(o), extract_symbols(n))) == sorted([*WANT, ("Added", "skip")])  # only directories are filtered
     source = files.read_revision(spark, str(root), "HEAD")
-    index.save(extract_symbols(source), extract_calls(source), str(tmp_path / "ix"), "abc")
+    index.save(source, str(tmp_path / "ix"), "abc")
     got = index.load(spark, str(tmp_path / "ix"), "abc")
     assert got["symbols"].count() == extract_symbols(source).count() and index.load(spark, str(tmp_path / "ix"), "other") is None
-    assert len(got["features"].first()["minhash"]) == 64
+    assert len(got["symbols"].first()["minhash"]) == 64
     text = cli.main(["HEAD~1..HEAD", "--repo", str(root), "--exclude", "*c2.go"])
     assert "[SIG] area" in text and "Moved (" not in text
     assert cli.main(["symbols", str(root / "a.rs")]).startswith("Function area 1-4")
@@ -69,7 +71,8 @@ def test_git_index_and_command_line(spark, tmp_path, monkeypatch):
     # the index of a commit, and the working tree against it
     ix = str(tmp_path / "index")
     assert cli.main(["index", "--repo", str(root), "--index-dir", ix]).startswith("indexed ")
-    monkeypatch.setattr(impact, "extract_symbols", lambda *a: pytest.fail("the index should have been used"))
+    monkeypatch.setattr(files, "read_revision", lambda *a: pytest.fail("the index should have been used"))
+    monkeypatch.setattr(similar.features, "shingle_hashes", lambda *a: pytest.fail("shingles should have been read"))
     (root / "a.rs").write_text(OLD["a.rs"])
     (root / "b.py").unlink()
     options = ["--repo", str(root), "--repo-analysis", "--index-dir", ix]
@@ -79,11 +82,55 @@ def test_git_index_and_command_line(spark, tmp_path, monkeypatch):
     got = json.loads(cli.main([*options, "--output", "json"]))
     assert {json.dumps(c["kind"])[:19] for c in got["diff"]["changes"]} >= {'"Deleted"', '"Added"'} and got["repo_analysis"]["total_repo_symbols"] == 4
     assert [c["caller_symbol"] for c in got["repo_analysis"]["impact"]["affected_callers"]] == ["use"] and got["repo_analysis"]["impact"]["risk_summary"]["high_risk_count"] == 1
+    monkeypatch.undo()
     o, n = files.working_snapshots(spark, str(root))
     d = diff.diff(extract_symbols(o), extract_symbols(n))
     assert sorted((r.side, r.path) for r in views.preload(d, o, n).collect()) == [("new", "a.rs"), ("old", "a.rs"), ("old", "b.py")]
 
 
+def plain(df):
+    return sorted((tuple(str(r[c]) for c in sorted(df.columns) if c != "sym_id") for r in df.collect()), key=str)
+
+
+def test_an_index_parses_only_what_is_new(spark, tmp_path, monkeypatch):
+    ix, more = str(tmp_path / "ix"), str(tmp_path / "other")
+    source = lambda tree: spark.createDataFrame([(p, t.encode()) for p, t in tree.items()], files.FILES)
+    parsed = []
+    extract = index.extract_symbols
+    monkeypatch.setattr(index, "extract_symbols", lambda df: parsed.append(sorted(r.path for r in df.select("path").collect())) or extract(df))
+    one = {**OLD, "e.go": "package m\nfunc Same(a int) int { return a }\n"}
+    two = {**one, "a.rs": NEW["a.rs"], "f/e.go": one["e.go"]}
+    del two["b.py"]
+    assert index.save(source(one), ix, "c1") == {"files": 4, "parsed": 4, "gone": 0, "symbols": 5}
+    assert index.save(source(two), ix, "c2") == {"files": 4, "parsed": 2, "gone": 1, "symbols": 4}
+    assert index.save(source(one), ix, "c3") == {"files": 4, "parsed": 0, "gone": 1, "symbols": 5}  # back again
+    assert parsed == [["a.rs", "b.py", "c.go", "e.go"], ["a.rs", "f/e.go"], []]
+    assert index.save(source(two), ix, "c2")["parsed"] == 2  # done again: the same
+    for commit, tree in (("c1", one), ("c2", two), ("c3", one)):
+        index.save(source(tree), f"{more}{commit}", commit)
+        got, want = index.load(spark, ix, commit), index.load(spark, f"{more}{commit}", commit)
+        assert plain(got["symbols"]) == plain(want["symbols"]) and plain(got["calls"]) == plain(want["calls"])
+        ids = [r.sym_id for r in got["symbols"].collect()]
+        assert len(ids) == len(set(ids))
+        lines = [(r.file_path, r.line_start) for r in got["symbols"].orderBy("sym_id").collect()]
+        assert all(a[1] <= b[1] for a, b in zip(lines, lines[1:]) if a[0] == b[0])
+    assert {(r.path, r.state) for r in index.load(spark, ix, "c2")["files"].collect()} == {("a.rs", "parsed"), ("f/e.go", "parsed"), ("c.go", "kept"), ("e.go", "kept"), ("b.py", "gone")}
+    assert index.load(spark, ix, "c9") is None
+
+
+def test_symbols_of_one_key(spark):
+    """Of two symbols of a key the last stands for it; the body of the other is still found as a duplicate."""
+    rust = "#[cfg(a)]\nfn twice(x: i32) -> i32 { let y = x + 1; y * 2 }\n#[cfg(b)]\nfn twice(x: i32) -> i32 { x }\n"
+    source = spark.createDataFrame([("a.rs", rust.encode()), ("b.rs", b"fn other(x: i32) -> i32 { let y = x + 1; y * 2 }\n")], files.FILES)
+    symbols = impact.keyed(extract_symbols(source))
+    known = impact.standing(symbols)
+    assert [(r.key, r.line_start) for r in known.where("name = 'twice'").collect()] == [("a.rs:twice", 4)]
+    body = {r.name: r.body_hash for r in symbols.where("line_start <> 4").collect()}
+    same = symbols.withColumn("body_hash", F.when(F.col("line_start") == 4, F.col("body_hash")).otherwise(F.lit(body["other"])))
+    found = similar.find_similar(impact.standing(same).where("name = 'other'"), impact.standing(same), every=same).where("kind = 'ExactDuplicate'").collect()
+    assert [(r.changed_symbol, r.similar_symbol, r.line_start) for r in found] == [("other", "twice", 4)]
+
+
 def test_impact_entries(spark):
     place = "file_path string, line_start int, line_end int, similarity double"
     found = {
