@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.stage import stage
 
+HOT = 1024
+
 
 def edges(refs: DataFrame) -> DataFrame:
     """caller, callee, file_path, line of every call reference."""
@@ -21,23 +24,65 @@ def callers_of(names: DataFrame, calls: DataFrame) -> DataFrame:
     return exact.unionByName(short.join(calls, F.col("_s") == F.col("callee")).select("name", "caller", "file_path", "line"))
 
 
+def _into(starts: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges into each name that a search can come to, as node, caller, file_path, line and salt; and the nodes whose edges are over 1 / HOT of all,
+    fewer than HOT, with how many parts these are dealt to."""
+    names = starts.select("name").unionByName(calls.select(F.col("caller").alias("name"))).distinct()
+    edges = stage(callers_of(names, calls).withColumnRenamed("name", "node"), "edges")
+    degree = stage(edges.groupBy("node").agg(F.count("*").alias("n")), "degrees")
+    every = degree.agg(F.sum("n")).first()[0] or 0
+    hubs = degree.where(F.col("n") * HOT > every).select("node", F.ceil(F.col("n") * HOT / F.lit(max(every, 1))).cast("int").alias("parts"))
+    dealt = edges.join(F.broadcast(hubs), "node", "left").withColumn("salt", F.pmod(F.xxhash64("caller", "file_path"), F.coalesce("parts", F.lit(1))).cast("int"))
+    return dealt.drop("parts"), hubs
+
+
+def _met(frontier: DataFrame, edges: DataFrame, hubs: DataFrame) -> DataFrame:
+    """frontier (node, ...) with the edges into its nodes; a hub's are met in parts."""
+    parts = frontier.join(F.broadcast(hubs), "node", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return parts.join(edges, ["node", "salt"]).drop("salt")
+
+
+def _reached(starts: DataFrame, edges: DataFrame, hubs: DataFrame, depth: int) -> DataFrame:
+    """node, depth, chunk, bits: which starts come to a node first at which depth. starts: name, id; 64 of them are the bits of one long.
+
+    A breadth-first search of all starts at once: a row a node and chunk, whatever number of starts."""
+    flags = starts.select(F.col("name").alias("node"), F.shiftright("id", 6).alias("chunk"), F.expr("shiftleft(1L, cast(id & 63 AS int))").alias("bits"))
+    frontier = stage(flags.groupBy("node", "chunk").agg(F.bit_or("bits").alias("bits")), "frontier")
+    seen, found = frontier, frontier.withColumn("depth", F.lit(0))
+    pairs = edges.select("node", "salt", "caller").distinct()
+    for d in range(1, depth + 1):
+        came = _met(frontier, pairs, hubs).groupBy(F.col("caller").alias("node"), "chunk").agg(F.bit_or("bits").alias("bits"))
+        old = seen.select("node", "chunk", F.col("bits").alias("old"))
+        fresh = came.join(old, ["node", "chunk"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))).where("bits <> 0")
+        frontier = stage(fresh.select("node", "chunk", "bits"), "frontier")
+        seen = stage(seen.unionByName(frontier).groupBy("node", "chunk").agg(F.bit_or("bits").alias("bits")), "seen") if d < depth else seen
+        found = found.unionByName(frontier.withColumn("depth", F.lit(d)))
+    return found
+
+
+def _starts(changed: DataFrame, calls: DataFrame) -> DataFrame:
+    """name, id of the distinct names that have callers, numbered densely enough to fill their longs."""
+    names = changed.select("name").distinct()
+    called = stage(callers_of(names, calls.select("caller", "callee", "file_path", "line")).select("name").distinct(), "starts")
+    n = called.count()
+    return stage(called.coalesce(max(1, n // 65_536)).withColumn("id", F.monotonically_increasing_id()), "starts")
+
+
+def _ids(chunk: Column, bits: Column) -> Column:
+    """The starts of a long, a row each."""
+    return F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(bits, i) == 1), lambda i: F.shiftleft(chunk, 6) + i))
+
+
 def transitive_callers(changed: DataFrame, calls: DataFrame, depth: int = 2) -> DataFrame:
     """changed: name. Edges reached within depth steps back from each name, at the least depth of their callee:
-    name, callee, caller, file_path, line, depth. A name's direct call of itself is left out.
-
-    A breadth-first search over (start, node) pairs: each step joins the frontier with the edges and drops nodes seen before."""
+    name, callee, caller, file_path, line, depth. A name's direct call of itself is left out."""
     calls = stage(calls, "calls")
-    frontier = stage(changed.select("name", F.col("name").alias("node")).distinct(), "frontier")
-    seen, found = frontier, None
-    for d in range(depth + 1):
-        step = callers_of(frontier.select(F.col("node").alias("name")).distinct(), calls).withColumnRenamed("name", "node")
-        reached = frontier.join(step, "node").select("name", F.col("node").alias("callee"), "caller", "file_path", "line", F.lit(d).alias("depth"))
-        kept = reached.where("caller <> name") if d == 0 else reached
-        found = kept if found is None else found.unionByName(kept)
-        if d < depth:
-            frontier = stage(reached.select("name", F.col("caller").alias("node")).distinct().join(seen, ["name", "node"], "left_anti"), "frontier")
-            seen = seen.unionByName(frontier)
-    return found
+    starts = _starts(changed, calls)
+    edges, hubs = _into(starts, calls)
+    edges = stage(edges, "edges")
+    nodes = _reached(starts, edges, hubs, depth).select("node", "depth", _ids(F.col("chunk"), F.col("bits")).alias("id"))
+    found = _met(nodes.join(starts, "id").select("name", "node", "depth"), edges, hubs).where("depth > 0 OR caller <> node")
+    return found.select("name", F.col("node").alias("callee"), "caller", "file_path", "line", "depth")
 
 
 def transitive_callers_dfs(changed: DataFrame, calls: DataFrame, depth: int = 2) -> DataFrame:
@@ -67,13 +112,23 @@ def transitive_callers_dfs(changed: DataFrame, calls: DataFrame, depth: int = 2)
 
 
 def affected_callers(changes: DataFrame, calls: DataFrame, depth: int = 2) -> DataFrame:
-    """changes: name, description, risk. One row per caller, file and changed name: the one of least depth, then line."""
-    reach = transitive_callers(changes.select("name"), calls, depth).join(changes.select("name", "description", "risk"), "name")
+    """changes: name, description, risk. One row per caller, file and changed name: the one of least depth, then line.
+
+    Starts stay packed until each has its edge: those that an edge of a caller in a file is the first to have, by depth and line, are what no edge
+    before it has."""
+    calls = stage(calls, "calls")
+    starts = _starts(changes, calls)
+    edges, hubs = _into(starts, calls)
+    edges = stage(edges, "edges")
+    met = _met(_reached(starts, edges, hubs, depth), edges, hubs).where("depth > 0 OR caller <> node")
+    place = ["caller", "file_path", "chunk"]
+    steps = met.groupBy(*place, "depth", "line").agg(F.bit_or("bits").alias("bits"))
+    before = Window.partitionBy(*place).orderBy("depth", "line").rowsBetween(Window.unboundedPreceding, -1)
+    first = steps.withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce(F.bit_or("bits").over(before), F.lit(0).cast("long"))))).where("bits <> 0")
+    rows = first.select("caller", "file_path", "line", "depth", _ids(F.col("chunk"), F.col("bits")).alias("id")).join(starts, "id")
     level = F.when(F.col("depth") == 0, F.col("risk")).when(F.col("risk") == "High", "Medium").otherwise("Low")
-    rows = reach.select(F.col("caller").alias("caller_symbol"), F.col("file_path").alias("caller_file"), F.col("line").alias("caller_line"), F.col("name").alias("changed_callee"), F.col("description").alias("change_description"), level.alias("risk"), "depth")
-    key = ["caller_symbol", "caller_file", "changed_callee"]
-    first = rows.groupBy(*key).agg(F.min(F.struct("depth", "caller_line", "change_description", "risk")).alias("_f"))
-    return first.select("caller_symbol", "caller_file", "_f.caller_line", "changed_callee", "_f.change_description", "_f.risk", "_f.depth")
+    said = rows.join(changes.select("name", "description", "risk"), "name").groupBy("caller", "file_path", "line", "depth", "name").agg(F.min(F.struct(F.col("description").alias("change_description"), level.alias("risk"))).alias("_f"))
+    return said.select(F.col("caller").alias("caller_symbol"), F.col("file_path").alias("caller_file"), F.col("line").alias("caller_line"), F.col("name").alias("changed_callee"), "_f.change_description", "_f.risk", "depth")
 
 
 def pattern_warnings(similar: DataFrame) -> DataFrame:

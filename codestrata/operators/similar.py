@@ -5,8 +5,11 @@ changed and index are symbol frames: key, qualified_name, name, kind, file_path,
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,8 +19,8 @@ from ..sources.stage import stage
 
 PER_SYMBOL, PER_PATTERN, STEM_LIMIT, STEM_BYTES, BODY_LIMIT, CANDIDATES = 10, 5, 50, 4, 3000, 100
 HOT = 1024
-#: Share of a set's grams beyond those that a similar set may miss, by which candidates are counted.
-PROBE = 0.1
+#: Bits a gram of bitmaps; rows and bytes of bitmaps in a block; rows compared with one changed symbol at a time.
+WIDTH, BLOCK, BLOCK_BYTES, PAIRS = 16, 4096, 64 << 20, 1024
 
 
 def exact_duplicates(changed: DataFrame, index: DataFrame) -> DataFrame:
@@ -71,25 +74,77 @@ def shingle_table(index: DataFrame) -> DataFrame:
     return index.select("key", F.col("kind").alias("symbol_kind"), "body_hash", _shingles(index).alias("grams")).withColumn("n", F.size("grams"))
 
 
+def _band(n: Column, least: float) -> Column:
+    return F.floor(F.log(n.cast("double")) / -math.log(least)).cast("int")
+
+
+def _width(band: int, least: float) -> int:
+    """Bits of the bitmaps of a band: a power of two, WIDTH at least for each gram of its largest sets."""
+    return 1 << max(6, math.ceil(math.log2(WIDTH * least ** -(band + 1))))
+
+
+def _bitmaps(least: float):
+    """Rows of key, kind, band, n and grams as the same with a bitmap of hashed grams in place of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            bits = []
+            for band, grams in zip(rb.column(2).to_pylist(), rb.column(4), strict=True):
+                width = _width(band, least)
+                mixed = grams.values.to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                flags = np.zeros(width, bool)
+                flags[(mixed >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)] = True
+                bits.append(np.packbits(flags).tobytes())
+            yield pa.RecordBatch.from_arrays([*(rb.column(i) for i in range(4)), pa.array(bits, pa.binary())], names=["key", "symbol_kind", "band", "n", "bits"])
+
+    return run
+
+
+def _bounded(least: float):
+    """Pairs of a block of symbols and one of changed symbols that may be similar.
+
+    Of the grams that two sets share, no more than the set with fewer clashes has clashing fall together in the bitmaps; so the common bits
+    and these clashes bound the overlap."""
+
+    def run(rows: pa.Table, changed: pa.Table) -> pa.Table:
+        own, other = [], []
+        if rows.num_rows and changed.num_rows:
+            n, m = rows.column("n").to_numpy(), changed.column("n").to_numpy()
+            x, y = (np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(t.num_rows, -1) for t in (rows, changed))
+            clash_x, clash_y = n - np.bitwise_count(x).sum(1), m - np.bitwise_count(y).sum(1)
+            for i in range(len(m)):
+                at = np.flatnonzero((n >= least * m[i] - 1e-9) & (m[i] >= least * n - 1e-9))
+                for part in np.split(at, range(PAIRS, len(at), PAIRS)):
+                    common = np.bitwise_count(x[part] & y[i]).sum(1, dtype=np.int64)
+                    fit = part[common + np.minimum(clash_x[part], clash_y[i]) >= (n[part] + m[i]) * (least / (1 + least)) - 1e-9]
+                    own.append(np.full(len(fit), i))
+                    other.append(fit)
+        take = lambda t, at: t.column("key").take(pa.array(np.concatenate(at) if at else np.zeros(0, np.int64)))
+        return pa.table({"changed_key": take(changed, own), "key": take(rows, other)})
+
+    return run
+
+
 def structurally_similar(changed: DataFrame, index: DataFrame, least: float = 0.6, limit: int | None = PER_SYMBOL) -> DataFrame:
     """Different bodies of a kind with Jaccard similarity of 4-grams in [least, 1): the best of each changed symbol.
 
-    Candidates by counting rare grams: a set as similar as that misses at most n - ceil(least * n) of a changed symbol's n grams. So of its
-    rarest grams, that many and a share PROBE of n more, it holds at least that share. Only these grams are looked up, sets of far sizes or of
-    another kind never meet, and only what holds enough of them meets whole sets."""
+    Symbols of a kind and band of set sizes meet the changed ones of this band and its neighbours, block by block, as bitmaps of their hashed grams, WIDTH bits a gram: their
+    common bits bound the overlap from above, so what can't be similar ends there, without its grams being shuffled. What is left is verified on whole sets."""
     every = stage(shingle_table(index), "shingles")
-    probe = every.join(changed.select("key"), "key", "left_semi").select(F.col("key").alias("changed_key"), F.col("symbol_kind").alias("ck"), F.col("body_hash").alias("ch"), F.col("grams").alias("cg"), F.col("n").alias("cn"))
-    flat = every.where("n >= 3").select("key", "symbol_kind", "n", F.explode("grams").alias("g"))
-    own = probe.where("cn >= 3").select("changed_key", "ck", "cn", F.explode("cg").alias("g"))
-    wanted = own.select("g", F.col("ck").alias("symbol_kind")).distinct()
-    frequency = flat.join(wanted, ["g", "symbol_kind"], "left_semi").groupBy("g", F.col("symbol_kind").alias("ck")).agg(F.count("*").alias("f"))
-    ranked = own.join(frequency, ["g", "ck"]).withColumn("p", F.row_number().over(Window.partitionBy("changed_key").orderBy("f", "g")))
-    missing = F.col("cn") - F.ceil(F.col("cn") * least)
-    ranked = ranked.withColumn("need", F.least(F.col("cn") - missing, F.ceil(F.col("cn") * PROBE))).where(F.col("p") <= missing + F.col("need"))
-    rare = ranked.select("changed_key", F.col("ck").alias("symbol_kind"), "cn", "need", "g")
-    near = (F.col("key") != F.col("changed_key")) & (F.col("n") >= least * F.col("cn")) & (F.col("cn") >= least * F.col("n"))
-    pairs = flat.join(rare, ["g", "symbol_kind"]).where(near).groupBy("changed_key", "key").agg(F.count("*").alias("held"), F.first("need").alias("need")).where("held >= need").select("changed_key", "key")
-    both = pairs.join(probe, "changed_key").join(every, "key").where("ck = symbol_kind AND ch <> body_hash")
+    probe = stage(every.join(changed.select("key").distinct(), "key", "left_semi"), "changed")
+    band, kind = _band(F.col("n"), least), dict(index.dtypes)["key"]
+    schema = f"key {kind}, symbol_kind string, band int, n int, bits binary"
+    columns = ["key", "symbol_kind", "band", "n", "grams"]
+    rows = stage(every.where("n >= 3 AND symbol_kind IS NOT NULL").withColumn("band", band).select(*columns).mapInArrow(_bitmaps(least), schema), "bitmaps")
+    asked = stage(probe.where("n >= 3 AND symbol_kind IS NOT NULL").withColumn("band", F.explode(F.array(band - 1, band, band + 1))).where("band >= 0").select(*columns).mapInArrow(_bitmaps(least), schema), "bitmaps")
+    parts = [max(1, -(-(r["n"] or 0) // BLOCK), -(-(r["bytes"] or 0) // BLOCK_BYTES)) for r in (df.agg(F.count("*").alias("n"), F.sum(F.octet_length("bits")).alias("bytes")).first() for df in (rows, asked))]
+    dealt = [df.withColumn("_a", at[0]).withColumn("_b", at[1]).groupBy("symbol_kind", "band", "_a", "_b") for df, at in (
+        (rows, (F.pmod(F.xxhash64("key"), F.lit(parts[0])), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[1] - 1).cast("long"))))),
+        (asked, (F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[0] - 1).cast("long"))), F.pmod(F.xxhash64("key"), F.lit(parts[1])))),
+    )]
+    pairs = stage(dealt[0].cogroup(dealt[1]).applyInArrow(_bounded(least), f"changed_key {kind}, key {kind}").where("changed_key <> key"), "pairs")
+    own = probe.select(F.col("key").alias("changed_key"), F.col("body_hash").alias("ch"), F.col("grams").alias("cg"))
+    both = pairs.join(own, "changed_key").join(every, "key").where("ch <> body_hash")
     scored = both.select("changed_key", "key", F.explode(F.filter(F.array(text.jaccard("cg", "grams")), lambda s: (s >= least) & (s < 1))).alias("similarity"))
     found = scored.select("changed_key", "key", "similarity", F.lit("StructurallySimilar").alias("kind"))
     return found if limit is None else _top(found, [F.desc("similarity"), F.asc("key")], limit)
