@@ -7,8 +7,11 @@ ast_fingerprint. Matches are frames of old_id, new_id, confidence and match_type
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -127,26 +130,33 @@ def moved_exact(old: DataFrame, new: DataFrame) -> DataFrame:
     return _by_rank(*keyed, ["body_key", "kind"], F.lit(0.95), "ExactBody")
 
 
-def _first_best(pdf: pd.DataFrame) -> pd.DataFrame:
-    used, out = set(), []
-    for o, g in pdf.sort_values(["old_id", "new_id"]).groupby("old_id", sort=True):
-        free = g[~g["new_id"].isin(used)]
-        if len(free):
-            best = free.loc[free["score"].idxmax()]
-            used.add(best["new_id"])
-            out.append((int(o), int(best["new_id"]), best["score"]))
-    return pd.DataFrame(out, columns=["old_id", "new_id", "score"]).astype({"old_id": "int64", "new_id": "int64", "score": "float64"})
+def _first_free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs sorted by group, old_id and preference, what each old symbol in turn takes: the first new one that is free. Holds the new symbols
+    taken in one group, no pairs."""
+    group, used, done = None, set(), None
+    for rb in batches:
+        keep = []
+        for at, (g, o, n) in enumerate(zip(*(rb.column(c).to_pylist() for c in ("group", "old_id", "new_id")), strict=True)):
+            if g != group:
+                group, used, done = g, set(), None
+            if o != done and n not in used:
+                used.add(n)
+                done = o
+                keep.append(at)
+        yield rb.select(["old_id", "new_id", "score"]).take(pa.array(keep, pa.int64()))
 
 
 def name_candidates(old: DataFrame, new: DataFrame) -> DataFrame:
-    o, n = side(old, "o", _BODY), side(new, "n", _BODY)
-    on = (F.col("o_name") == F.col("n_name")) & (F.col("o_kind") == F.col("n_kind")) & (F.col("o_file_path") != F.col("n_file_path"))
-    return o.join(n, on).select(F.col("o_id").alias("old_id"), F.col("n_id").alias("new_id"), text.over(_similarity(0.5), 0.5).alias("score"), F.struct("o_name", "o_kind").alias("group"))
+    """Pairs of a name and kind in different files with structural similarity over 0.5."""
+    return similar_candidates(old, new, 0.5, ("kind", "name"))
 
 
 def moved_by_name(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Equal names and kinds in other files with similar bodies: each old symbol in order takes the best free new one."""
-    found = name_candidates(old, new).groupBy("group").applyInPandas(lambda pdf: _first_best(pdf), "old_id long, new_id long, score double")
+    """Equal names and kinds in other files with similar bodies: each old symbol in order takes the best free new one, of equals the first.
+
+    A name's pairs are sorted, which spills, and read as a stream, so a name that stands everywhere makes no group."""
+    pairs = name_candidates(old, new).repartition("group").sortWithinPartitions("group", "old_id", F.desc("score"), "new_id")
+    found = pairs.select("group", "old_id", "new_id", "score").mapInArrow(_first_free, "old_id long, new_id long, score double")
     return found.select("old_id", "new_id", (F.col("score") * 0.9).alias("confidence"), F.lit("NameAndBody").alias("match_type"))
 
 
@@ -175,12 +185,12 @@ def _apart(a: Column, b: Column) -> Column:
 
 
 def _similar_texts(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
-    """Pairs of which one has no fingerprint, so that bodies are compared: they meet by kind and length, and those whose letters alone put them too
+    """Pairs of which one has no fingerprint, so that bodies are compared: they meet by group and length, and those whose letters alone put them too
     far apart go before bodies are looked at. At 0.7 an edit in three bytes is allowed, which leaves no run of bytes that similar bodies must share."""
-    short = lambda x, spread: _size_bands(x.withColumn("size", F.octet_length("normalized_body")).withColumn("counts", _counts(F.col("normalized_body"))), least, spread).select("sym_id", "kind", "file_path", "prints", "size", "counts", "band")
-    columns = ["kind", "file_path", "prints", "size", "counts", "band"]
+    columns = ["group", "file_path", "prints", "size", "counts", "band"]
+    short = lambda x, spread: _size_bands(x.withColumn("size", F.octet_length("normalized_body")).withColumn("counts", _counts(F.col("normalized_body"))), least, spread).select("sym_id", *columns)
     o, n = side(short(old, False), "o", columns), side(short(new, True), "n", columns)
-    on = (F.col("o_kind") == F.col("n_kind")) & (F.col("o_band") == F.col("n_band")) & (F.col("o_file_path") != F.col("n_file_path"))
+    on = (F.col("o_group") == F.col("n_group")) & (F.col("o_band") == F.col("n_band")) & (F.col("o_file_path") != F.col("n_file_path"))
     near = F.least("o_size", "n_size") >= least * F.greatest("o_size", "n_size")
     longer = F.greatest(F.col("o_counts")[len(_CLASSES)], F.col("n_counts")[len(_CLASSES)])
     close = (F.col("o_size") == 0) | (_apart(F.col("o_counts"), F.col("n_counts")) < (1 - least) * longer)
@@ -188,13 +198,14 @@ def _similar_texts(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
     return o.join(n, on & plain & near & close).select(F.col("o_id").alias("old_id"), F.col("n_id").alias("new_id"))
 
 
-def similar_candidates(old: DataFrame, new: DataFrame, least: float = 0.7) -> DataFrame:
-    """Pairs of a kind in different files with structural similarity over least: of fingerprints (a set-similarity join, whatever the bodies' lengths),
+def similar_candidates(old: DataFrame, new: DataFrame, least: float = 0.7, keys: tuple[str, ...] = ("kind",)) -> DataFrame:
+    """Pairs of equal keys in different files with structural similarity over least, as old_id, new_id, score, group (the keys): of fingerprints (a set-similarity join, whatever the bodies' lengths),
     of bodies where one has none, and equal bodies."""
-    o, n = (stage(x.select("sym_id", "kind", "file_path", "normalized_body", "ast_fingerprint", F.size("ast_fingerprint").alias("prints")), "left") for x in (old, new))
+    group = F.when(reduce(Column.__and__, (F.col(k).isNotNull() for k in keys)), F.concat_ws("\0", *keys)).alias("group")
+    o, n = (stage(x.select("sym_id", group, "file_path", "normalized_body", "ast_fingerprint", F.size("ast_fingerprint").alias("prints")), "left") for x in (old, new))
     have = [{r.printed for r in x.select((F.col("prints") > 0).alias("printed")).distinct().collect()} for x in (o, n)]  # a row or two
-    same = [x.select(F.col("sym_id").alias(i), "kind", F.sha2("normalized_body", 256).alias("_body")) for x, i in ((o, "old_id"), (n, "new_id"))]
-    texts = same[0].join(same[1], ["kind", "_body"]).select("old_id", "new_id")
+    same = [x.select(F.col("sym_id").alias(i), "group", F.sha2("normalized_body", 256).alias("_body")) for x, i in ((o, "old_id"), (n, "new_id"))]
+    texts = same[0].join(same[1], ["group", "_body"]).select("old_id", "new_id")
     if False in have[0] | have[1]:
         texts = texts.unionByName(_similar_texts(o, n, least)).distinct()
     # bodies join by their own ids, so that the comparing of a few kinds and lengths is dealt over all tasks
@@ -202,12 +213,12 @@ def similar_candidates(old: DataFrame, new: DataFrame, least: float = 0.7) -> Da
     met = texts.join(body(o, "o").withColumnRenamed("o_id", "old_id"), "old_id").join(body(n, "n").withColumnRenamed("n_id", "new_id").hint("merge"), "new_id")
     found = met.select("old_id", "new_id", text.over(_similarity(least), least).alias("score"))
     if True in have[0] & have[1]:
-        sets = [x.select(F.col("sym_id").alias("id"), F.col("kind").alias("group"), F.col("ast_fingerprint").alias("tokens")) for x in (o, n)]
+        sets = [x.select(F.col("sym_id").alias("id"), "group", F.col("ast_fingerprint").alias("tokens")) for x in (o, n)]
         alike = setjoin.similar_sets(*sets, least).select(F.col("l_id").alias("old_id"), F.col("r_id").alias("new_id"), F.col("similarity").alias("score"))
         found = found.unionByName(alike).groupBy("old_id", "new_id").agg(F.max("score").alias("score"))  # a pair with equal bodies comes twice
-    place = lambda df, p: side(df, p, ["kind", "file_path"])
+    place = lambda df, p: side(df, p, ["group", "file_path"])
     placed = found.join(place(o, "o").withColumnRenamed("o_id", "old_id"), "old_id").join(place(n, "n").withColumnRenamed("n_id", "new_id"), "new_id")
-    return placed.where("o_file_path <> n_file_path").select("old_id", "new_id", "score", F.col("o_kind").alias("kind"))
+    return placed.where("o_file_path <> n_file_path").select("old_id", "new_id", "score", F.col("o_group").alias("group"))
 
 
 def _anchors_met(outer: DataFrame, inner: DataFrame, width: int, among: int) -> DataFrame:
