@@ -10,6 +10,7 @@ import ast
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import pandas as pd
@@ -43,14 +44,61 @@ def blank_python(src: str) -> str:
     return re.compile(rf"#[^\n]*|{triple}|{single}", re.S).sub(lambda m: re.sub(r"[^\n]", " ", m[0]), src)
 
 
+#: A line that starts an item, by which brackets that don't balance are repaired.
+_ITEM = re.compile(r"(?:(?:pub(?:\s*\([^)\n]*\))?|export|default|async|unsafe|abstract|declare)\s+)*(?:fn|func|function|class|impl|struct|enum|trait|interface|mod|type)\b")
+_BRACKET = re.compile(r"[()\[\]{}]")
+
+
+def _matched(b: str) -> tuple[dict[int, int], bool]:
+    """The place after the bracket that closes each one; whether all balance."""
+    ends, open_, strays = {}, [], False
+    for m in _BRACKET.finditer(b):
+        if m[0] in "([{":
+            open_.append(m.start())
+        elif open_:
+            ends[open_.pop()] = m.end()
+        else:
+            strays = True
+    return ends, not open_ and not strays
+
+
+def _repaired(b: str) -> dict[int, int]:
+    """The same by indentation: where an item or a line's closing bracket starts, what was opened on lines that are indented as far (further, for a bracket) has ended, and
+    a closing bracket that is indented further than what is open closes nothing. So a bracket too few or too many ends with its item."""
+    ends, open_, at = {}, [], 0  # open_: place, indent of its line
+
+    def end_before(place: int) -> None:
+        end = at
+        while end > place + 1 and b[end - 1].isspace():
+            end -= 1
+        ends[place] = end
+
+    for line in b.splitlines(keepends=True):
+        indent = len(line) - len(line.lstrip(" \t"))
+        if item := bool(_ITEM.match(line, indent)):
+            while open_ and open_[-1][1] >= indent:
+                end_before(open_.pop()[0])
+        elif closes := line[indent : indent + 1] in ")]}" and line[indent : indent + 1] != "":
+            while open_ and open_[-1][1] > indent:
+                end_before(open_.pop()[0])
+        for m in _BRACKET.finditer(line):
+            if m[0] in "([{":
+                open_.append((at + m.start(), indent))
+            elif open_ and (item or not (closes and m.start() == indent) or open_[-1][1] >= indent):
+                ends[open_.pop()[0]] = at + m.end()
+        at += len(line)
+    return ends
+
+
+@lru_cache(maxsize=2)
+def _ends(b: str) -> dict[int, int]:
+    ends, whole = _matched(b)
+    return ends if whole else _repaired(b)
+
+
 def close(b: str, at: int) -> int:
-    """The place after the bracket that closes the one at `at`."""
-    depth = 0
-    for i in range(at, len(b)):
-        depth += (b[i] in "([{") - (b[i] in ")]}")
-        if depth == 0:
-            return i + 1
-    return len(b)
+    """The place after the bracket that closes the one at `at`; brackets of a text are matched once."""
+    return _ends(b).get(at, len(b))
 
 
 def end_of(b: str, at: int, stop: str = ";{") -> tuple[int, int]:

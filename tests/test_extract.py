@@ -159,3 +159,35 @@ def test_time_grows_with_the_functions():
 
     took(200)
     assert took(4000) < 14 * took(500)
+
+
+def kept_names(path, src, lang):
+    return [r["name"] for r in extract.parse(path, src, lang)[0]]
+
+
+UNBALANCED = {
+    "rust": ("a.rs", "fn one(a: i32) -> i32 {\n    if a > 0 {\n        a\n    \n}\n\npub fn two() { one(1) }\n\nimpl S {\n    fn three(&self) -> i32 {\n        while x {\n            y(z);\n    }\n\n    pub fn four(&self) { two() }\n}\n\nstruct Five { a: u8 }\n", ["one", "two", "three", "four", "Five"]),
+    "go": ("a.go", "package p\n\nfunc One(a int) int {\n\tif a > 0 {\n\t\treturn a\n\treturn 1\n}\n\nfunc Two() int { return One(1) }\n\ntype Three struct {\n\tx int\n\nfunc Four() {\n\tTwo()\n}\n", ["One", "Two", "Three", "Four"]),
+    "typescript": ("a.ts", "export function one(a: number) {\n  if (a) {\n    return two(\n  }\n}\n\nclass Three {\n  four(): number {\n    for (;;) {\n    return 1;\n  }\n\n  five() { return one(1); }\n}\n\nexport function six() { return 6; }\n", ["one", "Three", "four", "five", "six"]),
+}
+
+
+def test_a_missing_bracket_keeps_the_other_symbols():
+    for lang, (path, src, want) in UNBALANCED.items():
+        assert kept_names(path, src, lang) == want, lang
+
+
+def test_a_stray_bracket_keeps_the_other_symbols():
+    assert kept_names("a.rs", "impl S {\n    fn one(&self) {\n        x();\n        }\n    }\n\n    fn two(&self) { y(); }\n}\n\nfn three() {}\n", "rust") == ["one", "two", "three"]
+    assert kept_names("a.rs", "}\nfn one() {}\n)\nfn two() { one() }\n", "rust") == ["one", "two"]
+
+
+def test_nested_calls_take_linear_time():
+    took = {}
+    for n in (4000, 32_000):
+        src = "function f(): number {\n  return " + "g(" * n + "1" + ")" * n + ";\n}\n"
+        began = time.monotonic()
+        rows, calls = extract.parse("a.ts", src, "typescript")
+        took[n] = time.monotonic() - began
+        assert len(rows) == 1 and len(calls) == n
+    assert took[32_000] < 10
