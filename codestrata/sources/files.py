@@ -1,19 +1,20 @@
 """Source files of a directory or of a git revision as (path, content) rows.
 
-Paths are listed on the driver (names only); contents are read by the executors, a batch of paths a partition.
+Paths are listed on the driver (names only); contents are read by the executors.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import language
+from .gitsource import GitFiles, run_git, tree
 
 # Directories that are never entered, besides those that start with a dot.
 SKIPPED = ("target", "vendor", "node_modules")
@@ -57,10 +58,7 @@ def read_directory(spark: SparkSession, root: str, paths: DataFrame | None = Non
 
 
 def _git(repo: str, *args: str) -> str:
-    r = subprocess.run(["git", "-C", repo, *args], capture_output=True, check=False)
-    if r.returncode:
-        raise ValueError(f"git {args[0]}: {r.stderr.decode(errors='replace').strip()}")
-    return r.stdout.decode(errors="replace")
+    return run_git(repo, *args).decode(errors="replace")
 
 
 def find_repo_root(start: str) -> str:
@@ -85,7 +83,7 @@ def parse_git_range(spec: str) -> tuple[str, str]:
 
 
 def list_files(repo: str, ref: str) -> list[str]:
-    return [p for p in _git(repo, "ls-tree", "-r", "-z", "--name-only", ref).split("\0") if p]
+    return [path for path, _, _ in tree(repo, ref)]
 
 
 def changed_files(spark: SparkSession, repo: str, old: str, new: str | None) -> DataFrame:
@@ -106,27 +104,12 @@ def changed_files(spark: SparkSession, repo: str, old: str, new: str | None) ->
 
 
 def read_revision(spark: SparkSession, repo: str, ref: str, paths: DataFrame | None = None) -> DataFrame:
-    """path, content of the supported files of a commit; one `git cat-file --batch` a partition. Missing files are left out."""
-    commit = validate_ref(repo, ref)
-    wanted = paths.select("path") if paths is not None else _paths(spark, list_files(repo, commit))
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            asked = "".join(f"{commit}:{p}\n" for p in pdf["path"]).encode()
-            out = subprocess.run(["git", "-C", repo, "cat-file", "--batch"], input=asked, capture_output=True, check=True).stdout
-            rows, at = [], 0
-            for p in pdf["path"]:
-                end = out.index(b"\n", at)
-                head = out[at:end].split()
-                at = end + 1
-                if head[-1] == b"missing":
-                    continue
-                size = int(head[2])
-                rows.append((p, out[at : at + size]))
-                at += size + 1
-            yield pd.DataFrame(rows, columns=["path", "content"])
-
-    return wanted.where(language("path").isNotNull()).mapInPandas(load, FILES)
+    """path, content of the supported files of a commit, or of some (path; names that git told the driver). Missing files are left out."""
+    spark.dataSource.register(GitFiles)
+    options = {"repo": os.path.abspath(repo), "commit": validate_ref(repo, ref)}
+    if paths is not None:
+        options["paths"] = json.dumps([r.path for r in paths.select("path").collect()])
+    return spark.read.format("gitfiles").options(**options).load()
 
 
 def changed_paths(spark: SparkSession, repo: str, old: str, new: str | None) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,7 @@
 import json
+import os
 import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from codestrata import cli
 from codestrata.plans import diff, impact, report, views
 from codestrata.operators import similar
 from codestrata.operators.extract import extract_calls, extract_symbols
-from codestrata.sources import files, index
+from codestrata.sources import files, gitsource, index
 
 OLD = {"a.rs": "pub fn area(w: i32) -> i32 {\n    let x = w * w;\n    x\n}\nfn gone(q: u8) -> u8 { q + 41 + 17 }\n", "b.py": "def use():\n    return area(3)\n", "c.go": "package m\nfunc Moved(a int) int { return a*a + 7 }\n"}
 NEW = {"a.rs": "pub fn area(w: i32, h: i32) -> i32 {\n    let x = w * h;\n    x\n}\n", "b.py": "def use():\n    return area(3)\n", "d/c2.go": "package m\nfunc Moved(a int) int { return a*a + 7 }\n", "target/skip.rs": "fn skip() {}", "note.txt": "x"}
@@ -148,3 +150,47 @@ def test_impact_entries(spark):
     ]
     none = {k: df.limit(0) for k, df in found.items()} | {"scanned": found["scanned"], "risk_summary": spark.createDataFrame([(0, 0, 0, 0, 0, 0)], found["risk_summary"].schema)}
     assert report.impact_report(none).endswith("\n\nNo impact detected.")
+
+
+def test_a_commit_is_read_in_parts(spark, tmp_path):
+    root = tmp_path / "repo"
+    tree = {"a\nb.py": "x = 1\n", "ü ö.rs": "fn f() {}\n", "big.go": "package p\n" + "// filler\n" * 200_000, "n.txt": "no", "e.py": "", **{f"d/{i}.ts": f"let a{i} = {i};\n" * 2000 for i in range(30)}}
+    write(root, tree)
+    (root / "d/c.js").write_bytes(b"\xff\x00\n")
+    git(tmp_path, "init", "-q", "repo")
+    git(root, "add", "-A")
+    git(root, "commit", "-qm", "one")
+    want = {p: t.encode() for p, t in tree.items() if p != "n.txt"} | {"d/c.js": b"\xff\x00\n"}
+    got = files.read_revision(spark, str(root), "HEAD")
+    assert {r.path: bytes(r.content) for r in got.collect()} == want
+    some = spark.createDataFrame([("a\nb.py",), ("n.txt",), ("gone.py",), ("e.py",)], "path string")
+    assert {r.path for r in files.read_revision(spark, str(root), "HEAD", some).collect()} == {"a\nb.py", "e.py"}
+    listed = [f for f in gitsource.tree(str(root), "HEAD") if gitsource.supported(f[0])]
+    parts = gitsource.plan(listed, 100_000)
+    assert [f for p in parts for f in p.files] == [f[:2] for f in listed] and len(parts) > 8
+    sizes = {f[0]: f[2] for f in listed}
+    assert all(sum(sizes[f] for f, _ in p.files) <= 100_000 or len(p.files) == 1 for p in parts)
+    reader = gitsource.Reader({"repo": str(root), "commit": "HEAD"})
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == len(want)
+    with pytest.raises(ValueError, match="ls-tree"):
+        gitsource.tree(str(root), "nothing")
+
+
+def test_worker_memory_is_bounded(tmp_path):
+    """300 MB of blobs through one partition."""
+    root = tmp_path / "repo"
+    write(root, {f"f{i}.rs": f"// {i}\n" + "x" * 3_000_000 for i in range(100)})
+    git(tmp_path, "init", "-q", "repo")
+    git(root, "add", "-A")
+    git(root, "commit", "-qm", "one")
+    code = f"""
+import resource
+from codestrata.sources.gitsource import Reader
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+r = Reader({{"repo": {str(root)!r}, "commit": "HEAD", "partitionBytes": "1000000000"}})
+parts = r.partitions()
+assert len(parts) == 1 and sum(b.num_rows for b in r.read(parts[0])) == 100
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert int(out.stdout.split()[-1]) < 80
