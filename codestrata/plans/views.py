@@ -5,7 +5,7 @@ changes: id, kind, file_info, file_path, line_start, line_end.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,10 +42,41 @@ def nesting_depth(spans: DataFrame) -> DataFrame:
     return own.groupBy("file_path").applyInPandas(replay, "file_path string, id long, depth int")
 
 
+def _levels(spans: DataFrame) -> int:
+    """The highest level of blocks (of 2 ** level lines) that a span can hold whole."""
+    longest = spans.agg(F.max(F.col("line_end") - F.col("line_start") + 1)).first()[0]
+    return max(longest or 1, 1).bit_length() - 1
+
+
+def covering(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """points (file_path, line) with each span that covers it: file_path, line, line_start, line_end, id.
+
+    A range join by equality: a span is cut into the largest aligned blocks of 2 ** level lines, two a level at most, and a point has one block a
+    level. So rows grow with spans and the logarithm of their length, not with lines."""
+    top = _levels(spans)
+
+    def blocks(k: Column) -> Column:
+        size = F.pow(F.lit(2), k).cast("long")
+        first, end = F.floor((F.col("line_start") + size - 1) / size), F.floor((F.col("line_end") + 1) / size)
+        # whole blocks whose parent is not whole: an odd first one, an even last one
+        edges = F.array(F.when(first % 2 == 1, first), F.when(end % 2 == 1, end - 1))
+        own = F.when(k == top, F.array(first)).otherwise(F.array_compact(edges))
+        return F.transform(F.when(first < end, own).otherwise(F.array().cast("array<bigint>")), lambda i: F.struct(k.alias("level"), i.alias("block")))
+
+    cut = spans.where("line_start <= line_end").withColumn("b", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(top)), blocks))))
+    cut = cut.select("file_path", "line_start", "line_end", "id", "b.level", "b.block")
+    at = points.withColumn("b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(top)), lambda k: F.struct(k.alias("level"), F.floor(F.col("line") / F.pow(F.lit(2), k).cast("long")).alias("block")))))
+    return at.select("file_path", "line", "b.level", "b.block").join(cut, ["file_path", "level", "block"]).drop("level", "block")
+
+
 def region_lines(spans: DataFrame) -> DataFrame:
-    """file_path, line, regions: the ids of the spans that cover each line, the largest first, then by id."""
-    lines = spans.select("file_path", F.explode(F.sequence("line_start", "line_end")).alias("line"), F.struct((F.col("line_start") - F.col("line_end")).alias("neg"), "id").alias("r"))
-    return lines.groupBy("file_path", "line").agg(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["id"]).alias("regions"))
+    """file_path, line, regions: the ids of the spans that cover each line, the largest first, then by id.
+
+    What covers a line changes only where spans start or have ended; lines in between are written out last."""
+    turns = spans.select("file_path", F.col("line_start").alias("line")).unionByName(spans.select("file_path", (F.col("line_end") + 1).alias("line"))).distinct()
+    until = turns.withColumn("until", F.lead("line").over(Window.partitionBy("file_path").orderBy("line")) - 1)
+    held = covering(turns, spans).groupBy("file_path", "line").agg(F.array_sort(F.collect_list(F.struct((F.col("line_start") - F.col("line_end")).alias("neg"), "id"))).alias("r"))
+    return held.join(until, ["file_path", "line"]).select("file_path", F.explode(F.sequence("line", "until")).alias("line"), F.transform("r", lambda x: x["id"]).alias("regions"))
 
 
 def starting_and_ending(spans: DataFrame) -> DataFrame:
@@ -55,9 +86,9 @@ def starting_and_ending(spans: DataFrame) -> DataFrame:
 
 
 def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """points: file_path, line. The id of the smallest span that covers each point (an equi-join on file and line)."""
-    lines = spans.select("file_path", F.explode(F.sequence("line_start", "line_end")).alias("line"), F.struct((F.col("line_end") - F.col("line_start")).alias("size"), "id").alias("r"))
-    return points.join(lines, ["file_path", "line"]).groupBy("file_path", "line").agg(F.min("r")["id"].alias("id"))
+    """points: file_path, line. The id of the smallest span that covers each point, of equal ones the least."""
+    held = covering(points.select("file_path", "line").distinct(), spans)
+    return held.groupBy("file_path", "line").agg(F.min(F.struct((F.col("line_end") - F.col("line_start")).alias("size"), "id"))["id"].alias("id"))
 
 
 def preload(changes: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
