@@ -91,3 +91,28 @@ def test_candidates_of_all_sorts(spark):
             if s > 0.7:
                 want[o[0], n[0]] = s
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_a_name_that_stands_everywhere_is_assigned_in_order(spark):
+    """Each old symbol in order takes the best free new one, of equals the first; as plain Python does it over all pairs."""
+    rng = random.Random(11)
+    pool = [[rng.randrange(50) for _ in range(12)] for _ in range(25)]
+
+    def made(n):
+        out = []
+        for i in range(n):
+            prints = list(rng.choice(pool))
+            for _ in range(rng.randrange(4)):
+                prints[rng.randrange(12)] = rng.randrange(50)
+            out.append(symbol(i, rng.choice(["new", "new", "new", "main"]), f"{rng.randrange(40)}.rs", f"body {rng.randrange(10**9)}", prints))
+        return out
+
+    old, new = made(300), made(280)
+    want, used = {}, set()
+    for o in old:
+        best = max(((s, -n[0]) for n in new if n[2] == o[2] and n[4] != o[4] and n[0] not in used and (s := jaccard(o[7], n[7])) > 0.5), default=None)
+        if best:
+            want[o[0]] = -best[1]
+            used.add(-best[1])
+    got = matching.moved_by_name(*(spark.createDataFrame(x, SYMBOLS) for x in (old, new))).collect()
+    assert len(want) > 150 and {r.old_id: r.new_id for r in got} == want
