@@ -63,7 +63,7 @@ def test_clashing_columns_long_texts_and_shared_ids(spark, tmp_path):
     names = ["n_email", "spans_list", "_id", "_row", "_gone", "tag", "hits", "kept", "component_id", "_t", "bucket", "score", "held_out"]
     long = " ".join(f"the and {chr(97 + i % 7)}x word of a@b.co" for i in range(30_000))
     words = [f"the {chr(97 + i % 20)}{chr(97 + i // 20)}o" for i in range(80)]
-    texts = [(1, "and the of a word here"), (1, " ".join(words)), (2, " ".join([*words, "tail"])), (3, long), (None, "the word"), (4, None), (5, "the of and " * 40 + "call +49 30 1234567 now"), (6, "x"), (6, "x")]
+    texts = [(1, "and the of a word here"), (1, " ".join(words)), (2, " ".join([*words, "tail"])), (3, long), (None, "the word"), (4, None), (5, "the of and " * 40 + "call +49 30 1234567 now"), (6, "x"), (6, "x"), (7, "the word" + " " * 1_200_000 + "and of the")]
     rows = [(i, t, "en" if k % 2 else None, "s", k, *(f"{n}{k}" for n in names)) for k, (i, t) in enumerate(texts)]
     ddl = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{n} string" for n in names)
     spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -73,7 +73,7 @@ def test_clashing_columns_long_texts_and_shared_ids(spark, tmp_path):
         assert out.columns == docs.columns, name
         docs = spark.createDataFrame(out.collect(), ddl)
     got = {r.n_chars: r for r in docs.collect()}
-    assert set(got) == {0, 1, 3, 4, 6, 7, 8}
+    assert set(got) == {0, 1, 3, 4, 6, 7, 8, 9}
     assert all(got[k][n] == f"{n}{k}" for k in got for n in names)
     assert got[3].text == long.replace("a@b.co", "[email]") and got[6].text.endswith("call [phone] now")
     assert sum(r.doc_id == 6 for r in cp.STAGES[-1][1](spark, docs, "").collect()) == 2
