@@ -86,29 +86,39 @@ def transitive_callers(changed: DataFrame, calls: DataFrame, depth: int = 2) ->
 
 
 def transitive_callers_dfs(changed: DataFrame, calls: DataFrame, depth: int = 2) -> DataFrame:
-    """The same by depth-first search in the edges' order (line), whose depths are those of the first visit. Each start's
-    neighbourhood is found breadth-first and searched in one group."""
-    near = transitive_callers(changed, calls, depth).select("name", "callee", "caller", "file_path", "line")
-    own = changed.join(calls, F.col("name") == F.col("callee")).select("name", "callee", "caller", "file_path", "line").where("caller = name")
-
-    def search(pdf):
-        pdf = pdf.sort_values(["line", "caller", "file_path"], kind="stable")
-        into = {k: list(g[["caller", "file_path", "line"]].itertuples(index=False, name=None)) for k, g in pdf.groupby("callee")}
-        start = pdf["name"].iloc[0]
-        rows, seen, stack = [], set(), [(start, 0)]
+    """The same by depth-first search in the edges' order (line, caller, file), whose depths are those of the first visit. Each start's neighbourhood is found
+    breadth-first and searched in one group.
+
+    A caller that nobody calls ends a path and leaves the order of the others as it is, and of the edges between two names the last one decides. So a group holds
+    names that are called and one edge for two of them; the edges themselves come in once the visits are known, as in transitive_callers."""
+    calls = stage(calls, "calls")
+    starts = _starts(changed, calls)
+    edges, hubs = _into(starts, calls)
+    edges = stage(edges, "edges")
+    called = edges.select(F.col("node").alias("caller")).distinct()
+    # nulls are the last, as in the order of the search
+    inner = edges.groupBy("node", "caller").agg(F.max(F.struct(F.col("line").isNull().alias("none"), "line"))["line"].alias("line")).join(called, "caller", "left_semi")
+    inner = stage(inner, "inner")
+    reached = stage(_reached(starts, edges, hubs, depth).select("node", "depth", _ids(F.col("chunk"), F.col("bits")).alias("id")), "reached")
+    near = reached.where(F.col("depth") < depth).join(inner, "node").select("id", "node", "caller", "line")
+    own = reached.where("depth = 0").select("id", "node", F.lit(None).cast("string").alias("caller"), F.lit(None).cast(dict(near.dtypes)["line"]).alias("line"))
+
+    def search(key, pdf):
+        start = pdf.loc[pdf["caller"].isna(), "node"].iloc[0]
+        pdf = pdf[pdf["caller"].notna()].sort_values(["line", "caller"], kind="stable")
+        into = {k: g.tolist() for k, g in pdf.groupby("node")["caller"]}
+        seen, stack = {}, [(start, 0)]
         while stack:
             node, d = stack.pop()
-            if d > depth or node in seen:
-                continue
-            seen.add(node)
-            for caller, path, line in into.get(node, ()):
-                if d > 0 or caller != start:
-                    rows.append((start, node, caller, path, line, d))
+            if node not in seen:
+                seen[node] = d
                 if d < depth:
-                    stack.append((caller, d + 1))
-        return type(pdf)(rows, columns=["name", "callee", "caller", "file_path", "line", "depth"])
+                    stack += [(caller, d + 1) for caller in into.get(node, ())]
+        return type(pdf)({"id": key[0], "node": list(seen), "depth": list(seen.values())})
 
-    return near.unionByName(own).groupBy("name").applyInPandas(search, "name string, callee string, caller string, file_path string, line long, depth int")
+    visits = stage(near.unionByName(own).groupBy("id").applyInPandas(search, "id long, node string, depth int"), "visits")
+    found = _met(visits.join(starts, "id").select("name", "node", "depth"), edges, hubs).where("depth > 0 OR caller <> node")
+    return found.select("name", F.col("node").alias("callee"), "caller", "file_path", F.col("line").cast("long").alias("line"), "depth")
 
 
 def affected_callers(changes: DataFrame, calls: DataFrame, depth: int = 2) -> DataFrame:
