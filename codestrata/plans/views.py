@@ -5,6 +5,9 @@ changes: id, kind, file_info, file_path, line_start, line_end.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,23 +26,28 @@ def file_groups(changes: DataFrame) -> DataFrame:
     return changes.groupBy("file_info").agg(F.count("*").alias("changes"), F.bool_and(F.col("kind") == "Added").alias("only_added"), F.bool_and(F.col("kind") == "Deleted").alias("only_deleted"))
 
 
-def nesting_depth(spans: DataFrame) -> DataFrame:
-    """spans: file_path, id, line_start, line_end. The depth of each in a stack of spans that haven't ended before it starts.
-
-    The stack is replayed per file; it also gives the depth of spans that overlap without nesting."""
-
-    def replay(pdf):
-        pdf = pdf.sort_values(["line_start", "line_end", "id"], ascending=[True, False, True])
-        stack, depths = [], []
-        for s, e in zip(pdf["line_start"], pdf["line_end"], strict=True):
-            while stack and s > stack[-1][0]:
+def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Depths of spans that come sorted by file_path, line_start, the last line_end first, and id. Holds the stack of one file."""
+    file, stack = (), []
+    for rb in batches:
+        depths = []
+        for path, start, end in zip(*(rb.column(c).to_pylist() for c in ("file_path", "line_start", "line_end")), strict=True):
+            if (path,) != file:
+                file, stack = (path,), []
+            while stack and None not in (start, stack[-1][0]) and start > stack[-1][0]:
                 stack.pop()
             depths.append(stack[-1][1] + 1 if stack else 0)
-            stack.append((e, depths[-1]))
-        return pdf.assign(depth=depths)[["file_path", "id", "depth"]]
+            stack.append((end, depths[-1]))
+        yield pa.RecordBatch.from_arrays([rb.column("file_path"), rb.column("id"), pa.array(depths, pa.int32())], names=["file_path", "id", "depth"])
+
+
+def nesting_depth(spans: DataFrame) -> DataFrame:
+    """spans: file_path, id, line_start, line_end. The depth of each in a stack of spans that haven't ended before it starts.
 
-    own = spans.select("file_path", "id", "line_start", "line_end")
-    return own.groupBy("file_path").applyInPandas(replay, "file_path string, id long, depth int")
+    The stack is replayed over sorted spans, many files in a batch, however small or large these are; it also gives the depth of spans that overlap without nesting."""
+    own = spans.select("file_path", F.col("id").cast("long").alias("id"), "line_start", "line_end")
+    dealt = own.repartition("file_path").sortWithinPartitions("file_path", F.asc_nulls_last("line_start"), F.desc_nulls_last("line_end"), F.asc_nulls_last("id"))
+    return dealt.mapInArrow(_replayed, "file_path string, id long, depth int")
 
 
 def _levels(spans: DataFrame) -> int:

@@ -41,3 +41,24 @@ def test_rows_grow_with_spans_not_with_lines(spark):
     points = spans.select("file_path", F.col("line_end").alias("line"))
     met = views.covering(points, spans)
     assert met.count() == 50 * 51 // 2
+
+
+def test_nesting_of_many_small_files_makes_no_groups(spark):
+    """Depths as a stack of each file has them, read as one sorted stream whatever the number of files, in batches that cut files."""
+    rng = random.Random(9)
+    spans = [(f"f{rng.randrange(60)}", i, s, s + rng.choice([0, 1, 5, 20])) for i in range(400) for s in [rng.randrange(30)]]
+    want, stacks = {}, {}
+    for f, i, s, e in sorted(spans, key=lambda r: (r[0], r[2], -r[3], r[1])):
+        stack = stacks.setdefault(f, [])
+        while stack and s > stack[-1][0]:
+            stack.pop()
+        want[f, i] = stack[-1][1] + 1 if stack else 0
+        stack.append((e, want[f, i]))
+    found = views.nesting_depth(spark.createDataFrame(spans, SPANS))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {(r.file_path, r.id): r.depth for r in found.collect()} == want and max(want.values()) > 3
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
