@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from codestrata.operators import matching, setjoin
 
@@ -116,3 +117,37 @@ def test_a_name_that_stands_everywhere_is_assigned_in_order(spark):
             used.add(-best[1])
     got = matching.moved_by_name(*(spark.createDataFrame(x, SYMBOLS) for x in (old, new))).collect()
     assert len(want) > 150 and {r.old_id: r.new_id for r in got} == want
+
+
+def near_copies(rng, n, start):
+    """Texts of few words with a number each: they share most tokens, and differ in rare ones."""
+    return [(start + i, sorted(set(rng.choice([range(20), range(20, 40), range(40, 60)])) | {100 + rng.randrange(40) for _ in range(rng.randrange(1, 6))})) for i in range(n)]
+
+
+@pytest.mark.parametrize("bits", [64, 8192])
+def test_blocks_equal_all_pairs(monkeypatch, bits):
+    monkeypatch.setattr(setjoin, "BITS", bits)
+    monkeypatch.setattr(setjoin, "COMMON_BITS", 64)
+    rng = random.Random(3)
+    for least in (0.5, 0.7, 0.85):
+        left, right = ([(i, [t for k in x for t in (k, k + 1000)]) for i, x in near_copies(rng, 150, s)] for s in (0, 1000))
+        table = lambda rows: pa.table({"set_id": pa.array([i for i, _ in rows], pa.int64()), "tokens": pa.array([x for _, x in rows], pa.list_(pa.int64()))})
+        got = setjoin._compared(least)(table(left), table(right)).to_pylist()
+        want = {(i, k): jaccard(x, y) for i, x in left for k, y in right if jaccard(x, y) > least}
+        assert len(got) == len(want) > 0 and {(r["l_set"], r["r_set"]): r["similarity"] for r in got} == want
+
+
+def test_groups_of_near_copies_meet_in_blocks(spark, monkeypatch):
+    """All of them share rare-first prefixes; as pairs of these they would be made by the million."""
+    monkeypatch.setattr(setjoin, "BLOCK", 64)
+    asked = []
+    prefixes = setjoin._by_prefixes
+    monkeypatch.setattr(setjoin, "_by_prefixes", lambda *a: asked.append(1) or prefixes(*a))
+    rng = random.Random(4)
+    left, right = ([(i, "a", x) for i, x in near_copies(rng, 150, s)] for s in (0, 1000))
+    spread = [(2000 + i, "b", [rng.randrange(10**6) for _ in range(9)]) for i in range(400)]
+    for extra, by_prefixes in ((0, []), (1, [1])):
+        a, b = (rows + extra * [(i + at, g, x) for i, g, x in spread] for rows, at in ((left, 0), (right, 1000)))
+        got = setjoin.similar_sets(spark.createDataFrame(a, SETS), spark.createDataFrame(b, SETS), 0.7).collect()
+        want = {(i, k): jaccard(x, y) for i, g, x in a for k, h, y in b if g == h and jaccard(x, y) > 0.7}
+        assert asked == by_prefixes and {(r.l_id, r.r_id): r.similarity for r in got} == want
