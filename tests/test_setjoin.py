@@ -36,6 +36,28 @@ def test_equals_all_pairs(spark, least):
     assert all(r.similarity == pytest.approx(want[r.l_id, r.r_id]) for r in got)
 
 
+def test_one_to_one_pairs_are_read_as_a_stream(spark):
+    """Small files come many to a batch and a file may span batches; none is a group of its own."""
+    rng = random.Random(2)
+    rows = [(f"f{rng.randrange(60)}" if i % 40 else None, rng.randrange(12), rng.randrange(12), rng.randrange(5) / 4) for i in range(900)]
+    candidates = spark.createDataFrame(rows, "path string, old_id long, new_id long, score double")
+    got = matching.greedy_assignment(candidates, "path")
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+    want = []
+    for path in {r[0] for r in rows}:
+        olds, news = set(), set()
+        for _, o, n, s in sorted((r for r in rows if r[0] == path), key=lambda r: (-r[3], r[1], r[2])):
+            if o not in olds and n not in news:
+                olds.add(o)
+                news.add(n)
+                want.append((o, n, s))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    ordered = [("a", 1, 1), ("a", 1, 2), ("a", 2, 1), ("a", 2, 2), ("b", 1, 1), (None, 1, 1)]
+    batch = lambda part: pa.RecordBatch.from_pylist([{"group": g, "old_id": o, "new_id": n, "score": 1.0} for g, o, n in part])
+    out = [tuple(r.values())[:2] for rb in matching._best_free(batch(ordered[k : k + 2]) for k in (0, 2, 4)) for r in rb.to_pylist()]
+    assert out == [(1, 1), (2, 2), (1, 1), (1, 1)]
+
+
 def test_empty_sides(spark):
     none, one = spark.createDataFrame([], SETS), spark.createDataFrame([(1, "a", [1, 2]), (2, "a", None)], SETS)
     assert setjoin.similar_sets(none, one, 0.7).count() == setjoin.similar_sets(one, none, 0.7).count() == 0
