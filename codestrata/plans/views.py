@@ -5,15 +5,22 @@ changes: id, kind, file_info, file_path, line_start, line_end.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..functions import text
 
+#: Stretches of lines that are handed on at once.
+STRETCHES = 4096
+
 
 def nav_order(changes: DataFrame) -> DataFrame:
     """id, file_info, place: by path, start line and id. Places run within a file, files are ordered by path_key."""
@@ -77,14 +84,49 @@ def covering(points: DataFrame, spans: DataFrame) -> DataFrame:
     return at.select("file_path", "line", "b.level", "b.block").join(cut, ["file_path", "level", "block"]).drop("level", "block")
 
 
+def _stretches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Of spans that come sorted by file_path and line_start, the lines from one turn to the next with the ids that cover them. Holds what is open in one file."""
+    file, at, held, ends, out = None, 0, [], [], []
+
+    def until(line: int | None) -> None:
+        """Closes what ends before line, or all."""
+        nonlocal at
+        while ends and (line is None or at < line):
+            turn = ends[0][0] + 1 if line is None else min(ends[0][0] + 1, line)
+            if turn > at:
+                out.append((file, at, turn - 1, [x[2] for x in held]))
+            at = turn
+            while ends and ends[0][0] < at:
+                span = heapq.heappop(ends)[1]
+                del held[bisect.bisect_left(held, span)]
+
+    for rb in batches:
+        for path, start, end, key in zip(*(rb.column(c).to_pylist() for c in ("file_path", "line_start", "line_end", "id")), strict=True):
+            if path != file:
+                until(None)
+                file = path
+            until(start)
+            span = (start - end, key is not None, key)  # the largest first, then by id
+            at = start
+            bisect.insort(held, span)
+            heapq.heappush(ends, (end, span))
+            if len(out) >= STRETCHES:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+                out.clear()
+    until(None)
+    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+
+
 def region_lines(spans: DataFrame) -> DataFrame:
     """file_path, line, regions: the ids of the spans that cover each line, the largest first, then by id.
 
-    What covers a line changes only where spans start or have ended; lines in between are written out last."""
-    turns = spans.select("file_path", F.col("line_start").alias("line")).unionByName(spans.select("file_path", (F.col("line_end") + 1).alias("line"))).distinct()
-    until = turns.withColumn("until", F.lead("line").over(Window.partitionBy("file_path").orderBy("line")) - 1)
-    held = covering(turns, spans).groupBy("file_path", "line").agg(F.array_sort(F.collect_list(F.struct((F.col("line_start") - F.col("line_end")).alias("neg"), "id"))).alias("r"))
-    return held.join(until, ["file_path", "line"]).select("file_path", F.explode(F.sequence("line", "until")).alias("line"), F.transform("r", lambda x: x["id"]).alias("regions"))
+    What covers a line changes only where spans start or have ended: sorted spans are read as a stream; lines in between are written out last."""
+    own = spans.select("file_path", "line_start", (F.col("line_end") + 0).alias("line_end"), "id").where("file_path IS NOT NULL AND line_start <= line_end")
+    path, line, key = (own.schema[c].dataType for c in ("file_path", "line_end", "id"))
+    made = T.StructType([T.StructField("file_path", path), T.StructField("line", line), T.StructField("until", line), T.StructField("regions", T.ArrayType(key))])
+    arrow = to_arrow_schema(made)
+    held = own.repartition("file_path").sortWithinPartitions("file_path", "line_start").mapInArrow(lambda batches: _stretches(batches, arrow), made)
+    return held.select("file_path", F.explode(F.sequence("line", "until")).alias("line"), "regions")
 
 
 def starting_and_ending(spans: DataFrame) -> DataFrame:

@@ -62,3 +62,20 @@ def test_nesting_of_many_small_files_makes_no_groups(spark):
         assert {(r.file_path, r.id): r.depth for r in found.collect()} == want and max(want.values()) > 3
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_regions_are_read_as_a_stream(spark, monkeypatch):
+    """Files, equal spans, spans without lines and nulls, against a count line by line; no task gathers rows by line."""
+    rng = random.Random(9)
+    monkeypatch.setattr(views, "STRETCHES", 3)
+    rows = [(rng.choice("abc"), rng.randrange(40), rng.choice([0, 1, 2, 5, 30]), rng.choice([None, *range(9)])) for _ in range(80)]
+    rows = [(f, s, s + n, i) for f, s, n, i in rows] + [(None, 1, 2, 1), ("a", None, 3, 1), ("a", 4, None, 1), ("a", 9, 8, 1), ("e", 7, 7, 5), ("e", 7, 7, 5)]
+    got = views.region_lines(spark.createDataFrame(rows, "file_path string, line_start int, line_end int, id long"))
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    want = {}
+    for f, s, e, i in rows:
+        if None not in (f, s, e):
+            for line in range(s, e + 1):
+                want.setdefault((f, line), []).append((s - e, i is not None, i or 0, i))
+    assert {(r.file_path, r.line): r.regions for r in got.collect()} == {k: [x[3] for x in sorted(v, key=lambda x: x[:3])] for k, v in want.items()}
+    assert got.count() == len(want)
