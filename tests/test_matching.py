@@ -1,9 +1,13 @@
 """Matching by bodies' hashes, which are costly to make."""
 
 import hashlib
+import random
 
+import duckdb
 import pytest
+from codestrata.functions import text
 from codestrata.operators import matching
+from codestrata.plans.bindings import NORMALIZE
 from pyspark.sql import functions as F
 
 
@@ -25,3 +29,17 @@ def test_a_hash_is_made_once(spark, match, confidence):
     found = match(symbols("x", old), symbols("x" if match is matching.by_hash else "y", new)).collect()
     assert sorted((r.old_id, r.new_id, r.confidence) for r in found) == [(1, 11, confidence), (2, 12, confidence), (65537, 65550, confidence)]
     assert made.value == len(old) + len(new)
+
+
+def test_bodies_are_normalised_as_in_sql(spark):
+    """With comments and without, where none is searched for; a body's own mark, white space beyond ASCII."""
+    rng = random.Random(30)
+    bodies = [None, "", "/", "a / b * c", "//", "/*", "\x01\n\x01", "a//b", "a /* b */ c // d\n e", "http://x y\nz"]
+    bodies += ["".join(rng.choice(letters) for _ in range(rng.randrange(25))) for letters in ("a \n\x01", "a \n\t\u00a0\u2003é日", "/*a \n", "/*a\n\x01\u2028 ") for _ in range(200)]
+    rows = list(enumerate(bodies))
+    got = dict(spark.createDataFrame(rows, "id long, body string").select("id", text.normalize_body("body")).collect())
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE t (id BIGINT, body VARCHAR)")
+    duck.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    assert got == dict(duck.execute(f"SELECT id, {NORMALIZE.format('body')} FROM t").fetchall())
+    assert sum("//" in (b or "") or "/*" in (b or "") for b in bodies) > 100
