@@ -1,13 +1,16 @@
-"""Matching by bodies' hashes, which are costly to make."""
+"""Matching by bodies' hashes, which are costly to make: once each, by all cores."""
 
 import hashlib
 import random
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from codestrata.functions import text
 from codestrata.operators import matching
 from codestrata.plans.bindings import NORMALIZE
+from codestrata.sources.stage import spread
 from pyspark.sql import functions as F
 
 
@@ -43,3 +46,26 @@ def test_bodies_are_normalised_as_in_sql(spark):
     duck.executemany("INSERT INTO t VALUES (?, ?)", rows)
     assert got == dict(duck.execute(f"SELECT id, {NORMALIZE.format('body')} FROM t").fetchall())
     assert sum("//" in (b or "") or "/*" in (b or "") for b in bodies) > 100
+
+
+def test_a_large_row_group_is_spread(spark, tmp_path):
+    """A file's splits are many, but its rows stand in one of them."""
+    rng = random.Random(31)
+    rows = pa.table({"doc_id": range(2000), "text": [rng.randbytes(50).hex() for _ in range(2000)]})
+    pq.write_table(rows, tmp_path / "one.parquet", row_group_size=2000)
+    pq.write_table(rows, tmp_path / "many.parquet", row_group_size=100)
+    cores = spark.sparkContext.defaultParallelism
+    small = {"spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1"}
+    was = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        one, many = (spark.read.parquet(str(tmp_path / f"{name}.parquet")) for name in ("one", "many"))
+        assert one.rdd.getNumPartitions() >= cores and many.rdd.getNumPartitions() >= cores
+        dealt = spread(one, "doc_id")
+        assert dealt.select(F.spark_partition_id()).distinct().count() >= cores
+        assert sorted(r.doc_id for r in dealt.select("doc_id").collect()) == list(range(2000))
+        assert spread(many, "doc_id") is many
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
